@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tanglemap.llm import chat, sharding
+from tanglemap.llm import chat, jaccard, sharding
 from tanglemap.llm.common import table
 
 MARKED = "</s>[INST] ok [/INST]"
@@ -35,6 +35,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
     return out.select(
@@ -50,6 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
