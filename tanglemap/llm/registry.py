@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tanglemap.llm import chat, jaccard, sharding
+from tanglemap.llm import chat, decontam, jaccard, langid, sharding
 from tanglemap.llm.common import table
 
 MARKED = "</s>[INST] ok [/INST]"
@@ -35,6 +35,26 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    languages, prototypes = langid.fit(docs, ~langid.held_out("doc_id"))
+    out = langid.predict(docs, languages, prototypes, keep=["doc_id"])
+    return out.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, keep=["doc_id"])
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -54,6 +74,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_language_id": op2_language_id,
+    "op6_decontamination": op6_decontamination,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_sharding": op10_sharding,
 }
