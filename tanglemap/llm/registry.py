@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tanglemap.llm import chat, decontam, jaccard, langid, mixing, sharding
+from tanglemap.llm import chat, decontam, jaccard, langid, mixing, secrets, sharding
 from tanglemap.llm.common import table
 
 MIX_WEIGHTS = {"high": 0.9, "low": 0.1}
@@ -43,6 +43,25 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = [k.name for k in secrets.KINDS if k.sure]
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def said(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return out.select(
+        "doc_id",
+        *map(count, base),
+        F.sha2(said(F.filter("secrets", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"),
+        said(F.col("secrets")).alias("spans"),
+        F.size(F.filter("secrets", lambda s: s["live"])).cast("long").alias("n_live"),
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = mixing.quality_domains(table(spark, sf_dir, "labels"))
     return mixing.mix(table(spark, sf_dir, "documents"), labels, MIX_WEIGHTS, keep=["doc_id"])
@@ -81,6 +100,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
+    "op3_secret_scan": op3_secret_scan,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
     "op9_ngram_jaccard": op9_ngram_jaccard,
