@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tanglemap.llm import chat, decontam, jaccard, langid, mixing, secrets, sharding
+from tanglemap.llm import ann, chat, decontam, jaccard, langid, mixing, secrets, sharding
 from tanglemap.llm.common import table
 
 MIX_WEIGHTS = {"high": 0.9, "low": 0.1}
@@ -62,6 +62,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 100 == 0, k=10)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = mixing.quality_domains(table(spark, sf_dir, "labels"))
     return mixing.mix(table(spark, sf_dir, "documents"), labels, MIX_WEIGHTS, keep=["doc_id"])
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
     "op9_ngram_jaccard": op9_ngram_jaccard,
