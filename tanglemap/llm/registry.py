@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tanglemap.llm import ann, chat, decontam, html_text, jaccard, langid, mixing, secrets, sharding
+from tanglemap.llm import ann, chat, decontam, html_text, jaccard, langid, lines, mixing, secrets, sharding
 from tanglemap.llm.common import table
 
 MIX_WEIGHTS = {"high": 0.9, "low": 0.1}
@@ -84,6 +84,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"), keep=["page_id"])
 
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
+    "op7_line_dedup": op7_line_dedup,
     "op8_html_text": op8_html_text,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_sharding": op10_sharding,
