@@ -23,7 +23,8 @@ from tanglemap.operators.components import connected_components
 from tanglemap.scratch import Table, cut
 
 MAX_HOT = 200_000  # bound of the broadcast list of frequent shingles: 1.6 MB
-HOT_SHARE = 500  # a batch names shingles that one in so many of its documents has
+FIRSTS = 4  # near copies share one of so many first shingles almost always
+HOT_IN_BATCH, HOT_IN_ALL = 3, 32  # groups of a batch, and of all batches counted
 BLOCK = 512  # members, or askers, that one verification task holds
 
 
@@ -45,24 +46,26 @@ def _raws(column: pa.Array) -> list[bytes | None]:
 
 
 def hot_shingles(texts: DataFrame, k: int) -> np.ndarray:
-    """Sorted hashes of shingles that many documents have, most frequent first up to a fixed
-    bound. They only fix the global order, so any list gives right results. Every document is
-    counted: whatever one in 500 documents has, some batch has at least as often."""
+    """Sorted hashes of shingles that many different documents have, most frequent first up
+    to a fixed bound. They only fix the global order, so any list gives right results. All
+    documents are seen; in a batch, those that share one of their first shingles (near copies,
+    mostly) count once, and shingles of fewer than three of these stay out of the sum."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, times, docs = [], [], 0
+            firsts: set[int] = set()
             sets: list[np.ndarray] = []
             for s in shingle_sets(_raws(batch.column(0)), k):
-                sets.append(s)
-                docs += 1
-            if sets:
-                values, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n >= max(8, docs // HOT_SHARE)
-                found, times = values[often].astype(np.int64), n[often]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(times, pa.int64())], ["token", "n"])
-
-    top = texts.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MAX_HOT)
+                head = s[:FIRSTS].tolist()
+                if head and firsts.isdisjoint(head):
+                    sets.append(s)
+                firsts.update(head)
+            values, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0), np.zeros(0))
+            often = n >= HOT_IN_BATCH
+            yield pa.RecordBatch.from_arrays([pa.array(values[often].astype(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
+
+    sums = texts.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = sums.filter(F.col("n") >= HOT_IN_ALL).orderBy(F.desc("n"), "token").limit(MAX_HOT)
     return np.sort(np.array([r[0] for r in top.select("token").collect()], dtype=np.uint64))
 
 
@@ -116,23 +119,24 @@ def _index_rows(k: int, num: int, den: int, hot):
 
 def _pairs(token: np.ndarray, cls: np.ndarray, grp: np.ndarray, n: np.ndarray, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """From rows sorted by shingle: (class, group) for groups that share the shingle, come
-    before the class's own and hold a size that a link allows."""
+    after the class's own and hold a size that a link allows. A near copy with a shingle of
+    its own in front thus visits the large group of the others, not they it."""
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(token))))
     order = np.lexsort((grp, run))
     run, cls, grp, n = run[order], cls[order], grp[order], n[order]
     first = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (grp[1:] != grp[:-1])])
     low, high, g_run, g_id = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), run[first], grp[first]
-    g_from, g_to = np.searchsorted(g_run, np.arange(len(starts))), np.searchsorted(g_run, np.arange(len(starts)), side="right")
+    g_from = np.searchsorted(g_run, np.arange(len(starts)))
     mine = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(run))))
-    before = mine - g_from[run]  # the groups of the run that come before the row's own
+    after = np.append(g_from[1:], len(first))[run] - mine - 1  # groups of the run after the row's own
     at = 0
-    total = np.cumsum(before)
+    total = np.cumsum(after)
     while at < len(run):
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 2_000_000, side="right")))
-        reps = before[at:to]
+        reps = after[at:to]
         q = np.repeat(np.arange(at, to), reps)
-        g = g_from[run[q]] + np.arange(len(q)) - np.repeat(np.cumsum(reps) - reps, reps)
+        g = mine[q] + 1 + np.arange(len(q)) - np.repeat(np.cumsum(reps) - reps, reps)
         fits = (den * high[g].astype(np.int64) >= num * n[q].astype(np.int64)) & (num * low[g].astype(np.int64) <= den * n[q].astype(np.int64))
         q, g = q[fits], g[fits]
         yield pa.RecordBatch.from_arrays([pa.array(cls[q]), pa.array(g_id[g]), pa.array(np.minimum(_slack(n[q]), _slack(low[g])).astype(np.int32))], ["cls", "grp", "need"])
@@ -177,12 +181,12 @@ def _arrays(k: int, hot):
 
 def _verify(num: int, den: int):
     """Links between the askers and the members of one block of a group. A pair that is
-    already connected here needs no comparison."""
+    already connected, by what came before or here, needs no comparison."""
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows[rows.asker].drop_duplicates("cls")
         members = rows[~rows.asker].drop_duplicates("cls")
-        m_cls, m_arr = members.cls.to_numpy(), list(members.arr)
+        m_comp, m_arr = members.comp.tolist(), list(members.arr)
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -191,24 +195,19 @@ def _verify(num: int, den: int):
                 x = parent[x]
             return x
 
-        hub = None
-        for c, linked in zip(m_cls, members.linked, strict=True):
-            if linked:
-                hub = c if hub is None else hub
-                parent[root(c)] = root(hub)
         union = np.unique(np.concatenate(m_arr)) if m_arr else np.zeros(0, dtype=np.int64)
         found = []
-        for cls, arr in zip(asks.cls, asks.arr, strict=True):
+        for comp, arr in zip(asks.comp.tolist(), asks.arr, strict=True):
             held = union[np.minimum(np.searchsorted(union, arr), len(union) - 1)] == arr if len(union) else np.zeros(len(arr), bool)
             if den * int(held.sum()) < num * len(arr):
                 continue
-            for c, other in zip(m_cls, m_arr, strict=True):
-                if c == cls or den * min(len(arr), len(other)) < num * max(len(arr), len(other)) or root(c) == root(cls):
+            for c, other in zip(m_comp, m_arr, strict=True):
+                if den * min(len(arr), len(other)) < num * max(len(arr), len(other)) or root(c) == root(comp):
                     continue
                 both = len(np.intersect1d(arr, other, assume_unique=True))
                 if den * both >= num * (len(arr) + len(other) - both):
-                    parent[root(c)] = root(cls)
-                    found.append((cls, c))
+                    parent[root(c)] = root(comp)
+                    found.append((comp, c))
         return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
 
     return verify
@@ -227,8 +226,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
 
     Exact up to 64-bit hashing of shingles and sets. The hot list only orders shingles. What a
     task holds is bounded: a batch of texts, a shingle's rows, or two blocks of a group; a
-    group of any size is compared in blocks, first against one member of its own, then only
-    by those that did not link to that one.
+    group is first compared with one member of its own and such members with one another; what
+    is not yet connected by that is compared in blocks of bounded size.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
@@ -251,22 +250,31 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
     arrays = Table(texts.select("key", "text").join(wanted, "key").select("text", "cls", "grp").mapInArrow(_arrays(k, hot), "cls long, grp long, arr array<long>"), "shingle-sets")
     a = arrays.read()
 
-    pivot = a.groupBy("grp").agg(F.min(F.struct("cls", "arr")).alias("p"))
-    both = F.size(F.array_intersect("arr", "p.arr"))
-    near = a.join(pivot, "grp").select("grp", "cls", F.col("p.cls").alias("pivot"), (den * both >= num * (F.size("arr") + F.size("p.arr") - both)).alias("linked"))
+    linked = lambda x, y: den * F.size(F.array_intersect(x, y)) >= num * (F.size(x) + F.size(y) - F.size(F.array_intersect(x, y)))
+    pivot = cut(a.groupBy("grp").agg(F.min(F.struct("cls", "arr")).alias("p")).select("grp", F.col("p.cls").alias("pivot"), F.col("p.arr").alias("p_arr")))
+    near = a.join(pivot, "grp").select("grp", "cls", "pivot", linked("arr", "p_arr").alias("linked"))
     near = cut(near.distinct())
-    edges = near.filter("linked and cls <> pivot").select(F.col("cls").alias("src"), F.col("pivot").alias("dst"))
-
-    rest = near.filter("not linked").select("cls", "grp").unionByName(visits).distinct()
+    meets = visits.join(pivot.select(F.col("pivot").alias("cls"), F.col("p_arr").alias("q_arr")), "cls").join(pivot, "grp").filter(linked("q_arr", "p_arr"))
+    edges = near.filter("linked and cls <> pivot").select(F.col("cls").alias("src"), F.col("pivot").alias("dst")).unionByName(meets.select(F.col("cls").alias("src"), F.col("pivot").alias("dst")))
+    first = connected_components(edges)
+    placed = near.join(first, near.cls == first.node, "left").select("grp", "cls", "linked", F.coalesce("component", "cls").alias("comp"))
+    placed = cut(placed)
+    groups = placed.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members"))
+
+    own = placed.filter("not linked").select("cls", "grp")
+    rest = own.unionByName(visits).distinct().join(placed.select("cls", "comp").distinct(), "cls").join(groups, "grp").filter("low <> high or comp <> low").select("grp", "cls", "comp")
+    rest = cut(rest)
     asks = rest.groupBy("grp").agg(F.count("*").alias("asks"))
-    blocks = asks.join(members, "grp").select("grp", F.ceil(F.col("asks") / BLOCK).cast("int").alias("na"), F.ceil(F.col("members") / BLOCK).cast("int").alias("nm"))
+    blocks = asks.join(groups, "grp").select("grp", F.ceil(F.col("asks") / BLOCK).cast("int").alias("na"), F.ceil(F.col("members") / BLOCK).cast("int").alias("nm"))
     block = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asker = rest.join(blocks, "grp").select("grp", "cls", block("na").alias("ba"), spread("nm").alias("bm")).join(a.select("cls", "arr"), "cls").select("grp", "ba", "bm", "cls", F.lit(True).alias("asker"), F.lit(False).alias("linked"), "arr")
-    member = near.join(blocks, "grp").select("grp", "cls", "linked", block("nm").alias("bm"), spread("na").alias("ba")).join(a.select("cls", "arr"), "cls").select("grp", "ba", "bm", "cls", F.lit(False).alias("asker"), "linked", "arr")
-    more = asker.unionByName(member).groupBy("grp", "ba", "bm").applyInPandas(_verify(num, den), "src long, dst long")
-    found = connected_components(edges.unionByName(more))
+    asker = rest.join(blocks, "grp").select("grp", "cls", "comp", block("na").alias("ba"), spread("nm").alias("bm"))
+    member = placed.join(blocks, "grp").select("grp", "cls", "comp", block("nm").alias("bm"), spread("na").alias("ba"))
+    sides = asker.withColumn("asker", F.lit(True)).unionByName(member.withColumn("asker", F.lit(False)))
+    more = sides.join(a.select("cls", "arr"), "cls").groupBy("grp", "ba", "bm").applyInPandas(_verify(num, den), "src long, dst long")
+    second = connected_components(more).select(F.col("node").alias("first_comp"), F.col("component").alias("last_comp"))
     arrays.drop()
+    found = placed.select(F.col("cls").alias("node"), F.col("comp").alias("first_comp")).distinct().join(second, "first_comp", "left").select("node", F.coalesce("last_comp", "first_comp").alias("component"))
 
     labelled = by_text.join(found, by_text.cls == found.node, "left").select("key", F.coalesce("component", "cls").alias("component"), "n")
     rows = cut(texts.select("id", "key").join(labelled, "key", "left"))
