@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tanglemap.llm import ann, chat, decontam, html_text, jaccard, langid, lines, mixing, secrets, sharding
+from tanglemap.llm import ann, chat, decontam, html_text, jaccard, langid, lines, mixing, oracles, secrets, sharding
 from tanglemap.llm.common import table
 
 MIX_WEIGHTS = {"high": 0.9, "low": 0.1}
@@ -121,4 +121,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {}
+#: The rest is learnt, approximate, hashed or positional; tests hold it against brute force.
+ORACLES: dict[str, str] = {
+    "op1_chat_format": oracles.chat_sql(marked=MARKED),
+    "op6_decontamination": oracles.decontamination_sql(10),
+    "op7_line_dedup": oracles.line_dedup_sql(lines.TAU, lines.MIN_NEAR),
+    "op9_ngram_jaccard": oracles.jaccard_sql(4, 85, 100),
+}
