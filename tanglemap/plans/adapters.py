@@ -82,6 +82,13 @@ VIEWS: dict[str, str] = {
         SELECT CAST(l_orderkey AS BIGINT), CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT),
                CASE WHEN l_linenumber % 5 = 0 THEN '-' ELSE CAST(CAST(FLOOR(l_quantity) AS BIGINT) AS STRING) END || CHR(9) || CAST(l_linenumber AS STRING) || CHR(9) || 'src/' || CAST(l_partkey AS STRING) || '.py'
         FROM {lineitem}""",
+    "sources": """
+        SELECT 'pkg/m' || CAST(p_partkey AS STRING) || '.py' AS path,
+               'import os' || CHR(10) || 'from pkg.m' || CAST(p_partkey + 1 AS STRING) || ' import util' || CHR(10) || CHR(10)
+               || 'class C' || CAST(p_partkey AS STRING) || '(Base' || CAST(p_size AS STRING) || '):' || CHR(10)
+               || '    def run(self, x: Item' || CAST(p_size % 7 AS STRING) || '):' || CHR(10) || '        self.help()' || CHR(10) || '        return util()' || CHR(10)
+               || '    def help(self):' || CHR(10) || '        return "' || p_name || '"' || CHR(10) || CHR(10) || 'def util():' || CHR(10) || '    return 1' || CHR(10) AS text
+        FROM {part}""",
     "blame_lines": """
         SELECT CAST(l_partkey AS STRING) || '.py' AS file_path, CAST(ROW_NUMBER() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS INT) AS line_no,
                CASE WHEN l_linenumber % 3 = 0 THEN 'summary x' ELSE 'author ' || CAST(l_suppkey AS STRING) END AS line

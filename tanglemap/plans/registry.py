@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tanglemap.extract.rows import edges_of, extract_sources, nodes_of
 from tanglemap.functions import paths
 from tanglemap.operators import audit, coupling, coverage, graph, history, search, snapshot
 from tanglemap.plans.adapters import ctes, view
@@ -556,3 +557,38 @@ def _pivots(spark, d):
     edges = view(spark, d, "event_edges")
     metrics = edges.groupBy(F.col("dst").alias("file_path")).agg(F.count("*").cast("double").alias("fan_in"))
     return audit.cycle_pivots(graph.scc_cycles(edges), metrics)
+
+
+# --- extraction -----------------------------------------------------------------------
+
+FILE = "'pkg/m' || CAST(p_partkey AS STRING) || '.py'"
+CLASS = "'C' || CAST(p_partkey AS STRING)"
+
+
+@query(
+    "extract_nodes",
+    f"""SELECT 'File' AS kind, 'm' || CAST(p_partkey AS STRING) || '.py' AS name, {FILE} AS qualified_name, CAST(1 AS INT) AS line_start, CAST(12 AS INT) AS line_end, NULL AS parent_name FROM part
+ UNION ALL SELECT 'Class', {CLASS}, {FILE} || '::' || {CLASS}, 4, 9, NULL FROM part
+ UNION ALL SELECT 'Method', 'run', {FILE} || '::' || {CLASS} || '.run', 5, 7, {CLASS} FROM part
+ UNION ALL SELECT 'Method', 'help', {FILE} || '::' || {CLASS} || '.help', 8, 9, {CLASS} FROM part
+ UNION ALL SELECT 'Function', 'util', {FILE} || '::util', 11, 12, NULL FROM part""",
+)
+def _extract_nodes(spark, d):
+    return nodes_of(extract_sources(view(spark, d, "sources"))).select("kind", "name", "qualified_name", "line_start", "line_end", "parent_name")
+
+
+@query(
+    "extract_edges",
+    f"""SELECT 'IMPORTS_FROM' AS kind, {FILE} AS src, 'os' AS dst, CAST(1 AS INT) AS line FROM part
+ UNION ALL SELECT 'IMPORTS_FROM', {FILE}, 'pkg.m' || CAST(p_partkey + 1 AS STRING), 2 FROM part
+ UNION ALL SELECT 'CONTAINS', {FILE}, {FILE} || '::' || {CLASS}, 4 FROM part
+ UNION ALL SELECT 'INHERITS', {FILE} || '::' || {CLASS}, 'Base' || CAST(p_size AS STRING), 4 FROM part
+ UNION ALL SELECT 'HAS_METHOD', {FILE} || '::' || {CLASS}, {FILE} || '::' || {CLASS} || '.run', 5 FROM part
+ UNION ALL SELECT 'HAS_METHOD', {FILE} || '::' || {CLASS}, {FILE} || '::' || {CLASS} || '.help', 8 FROM part
+ UNION ALL SELECT 'CONTAINS', {FILE}, {FILE} || '::util', 11 FROM part
+ UNION ALL SELECT 'USES_TYPE', {FILE}, 'Item' || CAST(p_size % 7 AS STRING), 5 FROM part
+ UNION ALL SELECT 'CALLS', {FILE} || '::' || {CLASS} || '.run', {FILE} || '::' || {CLASS} || '.help', 6 FROM part
+ UNION ALL SELECT 'CALLS', {FILE} || '::' || {CLASS} || '.run', {FILE} || '::util', 7 FROM part""",
+)
+def _extract_edges(spark, d):
+    return edges_of(extract_sources(view(spark, d, "sources"))).select("kind", "src", "dst", "line")
