@@ -117,12 +117,12 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def callers_of(edges: DataFrame, nodes: DataFrame, target: str) -> DataFrame:
     """Known nodes that call the target, one row a call."""
-    calls = edges.filter((F.col("kind") == "CALLS") & (F.col("dst") == target))
+    calls = edges.filter((F.col("kind") == "CALLS") & (F.col("dst") == target)).select("src", "line")
     return calls.join(nodes, calls.src == nodes.qualified_name).select("qualified_name", "name", "file_path", "line")
 
 
 def callees_of(edges: DataFrame, nodes: DataFrame, source: str) -> DataFrame:
-    calls = edges.filter((F.col("kind") == "CALLS") & (F.col("src") == source))
+    calls = edges.filter((F.col("kind") == "CALLS") & (F.col("src") == source)).select("dst", "line")
     return calls.join(nodes, calls.dst == nodes.qualified_name).select("qualified_name", "name", "file_path", "line")
 
 

@@ -17,15 +17,15 @@ def scan_files(spark: SparkSession, root: str, patterns: Sequence[str] = ()) ->
     """``path`` (relative), ``text`` and ``file_hash`` of the files that have a parser, without
     hidden and skipped folders and what ``patterns`` ignore."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    clean = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    relative = F.expr(f"substring(path, length(regexp_extract(path, '^[a-z]+:/*', 0)) + {len(clean) + 2})")
-    rows = rows.select(relative.alias("path"), "content")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    rows = rows.select(F.expr(f"substring(path, {len(whole.rstrip('/')) + 2})").alias("path"), "content")
     folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
     seen = ~F.exists(folders, lambda f: f.startswith(".") | f.isin(*SKIPPED_FOLDERS)) & ~base_name(F.col("path")).isin(*SKIPPED_FILES) & language_of(F.col("path")).isNotNull()
     rows = rows.filter(seen)
     if patterns:
         rows = rows.filter(~ignored(F.col("path"), patterns))
-    return rows.select("path", F.decode("content", F.lit("UTF-8")).alias("text"), F.sha2("content", 256).alias("file_hash"))
+    return rows.select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("file_hash"))
 
 
 def read_patterns(text: str) -> list[str]:
