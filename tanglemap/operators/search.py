@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tanglemap.functions.paths import is_test_path
+
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 
@@ -60,6 +62,18 @@ def _hits(term: str) -> Column:
     return F.filter("t", lambda x: x.startswith(term))
 
 
+def rich_text(symbols: DataFrame, kids: DataFrame, calls: DataFrame, most: int = 5) -> DataFrame:
+    """Text of each symbol for embedding: kind, name, path words, a class's siblings (``kids``:
+    file_path, names), and the stems of at most ``most`` test files that call it."""
+    stem = F.regexp_extract("file_path", r"([^/.]+)[^/]*$", 1)
+    testers = calls.select("src", "dst").join(symbols.filter(is_test_path(F.col("file_path"))), F.col("src") == F.col("qualified_name")).select("dst", stem.alias("stem"))
+    stems = testers.groupBy("dst").agg(F.array_join(F.slice(F.array_sort(F.collect_set("stem")), 1, most), " ").alias("stems"))
+    words = F.regexp_replace(F.replace("file_path", F.lit("src/"), F.lit("")), r"[/._]", " ")
+    out = symbols.join(kids, "file_path", "left").join(stems, F.col("qualified_name") == F.col("dst"), "left")
+    text = F.concat_ws(" ", "kind", "name", F.lit("path"), words, F.when(F.col("kind") == "Class", F.col("names")), F.concat(F.lit("tested by "), "stems"))
+    return out.select("qualified_name", text.alias("text"))
+
+
 def like_search(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Fallback: every word is part of the name or the qualified name."""
     out = nodes

@@ -488,9 +488,62 @@ def _baseline(spark, d):
     return _metrics(spark, d).select("file_path", F.round("fan_in", 3).alias("fan_in"), F.round("fan_out", 3).alias("fan_out"), F.round("instability", 4).alias("instability"))
 
 
+def _gods_sql(source: str, name: str) -> str:
+    return f"""{name}_x AS (SELECT file_path, fan_in, ROW_NUMBER() OVER (ORDER BY fan_in) AS r, COUNT(*) OVER () AS n FROM {source}),
+ {name}_p AS (SELECT MAX(n) AS n, LEAST(GREATEST((90 * (MAX(n) + 1)) // 100, 1), MAX(n) - 1) AS j FROM {name}_x),
+ {name}_t AS (SELECT ((SELECT fan_in FROM {name}_x WHERE r = j) * (100 - (90 * (n + 1) - j * 100)) + (SELECT fan_in FROM {name}_x WHERE r = j + 1) * (90 * (n + 1) - j * 100)) / 100 AS threshold FROM {name}_p WHERE n > 1),
+ {name} AS (SELECT file_path FROM {source}, {name}_t WHERE fan_in > threshold)"""
+
+
+@query("baseline_new_gods", BEFORE + ", " + _gods_sql("before", "old_gods") + ", " + _gods_sql("metrics", "new_gods") + " SELECT file_path FROM new_gods WHERE file_path NOT IN (SELECT file_path FROM old_gods)")
+def _new_gods(spark, d):
+    return snapshot.new_rows(coupling.god_modules(_before(spark, d)), coupling.god_modules(_metrics(spark, d)), "file_path")
+
+
+EARLY = ", early AS (SELECT src, dst FROM event_edges WHERE src NOT LIKE '%7/%')"
+
+
+@query(
+    "baseline_new_cycles",
+    ctes("event_edges", recursive=True) + EARLY + "".join(
+        f""", {r} AS (SELECT src, dst FROM {e} UNION SELECT {r}.src, {e}.dst FROM {r} JOIN {e} ON {e}.src = {r}.dst),
+ {r}_m AS (SELECT a.src AS node, MIN(b.src) AS component FROM {r} a JOIN {r} b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
+ {r}_c AS (SELECT LIST_SORT(LIST(node)) AS members FROM {r}_m GROUP BY component HAVING COUNT(*) > 1)"""
+        for r, e in (("old_reach", "early"), ("new_reach", "event_edges"))
+    ) + " SELECT members FROM new_reach_c WHERE members NOT IN (SELECT members FROM old_reach_c)",
+)
+def _new_cycles(spark, d):
+    edges = view(spark, d, "event_edges")
+    return snapshot.new_rows(graph.scc_cycles(edges.filter("src not like '%7/%'")), graph.scc_cycles(edges), "members")
+
+
+@query(
+    "full_report",
+    METRICS + """, c AS (SELECT 'supp/' || CAST(l_suppkey AS STRING) AS file_path, COUNT(DISTINCT l_orderkey) AS commits FROM lineitem GROUP BY l_suppkey)
+ SELECT metrics.file_path, fan_in, fan_out, ROUND(instability, 3) AS instability, commits, commits * (fan_in + fan_out) AS hotspot_score FROM metrics LEFT JOIN c ON c.file_path = metrics.file_path""",
+)
+def _full_report(spark, d):
+    hot = history.hotspots(_metrics(spark, d), _supplier_churn(spark, d)).select("file_path", F.col("churn").alias("commits"), "hotspot_score")
+    return _metrics(spark, d).join(hot, "file_path", "left").select("file_path", "fan_in", "fan_out", F.round("instability", 3).alias("instability"), "commits", "hotspot_score")
+
+
 # --- search ---------------------------------------------------------------------------
 
 
+@query(
+    "rich_node_text",
+    ctes("symbols", "calls") + f""", kids AS (SELECT file_path, STRING_AGG(name, ' ' ORDER BY name, qualified_name) AS names FROM symbols WHERE kind <> 'Class' GROUP BY file_path),
+ tests AS (SELECT DISTINCT dst, REGEXP_EXTRACT(file_path, '([^/.]+)[^/]*$', 1) AS stem FROM calls JOIN symbols ON src = qualified_name WHERE {{tests}}),
+ stems AS (SELECT dst, STRING_AGG(stem, ' ' ORDER BY stem) AS stems FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY dst ORDER BY stem) AS r FROM tests) AS t WHERE r <= 5 GROUP BY dst)
+ SELECT qualified_name, kind || ' ' || name || ' path ' || REGEXP_REPLACE(REPLACE(symbols.file_path, 'src/', ''), '[/._]', ' ', 'g') || CASE WHEN kind = 'Class' AND names IS NOT NULL THEN ' ' || names ELSE '' END || COALESCE(' tested by ' || stems, '') AS text
+ FROM symbols LEFT JOIN kids ON kids.file_path = symbols.file_path LEFT JOIN stems ON stems.dst = qualified_name""".replace("{tests}", "(" + " OR ".join(f"LOWER(file_path) LIKE '{p}'" for p in paths.TEST_PATTERNS) + ")"),
+)
+def _rich(spark, d):
+    symbols, calls = view(spark, d, "symbols"), view(spark, d, "calls")
+    kids = symbols.filter("kind <> 'Class'").groupBy("file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "qualified_name"))), lambda s: s["name"]), " ").alias("names"))
+    return search.rich_text(symbols, kids, calls)
+
+
 @query("fts_tokenize", "SELECT doc_id AS node_id, LEN(LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(LOWER(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS n_tokens FROM documents")
 def _tokenize(spark, d):
     return view(spark, d, "docs").select("node_id", F.size(search.tokens(F.col("body"))).cast("long").alias("n_tokens"))
