@@ -60,9 +60,13 @@ def hot_shingles(texts: DataFrame, k: int) -> np.ndarray:
                 if head and firsts.isdisjoint(head):
                     sets.append(s)
                 firsts.update(head)
-            values, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0), np.zeros(0))
+            values = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+            del sets
+            values.sort()  # in place, as memory allows no second copy of a batch's shingles
+            starts = np.flatnonzero(np.r_[len(values) > 0, values[1:] != values[:-1]])
+            n = np.diff(np.append(starts, len(values)))
             often = n >= HOT_IN_BATCH
-            yield pa.RecordBatch.from_arrays([pa.array(values[often].astype(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[starts[often]].astype(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
     sums = texts.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = sums.filter(F.col("n") >= HOT_IN_ALL).orderBy(F.desc("n"), "token").limit(MAX_HOT)

@@ -23,7 +23,7 @@ FEATURES = 1 << 16
 RATIO_BINS = 16
 EXTRA = 4 * RATIO_BINS
 FIT_ROWS = 6_000
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 SYMBOL = np.ones(256, dtype=bool)
 SYMBOL[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100), 0x20, 0x0A, 0x09, 0x0D, 0x2C, 0x2E]] = False
 
@@ -121,9 +121,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     return model
 
 
-def domain_posteriors(docs: DataFrame, model: DomainClassifier, *, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """Columns ``_row``, ``n_tokens`` (words) and ``posterior`` (array, in the order of the
-    model's domains). A null or empty text has no tokens and the posterior of its bare bias."""
+def domain_posteriors(docs: DataFrame, model: DomainClassifier, *, text_col: str = "text", keep: Sequence[str] | None = None, moves: Sequence[np.ndarray] = ()) -> DataFrame:
+    """Columns ``_row``, ``n_tokens`` (words), ``posterior`` (array, in the order of the
+    model's domains) and ``_rate``, what ``moves`` of :func:`fit_rates` make of it. A null or
+    empty text has no tokens and the posterior of its bare bias."""
     names = list(keep or docs.columns)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text_col).cast("binary").alias("_raw"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some hundred KB, whatever the input
@@ -134,10 +135,13 @@ def domain_posteriors(docs: DataFrame, model: DomainClassifier, *, text_col: str
             for n, i in features(batch.column(1).to_pylist()):
                 counts.append(n)
                 index.append(i)
-            p = shared.value.posteriors(index).tolist() if index else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(p, pa.list_(pa.float64()))], ["_row", "n_tokens", "posterior"])
+            p = shared.value.posteriors(index).astype(float) if index else np.zeros((0, 0))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(_fold(p, moves))],
+                ["_row", "n_tokens", "posterior", "_rate"],
+            )
 
-    schema = rows.select("_row").schema.add("n_tokens", "long").add("posterior", T.ArrayType(T.DoubleType()))
+    schema = rows.select("_row").schema.add("n_tokens", "long").add("posterior", T.ArrayType(T.DoubleType())).add("_rate", "double")
     return rows.mapInArrow(score, schema)
 
 
@@ -216,14 +220,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], *, id_
     scored = domain_posteriors(rows, model, text_col="_text", keep=[*names, "_draw"])
     sums = cut(scored.select("n_tokens", "posterior"))
     moves, _ = fit_rates(sums, model.domains, weights, total=total) if model.domains else ([], {})
-    k = len(model.domains)
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, p = _matrix(pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], ["n", "p"]), k) if k else (None, np.zeros((batch.num_rows, 0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_fold(p, moves) if k else np.ones(batch.num_rows))], ["_row", "n_tokens", "posterior", "_rate"])
-
-    out = scored.mapInArrow(rate, T.StructType([*scored.schema.fields, T.StructField("_rate", T.DoubleType())]))
+    out = domain_posteriors(rows, model, text_col="_text", keep=[*names, "_draw"], moves=moves)
     whole = F.floor("_rate")
     drawn = (whole + (F.col("_row._draw") < (F.col("_rate") - whole) * float(1 << 30)).cast("long")).cast("long")
     copies = F.when(F.col("_rate").between(sure, 1.0), F.lit(1).cast("long")).otherwise(drawn)

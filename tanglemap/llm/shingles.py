@@ -9,7 +9,7 @@ import numpy as np
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 HOT_BIT = np.uint64(1 << 63)  # hot shingles sort after all others
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20  # hashing takes some 50 bytes of memory a byte of text
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
