@@ -17,7 +17,7 @@ from tanglemap.operators.components import connected_components
 TAU = 2  # edits
 MIN_NEAR = 24  # shorter lines are only compared for equality
 BLOCK = 64  # lines of one key that one task compares with as many others
-LETTERS = "eatnor"  # their counts bound the edit distance from below
+LETTERS = "eatnorishdlu"  # their counts bound the edit distance from below
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -82,13 +82,18 @@ def _core(a: Column, b: Column) -> Column:
     return F.struct(F.slice(a, start, F.size(a) + 1).alias("a"), F.slice(b, start, F.size(b) + 1).alias("b"))
 
 
-def within_edits(x: Column, y: Column, tau: int) -> Column:
-    """Whether two strings are within ``tau`` edits; only what differs is aligned."""
+def chars_within(a: Column, b: Column, tau: int) -> Column:
+    """Whether arrays of characters are within ``tau`` edits; only what differs is aligned."""
 
     def backward(front: Column) -> Column:
         return _let(_core(F.reverse(front["a"]), F.reverse(front["b"])), lambda p: edit_distance_within(p["a"], p["b"], tau))
 
-    return _let(F.struct(F.split(x, "").alias("a"), F.split(y, "").alias("b")), lambda p: _let(_core(p["a"], p["b"]), backward))
+    return _let(_core(a, b), backward)
+
+
+def within_edits(x: Column, y: Column, tau: int) -> Column:
+    """Whether two strings are within ``tau`` edits."""
+    return _let(F.struct(F.split(x, "").alias("a"), F.split(y, "").alias("b")), lambda p: chars_within(p["a"], p["b"], tau))
 
 
 def _keys(line: Column, tau: int) -> Column:
@@ -113,27 +118,28 @@ def _keys(line: Column, tau: int) -> Column:
 
 def near_line_pairs(lines: DataFrame, tau: int = TAU) -> DataFrame:
     """``lines(h, line)``, one row a distinct line, to pairs ``(src, dst)`` of hashes of lines
-    within ``tau`` edits. Lines of one key meet in blocks of bounded size, and there only pairs
-    whose lengths and letter counts allow the distance go on to verification."""
+    within ``tau`` edits. Lines of one key meet in blocks of bounded size; a pair whose lengths
+    and letter counts allow the distance is verified there, and only true pairs leave a block."""
     counts = [(F.length("line") - F.length(F.replace(F.col("line"), F.lit(c), F.lit("")))).cast("int") for c in LETTERS]
     shape = F.array(F.length("line"), *counts)
-    keyed = lines.select("h", F.explode(_keys(F.col("line"), tau)).alias("k")).select("h", "k.key", "k.own")
+    keyed = lines.select("h", _keys(F.col("line"), tau).alias("ks"))  # a projection of its own shares subexpressions
+    keyed = keyed.select("h", F.explode("ks").alias("k")).select("h", "k.key", "k.own")
     by_key = Window.partitionBy("key")
     met = keyed.withColumn("rows", F.count("*").over(by_key)).filter("rows > 1")
-    met = met.join(lines.select("h", shape.alias("shape")), "h")
-    held = met.select("key", F.pmod(F.col("h"), F.ceil(F.col("rows") / BLOCK)).alias("block"), F.struct("h", "own", "shape").alias("x"))
-    blocks = held.groupBy("key", "block").agg(F.collect_list("x").alias("xs"))
-    blocks = blocks.join(blocks.filter(F.exists("xs", lambda x: x["own"])).select("key", F.filter("xs", lambda x: x["own"]).alias("ys")), "key")
-
-    def close(x: Column, y: Column) -> Column:
+    # few lines meet another, so only these bring their text along
+    met = met.join(lines.select("h", "line"), "h").select("key", F.pmod(F.col("h"), F.ceil(F.col("rows") / BLOCK)).alias("block"), F.struct("h", "own", shape.alias("shape"), "line").alias("x"))
+    blocks = met.groupBy("key", "block").agg(F.collect_list("x").alias("xs"))
+    own = blocks.filter(F.exists("xs", lambda x: x["own"])).select("key", F.filter("xs", lambda x: x["own"]).alias("ys"))
+    parted = lambda xs: F.transform(xs, lambda x: F.struct(x["h"].alias("h"), x["shape"].alias("shape"), F.split(x["line"], "").alias("chars")))
+    blocks = blocks.join(own, "key").select(parted("xs").alias("xs"), parted("ys").alias("ys"))
+
+    def near(x: Column, y: Column) -> Column:
         drift = F.aggregate(F.zip_with(F.slice(x["shape"], 2, len(LETTERS)), F.slice(y["shape"], 2, len(LETTERS)), lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
-        return (x["h"] != y["h"]) & (F.abs(x["shape"][0] - y["shape"][0]) <= tau) & (drift <= 2 * tau)
+        allowed = (x["h"] != y["h"]) & (F.abs(x["shape"][0] - y["shape"][0]) <= tau) & (drift <= 2 * tau)
+        return F.when(allowed, chars_within(x["chars"], y["chars"], tau)).otherwise(False)
 
-    pair = lambda x: F.transform(F.filter("ys", lambda y: close(x, y)), lambda y: F.struct(F.least(x["h"], y["h"]).alias("src"), F.greatest(x["h"], y["h"]).alias("dst")))
-    pairs = blocks.select(F.explode(F.flatten(F.transform("xs", pair))).alias("p")).select("p.src", "p.dst").distinct()
-    text = lines.select("h", "line")
-    both = pairs.join(text.withColumnsRenamed({"h": "src", "line": "x"}), "src").join(text.withColumnsRenamed({"h": "dst", "line": "y"}), "dst")
-    return both.filter(within_edits(F.col("x"), F.col("y"), tau)).select("src", "dst")
+    pair = lambda x: F.transform(F.filter("ys", lambda y: near(x, y)), lambda y: F.struct(F.least(x["h"], y["h"]).alias("src"), F.greatest(x["h"], y["h"]).alias("dst")))
+    return blocks.select(F.explode(F.flatten(F.transform("xs", pair))).alias("p")).select("p.src", "p.dst").distinct()
 
 
 def duplicate_lines(docs: DataFrame, *, tau: int = TAU, min_near: int = MIN_NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
