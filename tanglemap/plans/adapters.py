@@ -38,9 +38,8 @@ VIEWS: dict[str, str] = {
         WHERE n > 1.1 * mean""",
     "event_edges": """
         SELECT DISTINCT src, dst FROM (
-            SELECT CAST(user_id AS STRING) || '/' || event_type AS src, CAST(user_id AS STRING) || '/' || LEAD(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst,
-                   ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM {events}) AS steps
-        WHERE step < 6 AND dst IS NOT NULL AND src <> dst""",
+            SELECT CAST(user_id AS STRING) || '/' || event_type AS src, CAST(user_id AS STRING) || '/' || LEAD(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM {events}) AS steps
+        WHERE dst IS NOT NULL AND src <> dst""",
     "customer_tree": """
         SELECT 'c' || CAST(c_custkey AS STRING) AS src, 'c' || CAST(CAST(FLOOR(c_custkey / 2) AS BIGINT) AS STRING) AS dst, c_custkey AS id
         FROM {customer} WHERE c_custkey > 1""",
