@@ -12,16 +12,26 @@ from tanglemap.llm import decontam, jaccard, langid, mixing, sharding
 from tanglemap.llm.common import table
 from tanglemap.scratch import Table
 
-MIN_LANGUAGE_SCORE = 0.02
+LANGUAGE_LENGTHS = (32, 64, 128)  # characters from which a score must reach what clean beginnings of that length reach
+LANGUAGE_QUANTILE = 0.01
 MIX_WEIGHTS = {"high": 0.9, "low": 0.1}
 SHARDS = 40
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those that resemble no language at all."""
+    """Drops documents without a letter and those that resemble no learnt language. A document
+    must score what all but ``LANGUAGE_QUANTILE`` of the learnt documents' beginnings do, cut to
+    the largest of ``LANGUAGE_LENGTHS`` that it reaches; under the smallest of them noise and
+    clean text score alike, so there a letter is enough."""
     known, prototypes = langid.fit(docs, F.lit(True))
+    cuts = F.explode(F.array(*map(F.lit, LANGUAGE_LENGTHS))).alias("_cut")
+    begun = docs.filter("text is not null and lang is not null").select("text", cuts).filter(F.length("text") >= F.col("_cut")).select("_cut", F.expr("substring(text, 1, _cut)").alias("text"))
+    reached = langid.predict(begun, known, prototypes).groupBy("_cut").agg(F.percentile_approx("score", F.lit(LANGUAGE_QUANTILE), F.lit(10_000)).alias("least"))
+    least = F.lit(0.0)
+    for r in sorted(reached.collect()):
+        least = F.when(F.length("text") >= r["_cut"], F.greatest(least, F.lit(r["least"]))).otherwise(least)
     out = langid.predict(docs, known, prototypes, keep=None)
-    good = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    good = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)
     return out.filter(good).select(*docs.columns)
 
 

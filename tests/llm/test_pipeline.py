@@ -1,3 +1,6 @@
+import base64
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 from tanglemap.llm import jaccard, langid
@@ -25,3 +28,20 @@ def test_stages(spark, tmp_path):
     before, after = seen["shard"]
     assert after.count() == before.count() and after.select(F.max("shard")).first()[0] < 40
     assert langid.UNKNOWN == "und"
+
+
+def test_language_drops_what_resembles_no_learnt_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    draw = random.Random(4)
+
+    def letters(alphabet, size):
+        return " ".join("".join(draw.choices(alphabet, k=draw.randint(2, 9))) for _ in range(size // 6))[:size]
+
+    junk = []
+    for size in (200, 1_000, 5_000):
+        for _ in range(10):
+            junk += [letters("abcdefghijklmnopqrstuvwxyz", size), letters("абвгдежзийклмнопрстуфхцчшщъыьэюя", size), base64.b64encode(draw.randbytes(size)).decode()]
+    extra = spark.createDataFrame([(1_000_000 + i, t, None, "s", len(t)) for i, t in enumerate(junk)], docs.schema)
+    left = {r[0] for r in corpus_pipeline.language(spark, docs.unionByName(extra), "").select("doc_id").collect()}
+    assert sum(i >= 1_000_000 for i in left) <= 0.02 * len(junk)
+    assert sum(i < 1_000_000 for i in left) >= 0.985 * docs.count()
