@@ -1,31 +1,32 @@
 """Exact n-gram Jaccard join by a token-group matrix.
 
 Documents with the same shingle set are one class. Classes are partitioned into
-groups by their first shingle in a global order (frequent shingles last). The
-matrix holds, for each shingle, the groups whose members have it in the part of
-the order that any link must touch. A query class counts its shared shingles with
-each group's union there; only groups whose count reaches the least that a linked
-member would give are opened, and there the classes are compared in full.
+groups of similar ones, each led by the class that its members resemble most. The
+matrix holds, for each shingle, the groups whose members have it in the part of a
+global order (frequent shingles last) that any link must touch. A class counts its
+shared shingles with each larger group's union there; only groups whose count
+reaches the least that a linked member would give are opened. In a group, classes
+are held as their differences from the leader.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tanglemap.llm.shingles import HOT_BIT, shingle_sets
+from tanglemap.llm.shingles import shingle_sets
 from tanglemap.operators.components import connected_components
 from tanglemap.scratch import Table, cut
 
 MAX_HOT = 200_000  # bound of the broadcast list of frequent shingles: 1.6 MB
 FIRSTS = 4  # near copies share one of so many first shingles almost always
 HOT_IN_BATCH, HOT_IN_ALL = 3, 32  # groups of a batch, and of all batches counted
-BLOCK = 512  # members, or askers, that one verification task holds
+MAX_WANTED = 1_000_000  # keys of texts to be compared that are broadcast: some 20 MB
 
 
 def required(n: int, num: int, den: int) -> int:
@@ -87,15 +88,15 @@ def _index_rows(k: int, num: int, den: int, hot):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            rows, tokens, owners, groups, sizes = [], [], [], [], []
-            keys = batch.column(1).to_pylist()
-            for key, s in zip(keys, shingle_sets(_raws(batch.column(0)), k, hot.value), strict=True):
+            rows, tokens, owners, sizes = [], [], [], []
+            keys, ids = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for key, name, s in zip(keys, ids, shingle_sets(_raws(batch.column(0)), k, hot.value), strict=True):
                 n = len(s)
                 if not n:
-                    rows.append((key, None, None, 0))
+                    rows.append((key, None, 0, name))
                     continue
-                cls, group = _class_of(s), int(_signed(s[:1])[0])
-                rows.append((key, cls, group, n))
+                cls = _class_of(s)
+                rows.append((key, cls, n, name))
                 if cls in seen:
                     continue
                 if len(seen) >= 500_000:
@@ -104,117 +105,142 @@ def _index_rows(k: int, num: int, den: int, hot):
                 head = _signed(s[: _prefix(n, num, den)])
                 tokens.append(head)
                 owners.append(np.full(len(head), cls))
-                groups.append(np.full(len(head), group))
                 sizes.append(np.full(len(head), n, dtype=np.int32))
-            key, cls, group, n = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([False] * len(rows)), pa.array(key, pa.int64()), pa.array(cls, pa.int64()), pa.array(group, pa.int64()), pa.array(n, pa.int32())],
-                ["matrix", "key", "cls", "grp", "n"],
-            )
+            key, cls, n, name = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array([False] * len(rows)), pa.array(key, pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(name, pa.int64())], INDEX_COLUMNS)
             if tokens:
                 t = np.concatenate(tokens)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(len(t), dtype=bool)), pa.array(t), pa.array(np.concatenate(owners)), pa.array(np.concatenate(groups)), pa.array(np.concatenate(sizes))],
-                    ["matrix", "key", "cls", "grp", "n"],
+                    [pa.array(np.ones(len(t), dtype=bool)), pa.array(t), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes)), pa.nulls(len(t), pa.int64())], INDEX_COLUMNS
                 )
 
     return index
 
 
-def _pairs(token: np.ndarray, cls: np.ndarray, grp: np.ndarray, n: np.ndarray, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by shingle: (class, group) for groups that share the shingle, come
-    after the class's own and hold a size that a link allows. A near copy with a shingle of
-    its own in front thus visits the large group of the others, not they it."""
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(token))))
-    order = np.lexsort((grp, run))
-    run, cls, grp, n = run[order], cls[order], grp[order], n[order]
-    first = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (grp[1:] != grp[:-1])])
-    low, high, g_run, g_id = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), run[first], grp[first]
-    g_from = np.searchsorted(g_run, np.arange(len(starts)))
-    mine = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(run))))
-    after = np.append(g_from[1:], len(first))[run] - mine - 1  # groups of the run after the row's own
-    at = 0
-    total = np.cumsum(after)
-    while at < len(run):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 2_000_000, side="right")))
-        reps = after[at:to]
-        q = np.repeat(np.arange(at, to), reps)
-        g = mine[q] + 1 + np.arange(len(q)) - np.repeat(np.cumsum(reps) - reps, reps)
-        fits = (den * high[g].astype(np.int64) >= num * n[q].astype(np.int64)) & (num * low[g].astype(np.int64) <= den * n[q].astype(np.int64))
-        q, g = q[fits], g[fits]
-        yield pa.RecordBatch.from_arrays([pa.array(cls[q]), pa.array(g_id[g]), pa.array(np.minimum(_slack(n[q]), _slack(low[g])).astype(np.int32))], ["cls", "grp", "need"])
-        at = to
-
-
-def _bucket_rows(num: int, den: int):
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
-        for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(new[0]):
-                continue
-            rows = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
-            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last shingle may go on
-            if last:
-                yield from _pairs(*[x[:last] for x in rows], num, den)
-            kept = [x[last:] for x in rows]
-        if kept is not None and len(kept[0]):
-            yield from _pairs(*kept, num, den)
-
-    return bucket
+INDEX_COLUMNS = ["matrix", "key", "cls", "n", "id"]
 
 
 def _arrays(k: int, hot):
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            cls, grp = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            fresh = []
-            for i, c in enumerate(cls):
-                if c not in seen:
-                    seen.add(c)
-                    fresh.append(i)
-            if len(seen) > 500_000:
-                seen.clear()
-            sets = [_signed(s) for s in shingle_sets(_raws(batch.column(0).take(pa.array(fresh, pa.int32()))), k, hot.value)]
-            yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i in fresh], pa.int64()), pa.array([grp[i] for i in fresh], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "grp", "arr"])
+            sets = [_signed(s) for s in shingle_sets(_raws(batch.column(0)), k, hot.value)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["cls", "arr"])
 
     return arrays
 
 
-def _verify(num: int, den: int):
-    """Links between the askers and the members of one block of a group. A pair that is
-    already connected, by what came before or here, needs no comparison."""
-
-    def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        asks = rows[rows.asker].drop_duplicates("cls")
-        members = rows[~rows.asker].drop_duplicates("cls")
-        m_comp, m_arr = members.comp.tolist(), list(members.arr)
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        union = np.unique(np.concatenate(m_arr)) if m_arr else np.zeros(0, dtype=np.int64)
-        found = []
-        for comp, arr in zip(asks.comp.tolist(), asks.arr, strict=True):
-            held = union[np.minimum(np.searchsorted(union, arr), len(union) - 1)] == arr if len(union) else np.zeros(len(arr), bool)
-            if den * int(held.sum()) < num * len(arr):
-                continue
-            for c, other in zip(m_comp, m_arr, strict=True):
-                if den * min(len(arr), len(other)) < num * max(len(arr), len(other)) or root(c) == root(comp):
-                    continue
-                both = len(np.intersect1d(arr, other, assume_unique=True))
-                if den * both >= num * (len(arr) + len(other) - both):
-                    parent[root(c)] = root(comp)
-                    found.append((comp, c))
-        return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
-
-    return verify
+class _Bounds:
+    """Bounds of sizes and overlaps as columns, for links at ``num / den``."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+
+    def least(self, n: Column) -> Column:
+        """Smallest set that can link with one of ``n``; :meth:`most` the largest."""
+        return F.ceil(self.num * n / self.den).cast("long")
+
+    def most(self, n: Column) -> Column:
+        return F.floor(self.den * n / self.num).cast("long")
+
+    def slack(self, n: Column) -> Column:
+        return F.floor(n / 40).cast("long") + 1
+
+    def prefix(self, n: Column) -> Column:
+        return F.least(n, n - self.least(n) + self.slack(n)).cast("long")
+
+    def overlap(self, a: Column, b: Column) -> Column:
+        """Least overlap of linked sets of these sizes."""
+        return F.ceil(self.num * (a + b) / (self.num + self.den)).cast("long")
+
+    def apart(self, a: Column, b: Column) -> Column:
+        """Most shingles that only one of two linked sets of these sizes has."""
+        return F.floor((self.den - self.num) * (a + b) / (self.den + self.num)).cast("long")
+
+    def fits(self, n: Column, low: Column, high: Column) -> Column:
+        return (self.most(n) >= low) & (self.least(n) <= high)
+
+    def shared(self, n: Column, low: Column, high: Column) -> Column:
+        """Least number of shingles that the prefixes of a set of ``n`` and of a linked one,
+        of a size from ``low`` to ``high``, have in common. Both hold an initial part of the
+        overlap in the global order: what the overlap needs and the rest of the set cannot
+        give. The first side's share grows with the other's size, the second's falls with it
+        but for rounding (3 at most)."""
+        low, high = F.greatest(low, self.least(n)), F.least(high, self.most(n))
+        mine = self.overlap(n, low) - n + self.prefix(n)
+        other = self.overlap(n, high) - high + self.prefix(high) - F.when(low < high, 3).otherwise(0)
+        return F.greatest(F.lit(1), F.least(mine, other))
+
+
+def _leaders(rows: DataFrame, b: _Bounds, num: int, den: int) -> DataFrame:
+    """``rows(token, cls, n, s)`` to ``(cls, grp)``: a class joins the leader that most classes
+    could join, if it shares half of its shared shingles with it; else it leads itself. The
+    leader of a shingle, among classes of like size, is the one with the fewest shingles of
+    its own: the middle of a family of near copies, which all its members meet."""
+    rows = rows.withColumn("band", F.floor(F.log("n") / math.log(den / num)).cast("int"))
+    typical = F.col("s") / b.prefix(F.col("n")) + F.pmod("cls", F.lit(1 << 20)) / float(1 << 41)
+    best = rows.groupBy("token", "band").agg(F.max_by("cls", typical).alias("leader"))
+    met = rows.join(best, ["token", "band"]).filter("cls <> leader").groupBy("cls", "leader").agg(F.count("*").alias("c"), F.max("s").alias("s"), F.max("n").alias("n"))
+    met = cut(met.filter((F.col("c") >= b.slack(F.col("n"))) & (2 * F.col("c") >= F.col("s"))).select("cls", "leader"))
+    drawn = met.groupBy("leader").agg(F.count("*").alias("drawn"))
+    own = drawn.select(F.col("leader").alias("cls"), F.col("drawn").alias("own"))
+    top = met.join(drawn, "leader").groupBy("cls").agg(F.max(F.struct("drawn", "leader")).alias("top")).join(own, "cls", "left")
+    follows = F.col("top") > F.struct(F.coalesce("own", F.lit(0).cast("long")).alias("drawn"), F.col("cls").alias("leader"))
+    return top.filter(follows).select("cls", F.col("top.leader").alias("grp"))
+
+
+def _visits(rows: DataFrame, sizes: DataFrame, b: _Bounds) -> DataFrame:
+    """``rows(token, cls, n, s, grp)`` to ``(cls, grp)``: the larger groups whose union shares so
+    many prefix shingles with a class that a member may link with it."""
+    rows = rows.join(sizes, "grp")
+    union = rows.groupBy("token", "grp", "members").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("s").alias("most"))
+    several = union.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("z")).filter("a <> z").select("token")
+    union = union.join(several, "token", "left_semi").toDF("token", "to", "to_members", "low", "high", "most")
+    n = F.col("n")
+    larger = F.struct("to_members", "to") > F.struct("members", "grp")
+    may = b.fits(n, F.col("low"), F.col("high")) & (b.shared(n, F.col("low"), F.col("high")) <= F.least("s", "most"))
+    met = rows.join(union, (rows.token == union.token) & larger & may).select("cls", "to", "n", "low", "high")
+    met = met.groupBy("cls", "to").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return met.filter(F.col("c") >= b.shared(n, F.col("low"), F.col("high"))).select("cls", F.col("to").alias("grp"))
+
+
+def _open(entries: DataFrame, b: _Bounds) -> DataFrame:
+    """``entries(grp, cls, home, n, ln, d, diff)``, classes compared with their groups' leaders,
+    to links ``(src, dst)`` that do not lead over the leader.
+
+    Two sets differ in what just one of their differences from the leader holds. So a class
+    that is no near copy of the leader can only link with a member of which it shares a
+    stated part of the difference, and the first common shingle, the group's rarest first,
+    comes early in both. Shingles that only one class of the group has drop out unseen."""
+    d, n = F.col("d"), F.col("n")
+    far = d > b.apart(n, F.col("ln"))
+    entries = entries.withColumn("far", far).withColumn("reach", b.apart(n, b.most(n)))
+    met = entries.filter("home or not far")  # what visitors that are far from the leader meet, and members that are far
+    top = met.groupBy("grp").agg(F.max(F.struct("d", "cls")).alias("top"))
+    rest = met.join(top, "grp").filter("cls <> top.cls").groupBy("grp").agg(F.max("d").alias("next"))
+    widest = F.when(F.col("cls") == F.col("top.cls"), F.col("next")).otherwise(F.col("top.d"))
+    kept = entries.join(top.join(rest, "grp", "left"), "grp").withColumn("asks", F.col("far") & F.coalesce(d - F.col("reach") <= widest, F.lit(False))).drop("top", "next")
+    asked = kept.filter("asks").select("grp").distinct()
+    kept = cut(kept.filter("home or asks or not far").join(asked, "grp", "left_semi"))
+
+    tokens = kept.select("grp", "cls", "home", "asks", "n", "ln", "d", "reach", "far", F.explode("diff").alias("token"))
+    often = tokens.groupBy("grp", "token").agg(F.count("*").alias("df")).filter("df > 1")
+    tokens = tokens.join(often, ["grp", "token"])
+    each = Window.partitionBy("grp", "cls")
+    tokens = tokens.withColumn("at", F.row_number().over(each.orderBy("df", "token"))).withColumn("of", F.count("*").over(each))
+    tokens = tokens.withColumn("at", F.col("at") - 1 + d - F.col("of"))
+    surplus = F.greatest(F.lit(0), n - F.col("ln"))
+    probes = tokens.filter("asks and at <= reach").select("grp", "token", F.col("home").alias("x_home"), *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "d", "at")])
+    index = tokens.filter((F.col("home") | ~F.col("far")) & (F.col("at") <= d - F.greatest(F.lit(1), F.ceil((d + 1 - surplus) / 2)))).select("grp", "token", "asks", *[F.col(c).alias(f"y_{c}") for c in ("cls", "n", "d", "at")])
+    index = cut(index)
+    x, y = (lambda c: F.col(f"x_{c}")), (lambda c: F.col(f"y_{c}"))
+    most = b.apart(x("n"), y("n"))
+    common = F.greatest(F.lit(1), F.ceil((x("d") + y("d") - most) / 2))
+    may = (x("cls") != y("cls")) & (~F.col("asks") | ~F.col("x_home") | (x("cls") > y("cls"))) & (F.abs(x("d") - y("d")) <= most) & (x("at") <= x("d") - common) & (y("at") <= y("d") - common)
+    pairs = probes.alias("p").join(index.alias("i"), (F.col("p.grp") == F.col("i.grp")) & (F.col("p.token") == F.col("i.token")) & may).select("p.grp", "x_cls", "y_cls", most.alias("most")).distinct()
+    side = lambda c: kept.select("grp", F.col("cls").alias(f"{c}_cls"), F.col("diff").alias(f"{c}_diff"))
+    both = pairs.join(side("x"), ["grp", "x_cls"]).join(side("y"), ["grp", "y_cls"])
+    gap = F.size("x_diff") + F.size("y_diff") - 2 * F.size(F.array_intersect("x_diff", "y_diff"))
+    return both.filter(gap <= F.col("most")).select(F.col("x_cls").alias("src"), F.col("y_cls").alias("dst"))
 
 
 def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,60 +254,58 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
     give a row. A null id takes part and gets its component's smallest id, if it has one. Ids
     are integers. Other columns do not pass through. An empty table gives an empty table.
 
-    Exact up to 64-bit hashing of shingles and sets. The hot list only orders shingles. What a
-    task holds is bounded: a batch of texts, a shingle's rows, or two blocks of a group; a
-    group is first compared with one member of its own and such members with one another; what
-    is not yet connected by that is compared in blocks of bounded size.
+    Exact up to 64-bit hashing of shingles and sets. The hot list only orders shingles, and
+    the choice of groups only decides the work: any pair that can link is compared in the
+    group of one of them. No group is gathered: members are compared with their leader, a
+    row each, and further only through shingles of their differences from it, so a family of
+    near copies costs by its members. A task holds a batch of texts.
     """
     spark = docs.sparkSession
+    b = _Bounds(num, den)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     texts = texts.withColumn("key", F.xxhash64("text"))
     hot = spark.sparkContext.broadcast(hot_shingles(texts, k))
 
-    index = Table(texts.select("text", "key").mapInArrow(_index_rows(k, num, den, hot), "matrix boolean, key long, cls long, grp long, n int"), "shingle-index")
-    matrix = index.read().filter("matrix").select(F.col("key").alias("token"), "cls", "grp", "n")
-    buckets = matrix.repartition(F.col("token")).sortWithinPartitions("token")
-    asked = buckets.mapInArrow(_bucket_rows(num, den), "cls long, grp long, need int").groupBy("cls", "grp").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
-    visits = cut(asked.filter("shared >= need").select("cls", "grp"))
-    by_text = cut(index.read().filter("not matrix").groupBy("key").agg(F.first("cls").alias("cls"), F.first("grp").alias("grp"), F.first("n").alias("n")))
+    index = Table(texts.select("text", "key", "id").mapInArrow(_index_rows(k, num, den, hot), "matrix boolean, key long, cls long, n int, id long"), "shingle-index")
+    matrix = index.read().filter("matrix").select(F.col("key").alias("token"), "cls", F.col("n").cast("long").alias("n"))
+    met = matrix.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a <> z").select("token")
+    shared = Table(matrix.join(met, "token").distinct(), "shared-shingles")
+    by_text = cut(index.read().filter("not matrix").groupBy("key").agg(F.first("cls").alias("cls"), F.first("n").alias("n"), F.min("id").alias("one")))
     index.drop()
 
-    classes = cut(by_text.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("key"), F.first("grp").alias("grp")))
-    members = classes.groupBy("grp").agg(F.count("*").alias("members"))
-    opened = members.filter("members > 1").select("grp").unionByName(visits.select("grp")).distinct()
-    wanted = classes.join(opened, "grp", "left_semi").select("cls").unionByName(visits.select("cls")).distinct()
-    wanted = classes.join(wanted, "cls", "left_semi").select("key", "cls", "grp")
-    arrays = Table(texts.select("key", "text").join(wanted, "key").select("text", "cls", "grp").mapInArrow(_arrays(k, hot), "cls long, grp long, arr array<long>"), "shingle-sets")
-    a = arrays.read()
-
-    linked = lambda x, y: den * F.size(F.array_intersect(x, y)) >= num * (F.size(x) + F.size(y) - F.size(F.array_intersect(x, y)))
-    pivot = cut(a.groupBy("grp").agg(F.min(F.struct("cls", "arr")).alias("p")).select("grp", F.col("p.cls").alias("pivot"), F.col("p.arr").alias("p_arr")))
-    near = a.join(pivot, "grp").select("grp", "cls", "pivot", linked("arr", "p_arr").alias("linked"))
-    near = cut(near.distinct())
-    meets = visits.join(pivot.select(F.col("pivot").alias("cls"), F.col("p_arr").alias("q_arr")), "cls").join(pivot, "grp").filter(linked("q_arr", "p_arr"))
-    edges = near.filter("linked and cls <> pivot").select(F.col("cls").alias("src"), F.col("pivot").alias("dst")).unionByName(meets.select(F.col("cls").alias("src"), F.col("pivot").alias("dst")))
-    first = connected_components(edges)
-    placed = near.join(first, near.cls == first.node, "left").select("grp", "cls", "linked", F.coalesce("component", "cls").alias("comp"))
-    placed = cut(placed)
-    groups = placed.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members"))
-
-    own = placed.filter("not linked").select("cls", "grp")
-    rest = own.unionByName(visits).distinct().join(placed.select("cls", "comp").distinct(), "cls").join(groups, "grp").filter("low <> high or comp <> low").select("grp", "cls", "comp")
-    rest = cut(rest)
-    asks = rest.groupBy("grp").agg(F.count("*").alias("asks"))
-    blocks = asks.join(groups, "grp").select("grp", F.ceil(F.col("asks") / BLOCK).cast("int").alias("na"), F.ceil(F.col("members") / BLOCK).cast("int").alias("nm"))
-    block = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asker = rest.join(blocks, "grp").select("grp", "cls", "comp", block("na").alias("ba"), spread("nm").alias("bm"))
-    member = placed.join(blocks, "grp").select("grp", "cls", "comp", block("nm").alias("bm"), spread("na").alias("ba"))
-    sides = asker.withColumn("asker", F.lit(True)).unionByName(member.withColumn("asker", F.lit(False)))
-    more = sides.join(a.select("cls", "arr"), "cls").groupBy("grp", "ba", "bm").applyInPandas(_verify(num, den), "src long, dst long")
-    second = connected_components(more).select(F.col("node").alias("first_comp"), F.col("component").alias("last_comp"))
+    n = F.col("n")
+    alive = shared.read().groupBy("cls").agg(F.count("*").alias("s"), F.first("n").alias("n")).filter(F.col("s") >= b.shared(n, b.least(n), b.most(n))).select("cls", "s")
+    rows = Table(shared.read().join(alive, "cls"), "live-shingles")
+    shared.drop()
+    follows = cut(_leaders(rows.read(), b, num, den))
+    placed = rows.read().join(follows, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+    placed = Table(placed, "grouped-shingles")
+    rows.drop()
+    sizes = cut(placed.read().select("cls", "grp").distinct().groupBy("grp").agg(F.count("*").alias("members")))
+    visits = _visits(placed.read(), sizes, b)
+    seats = cut(follows.withColumn("home", F.lit(True)).unionByName(visits.withColumn("home", F.lit(False))))
+    placed.drop()
+
+    wanted = seats.select("cls").union(seats.select("grp")).distinct()
+    wanted = cut(by_text.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("key", "one")).alias("r")).join(wanted, "cls", "left_semi").select("cls", "r.key", "r.one"))
+    read = texts.select("text", "key", "id")
+    if wanted.count() <= MAX_WANTED:  # else the texts are shuffled by the join below
+        read = read.join(F.broadcast(wanted.select("key").distinct()), "key", "left_semi")
+    read = read.join(wanted, (read.key == wanted.key) & read.id.eqNullSafe(wanted.one)).select("text", "cls")
+    arrays = Table(read.mapInArrow(_arrays(k, hot), "cls long, arr array<long>").dropDuplicates(["cls"]), "shingle-sets")
+
+    mine = arrays.read()
+    leader = arrays.read().select(F.col("cls").alias("grp"), F.col("arr").alias("l_arr"))
+    diff = F.concat(F.array_except("arr", "l_arr"), F.array_except("l_arr", "arr"))
+    entries = seats.join(mine, "cls").join(leader, "grp").select("grp", "cls", "home", F.size("arr").cast("long").alias("n"), F.size("l_arr").cast("long").alias("ln"), diff.alias("diff"))
+    entries = Table(entries.withColumn("d", F.size("diff").cast("long")), "differences")
     arrays.drop()
-    found = placed.select(F.col("cls").alias("node"), F.col("comp").alias("first_comp")).distinct().join(second, "first_comp", "left").select("node", F.coalesce("last_comp", "first_comp").alias("component"))
+    near = entries.read().filter(F.col("d") <= b.apart(n, F.col("ln"))).select(F.col("cls").alias("src"), F.col("grp").alias("dst"))
+    found = connected_components(near.unionByName(_open(entries.read(), b)))
+    entries.drop()
 
     labelled = by_text.join(found, by_text.cls == found.node, "left").select("key", F.coalesce("component", "cls").alias("component"), "n")
-    rows = cut(texts.select("id", "key").join(labelled, "key", "left"))
-    least = rows.filter("component is not null").groupBy("component").agg(F.min("id").alias("least"))
-    out = rows.join(least, "component", "left")
+    out = cut(texts.select("id", "key").join(labelled, "key", "left"))
+    least = out.filter("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+    out = out.join(least, "component", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))

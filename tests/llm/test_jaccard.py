@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from tanglemap.llm import jaccard
 
@@ -39,10 +40,9 @@ def near(rng, words, share):
     return [w if rng.random() > share else f"n{rng.randrange(9999)}" for w in words]
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_random_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
-    rng = random.Random(block)
+@pytest.mark.parametrize("seed", [512, 4])
+def test_random_against_brute_force(spark, seed):
+    rng = random.Random(seed)
     rows = []
     for group in range(12):
         words = [f"w{rng.randrange(40)}" for _ in range(rng.choice([3, 10, 60, 150]))]
@@ -58,3 +58,53 @@ def test_edges(spark):
     rows = [(5, None), (6, ""), (7, " \t\n"), (8, "One two"), (3, "one  TWO"), (9, "one"), (9, "one"), (None, "one"), (1, "a b c d e"), (2, "A b c d e"), (4, "É b c d e f g"), (10, "é b c d e f g"), (11, "x " * 100_000), (12, "x " * 90_000)]
     assert run(spark, rows) == brute(rows, 4, 85, 100)
     assert run(spark, []) == []
+
+
+def family(size, seed):
+    """Near copies of one text of which no two begin alike; words replaced, dropped or added."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(size):
+        own = [f"only{i}", *words]
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            at = rng.randrange(1, len(own))
+            own[at : at + rng.choice([0, 1, 1, 4])] = rng.choice([[], [f"e{rng.randrange(40)}"], [f"o{rng.randrange(9999)}", "and"]])
+        texts.append(" ".join(own))
+    return texts
+
+
+def components_by_matrix(texts, k, num, den):
+    sets = [{t[i : i + k] for i in range(len(t) - k + 1)} for t in (tuple(x.split()) for x in texts)]
+    place = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(sets), len(place)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        m[i, [place[g] for g in s]] = 1
+    both, n = m @ m.T, m.sum(axis=1)
+    linked = den * both >= num * (n[:, None] + n[None, :] - both)
+    label = np.arange(len(sets))
+    while True:
+        least = np.array([label[row].min() for row in linked])
+        if (least == label).all():
+            return label
+        label = least
+
+
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
+def test_large_family_is_exact_and_visits_few_groups(spark, monkeypatch, k, num):
+    seen = []
+    visits = jaccard._visits
+
+    def counted(*args):
+        out = visits(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_visits", counted)
+    texts = family(2_000, num)
+    rows = list(enumerate(texts))
+    got = {d: c for d, _, c in run(spark, rows, k=k, num=num, den=100)}
+    want = components_by_matrix(texts, k, num, 100)
+    assert got == {i: int(c) for i, c in enumerate(want)}
+    assert 1 < len(set(got.values())) < len(rows)
+    assert seen[0] <= len(rows)
