@@ -7,15 +7,17 @@ neither stops a job nor goes unseen.
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 from tanglemap.extract.rows import Extract
 
 
-def _docstring(node: ast.AST) -> str | None:
+def _docstring(source: list[str], node: ast.AST) -> str | None:
+    """The first statement, if it is a string without a prefix."""
     first = node.body[0] if getattr(node, "body", None) else None
     if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
+        if source[first.lineno - 1].encode()[first.col_offset : first.col_offset + 1] not in (b'"', b"'"):
+            return None
         return first.value.value.strip() or None
     return None
 
@@ -28,7 +30,7 @@ def _signature(source: list[str], node: ast.AST) -> str:
         elif char in ")]":
             depth -= 1
         elif char == ":" and depth == 0:
-            return re.sub(r"\s+", " ", "".join(out)).strip()
+            return "".join(out).strip()
         out.append(char)
     return source[node.lineno - 1].strip()
 
@@ -60,7 +62,7 @@ def extract_python(path: str, text: str) -> Extract:
     except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
         out.error = f"{type(error).__name__}: {error}"
         return out
-    out.rows[0]["docstring"] = _docstring(tree)
+    out.rows[0]["docstring"] = _docstring(source, tree)
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
             out.edge("IMPORTS_FROM", path, node.names[0].name, node.lineno)
@@ -70,7 +72,7 @@ def extract_python(path: str, text: str) -> Extract:
     def functions(node, parent: str | None) -> None:
         name = f"{parent}.{node.name}" if parent else node.name
         kind = "Method" if parent else "Function"
-        out.node(kind, node.name, node.lineno, node.end_lineno, parent, _signature(source, node), _docstring(node), [f"@{ast.unparse(d)}" for d in node.decorator_list])
+        out.node(kind, node.name, node.lineno, node.end_lineno, parent, _signature(source, node), _docstring(source, node), [f"@{ast.get_source_segment(text, d)}" for d in node.decorator_list])
         out.edge("HAS_METHOD" if parent else "CONTAINS", f"{path}::{parent}" if parent else path, f"{path}::{name}", node.lineno)
         args = node.args
         annotated = [node.returns, *[a.annotation for a in [*args.posonlyargs, *args.args, *args.kwonlyargs, args.vararg, args.kwarg] if a is not None]]
@@ -83,7 +85,7 @@ def extract_python(path: str, text: str) -> Extract:
                     out.call(f"{path}::{name}", parent, callee, call.lineno)
 
     def classes(node: ast.ClassDef, parent: str | None) -> None:
-        out.node("Class", node.name, node.lineno, node.end_lineno, parent, _signature(source, node), _docstring(node), [f"@{ast.unparse(d)}" for d in node.decorator_list])
+        out.node("Class", node.name, node.lineno, node.end_lineno, parent, _signature(source, node), _docstring(source, node), [f"@{ast.get_source_segment(text, d)}" for d in node.decorator_list])
         own = f"{path}::{parent}.{node.name}" if parent else f"{path}::{node.name}"
         out.edge("CONTAINS", path, own, node.lineno)
         for base in node.bases:

@@ -13,6 +13,8 @@ SCHEMA = (
     "record string, kind string, name string, qualified_name string, file_path string, line_start int, line_end int, language string, parent_name string, "
     "signature string, docstring string, decorators array<string>, src string, dst string, line int, extra string, error string"
 )
+NODE_KINDS = ("File", "Class", "Function", "Method")
+EDGE_KINDS = ("CONTAINS", "HAS_METHOD", "IMPORTS_FROM", "INHERITS", "CALLS", "USES_TYPE", "COVERS")
 ARROW = pa.schema([(n, {"int": pa.int32(), "string": pa.string()}.get(t, pa.list_(pa.string()))) for n, t in (part.split(" ") for part in SCHEMA.split(", "))])
 
 
@@ -66,25 +68,33 @@ class Extract:
                 self.edge("CALLS", caller, bare, line, {"unresolved": True})
 
 
-def extract_sources(files: DataFrame) -> DataFrame:
+ROWS_HELD = 5_000  # rows, and those of one file more, that a task gathers before it hands them on
+
+
+def extract_sources(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """``files(path, text)`` to node and edge rows (``record`` tells which). Each file is parsed
-    alone, so this is one pass without a shuffle; files without a parser give no row."""
+    alone, so this is one pass without a shuffle; files without a parser give no row.
+    ``partitions``: deals the files out first, for a table that lies in few."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tanglemap.extract.python_source import extract_python
         from tanglemap.extract.script_source import extract_script
 
+        rows: list[dict] = []
         for batch in batches:
-            rows = []
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 suffix = path.rsplit(".", 1)[-1] if path and "." in path else ""
                 parser = extract_python if suffix == "py" else extract_script if suffix in ("js", "jsx", "ts", "tsx") else None
                 if parser:
                     found = parser(path, text or "")
                     rows.extend(row | {"file_path": path, "language": found.language, "error": found.error} for row in found.rows)
-            yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+                if len(rows) >= ROWS_HELD:
+                    yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+                    rows = []
+        yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
-    return files.select("path", "text").mapInArrow(parse, SCHEMA)
+    files = files.select("path", "text")
+    return (files if partitions is None else files.repartition(partitions, "path")).mapInArrow(parse, SCHEMA)
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ see code alone.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 from tanglemap.extract.rows import Extract
 
@@ -41,7 +42,8 @@ def extract_script(path: str, text: str) -> Extract:
     lead = re.match(r"\s*/\*\*(.*?)\*/", text, re.S)
     doc = " ".join(filter(None, (line.strip().lstrip("*").strip() for line in lead[1].split("\n")))) if lead else None
     out.node("File", path.rsplit("/", 1)[-1], 1, max(1, text.count("\n") + (not text.endswith("\n"))), docstring=doc)
-    line = lambda at: text.count("\n", 0, at) + 1
+    starts = [m.end() for m in re.finditer("\n", text)]
+    line = lambda at: bisect_right(starts, at) + 1
     for pattern in (IMPORT, REQUIRE):
         for m in pattern.finditer(text):
             out.edge("IMPORTS_FROM", path, m[1], line(m.start(1)))

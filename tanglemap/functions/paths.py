@@ -24,10 +24,15 @@ def is_test_file(path: Column) -> Column:
     return reduce(Column.__or__, [name.startswith("test_"), *[name.endswith(s) for s in TEST_SUFFIXES]])
 
 
+def matches_any(path: Column, patterns: Sequence[str]) -> Column:
+    """By SQL patterns, case-insensitive."""
+    return reduce(Column.__or__, [F.lower(path).like(p) for p in patterns])
+
+
 def is_test_path(path: Column, strict: bool = False) -> Column:
     """By SQL patterns, case-insensitive; ``_`` is a wildcard unless ``strict``."""
     patterns = [p.replace("_", "\\_") for p in TEST_PATTERNS] if strict else TEST_PATTERNS
-    return reduce(Column.__or__, [F.lower(path).like(p) for p in patterns])
+    return matches_any(path, patterns)
 
 
 def language_of(path: Column) -> Column:

@@ -37,14 +37,18 @@ def state_of(nodes: DataFrame, edges: DataFrame, percentile: int = 90, resolve:
 
 
 def save_baseline(state: State, path: str | Path) -> None:
-    modules = [{"file_path": r["file_path"], "fan_in": round(r["fan_in"], 3), "fan_out": round(r["fan_out"], 3), "instability": round(r["instability"], 4)} for r in state.metrics.orderBy("file_path").toLocalIterator()]
-    told = {
-        "saved_at": datetime.now(UTC).isoformat(),
-        "modules": modules,
-        "cycles": [list(r["members"]) for r in state.cycles.orderBy("component").collect()],
-        "god_modules": [r["file_path"] for r in state.gods.orderBy("file_path").collect()],
-    }
-    Path(path).write_text(json.dumps(told, indent=2))
+    """Modules go to the file one by one; it takes its place when it is whole."""
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    new = path.with_name(f"{path.name}.new")
+    with new.open("w") as out:
+        out.write('{"saved_at": ' + json.dumps(datetime.now(UTC).isoformat()) + ', "modules": [')
+        for i, r in enumerate(state.metrics.orderBy("file_path").toLocalIterator()):
+            module = {"file_path": r["file_path"], "fan_in": round(r["fan_in"], 3), "fan_out": round(r["fan_out"], 3), "instability": round(r["instability"], 4)}
+            out.write((", " if i else "") + json.dumps(module))
+        out.write('], "cycles": ' + json.dumps([list(r["members"]) for r in state.cycles.orderBy("component").toLocalIterator()]))
+        out.write(', "god_modules": ' + json.dumps([r["file_path"] for r in state.gods.orderBy("file_path").toLocalIterator()]) + "}")
+    new.replace(path)
 
 
 def read_baseline(spark: SparkSession, path: str) -> State:

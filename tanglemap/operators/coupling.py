@@ -90,33 +90,53 @@ def class_children(classes: DataFrame, inherits: DataFrame) -> DataFrame:
     return classes.select("qualified_name").distinct().join(counts, "qualified_name", "left").select("qualified_name", F.coalesce("children", F.lit(0)).cast("long").alias("children"))
 
 
-def inheritance_metrics(classes: DataFrame, inherits: DataFrame, max_depth: int = 64) -> DataFrame:
+def _climbed(parent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``parent(src, dst)``, one row a class, to ``(src, top, steps)``: the end of each walk over
+    parents and its length; and the classes ``(src)`` whose walk has none, as it meets a cycle.
+
+    Pointer doubling: a round joins walks with walks. While a walk that ends is still open,
+    each round closes some; so a round that closes none leaves only those that meet a cycle."""
+    walk = cut(parent.select("src", F.col("dst").alias("top"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("open")))
+    before = None
+    while True:
+        ahead = walk.select(F.col("src").alias("at"), F.col("top").alias("next"), F.col("steps").alias("more"))
+        joined = walk.join(ahead, walk.top == ahead["at"], "left")
+        walk = cut(joined.select("src", F.coalesce("next", "top").alias("top"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("at").isNotNull().alias("open")))
+        still = walk.filter("open").count()
+        if still in (0, before):
+            return walk.filter("not open").select("src", "top", "steps"), walk.filter("open").select("src")
+        before = still
+
+
+def _cycles_of(parent: DataFrame) -> DataFrame:
+    """``parent(src, dst)`` of classes whose walks all meet a cycle, to the classes on one:
+    ``(top, length)``. As many steps as there are classes lead from anywhere onto a cycle, and
+    from all of its classes to all of them."""
+    size = parent.count()
+    walk, length = parent.select("src", F.col("dst").alias("top"), F.least("src", "dst").alias("low")), 1
+    while length < size:
+        ahead = walk.select(F.col("src").alias("top"), F.col("top").alias("next"), F.col("low").alias("lower"))
+        walk = cut(walk.join(ahead, "top").select("src", F.col("next").alias("top"), F.least("low", "lower").alias("low")))
+        length *= 2
+    on = walk.select("top").distinct()
+    named = walk.join(on.withColumnRenamed("top", "src"), "src", "left_semi").select(F.col("src").alias("top"), "low")
+    return named.join(named.groupBy("low").agg(F.count("*").alias("length")), "low").select("top", "length")
+
+
+def inheritance_metrics(classes: DataFrame, inherits: DataFrame) -> DataFrame:
     """Depth (length of the walk over parents, an external parent included, a cycle cut at
     the first class met again) and direct children of each class. ``inherits(src, dst, id)``:
     of several parents the edge of greatest id counts.
 
-    The walk goes by pointer doubling: a round joins paths with paths, so depth ``d`` takes
-    about ``log2(d)`` rounds. Cyclic chains are longer than any acyclic one of as many steps
-    as there are classes on them, so the cut is exact once a path would repeat."""
-    parent = inherits.groupBy("src").agg(F.max_by("dst", F.struct("id", "dst")).alias("dst"))
-    walk = cut(parent.select("src", F.array("dst").alias("path"), F.lit(False).alias("done")))
-    length = 1
-    while length < max_depth:
-        tails = walk.select(F.col("src").alias("at"), F.col("path").alias("more"))
-        joined = walk.join(tails, F.when(~F.col("done"), F.element_at("path", -1)) == F.col("at"), "left")
-        grown = F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more"))
-        walk = cut(joined.select("src", grown.alias("path"), (F.col("done") | F.col("more").isNull() | (F.size(F.array_distinct(grown)) < F.size(grown)) | F.array_contains(grown, F.col("src"))).alias("done")))
-        length *= 2
-        if walk.filter(~F.col("done")).isEmpty():
-            break
-    # steps until a class repeats (the start counts as met)
-    nodes = F.concat(F.array("src"), F.col("path"))
-    seen = F.aggregate(
-        nodes,
-        F.struct(F.array().cast("array<string>").alias("met"), F.lit(False).alias("stop")),
-        lambda s, n: F.when(s["stop"] | F.array_contains(s["met"], n), F.struct(s["met"].alias("met"), F.lit(True).alias("stop"))).otherwise(F.struct(F.concat(s["met"], F.array(n)).alias("met"), F.lit(False).alias("stop"))),
-    )
-    depth = F.size(seen["met"]) - 1 + seen["stop"].cast("int")
-    depths = walk.select(F.col("src").alias("qualified_name"), depth.alias("depth"))
-    out = class_children(classes, inherits).join(depths, "qualified_name", "left")
+    There is no limit of depth: about ``log2`` of the longest walk rounds of one join each. A
+    walk that meets a cycle has the length of its way there and the cycle's."""
+    parent = cut(inherits.groupBy("src").agg(F.max_by("dst", F.struct("id", "dst")).alias("dst")))
+    ended, endless = _climbed(parent)
+    depths = ended.select("src", F.col("steps").alias("depth"))
+    if not endless.isEmpty():
+        caught = cut(parent.join(endless, "src", "left_semi"))
+        cycles = cut(_cycles_of(caught))
+        tails, _ = _climbed(caught.join(cycles.select(F.col("top").alias("src")), "src", "left_anti"))
+        depths = depths.unionByName(cycles.select(F.col("top").alias("src"), F.col("length").alias("depth"))).unionByName(tails.join(cycles, "top").select("src", (F.col("steps") + F.col("length")).alias("depth")))
+    out = class_children(classes, inherits).join(depths.withColumnRenamed("src", "qualified_name"), "qualified_name", "left")
     return out.select("qualified_name", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"), "children")

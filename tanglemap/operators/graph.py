@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from tanglemap.scratch import cut
@@ -72,25 +74,58 @@ def scc_cycles(edges: DataFrame) -> DataFrame:
     return found.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"))
 
 
-def impact_radius(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, max_nodes: int = 500) -> DataFrame:
-    """Nodes within ``max_depth`` undirected steps of ``seeds(node)``: ``node``, ``depth`` and
-    ``role`` (seed or impacted). A round that brings the total beyond ``max_nodes`` is still
-    in the result and the last. Work per round is one join of the frontier with the edges."""
+def _reached(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int) -> tuple[DataFrame, int]:
+    """``node, depth`` of what is met, and the depth reached: a last round that finds nothing
+    counts, one that brings the total beyond ``max_nodes`` does not, though its nodes stay."""
     links = simple(edges)
     both = cut(links.union(links.select("dst", "src")).distinct())
     seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     total = seen.count()
-    for depth in range(1, max_depth + 1):
-        front = seen.filter(F.col("depth") == depth - 1).select(F.col("node").alias("src"))
+    reached = 0
+    while total and reached < max_depth:
+        front = seen.filter(F.col("depth") == reached).select(F.col("node").alias("src"))
         fresh = both.join(front, "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        seen = cut(seen.unionByName(fresh.withColumn("depth", F.lit(depth))))
+        seen = cut(seen.unionByName(fresh.withColumn("depth", F.lit(reached + 1))))
         now = seen.count()
-        if now == total or now > max_nodes:
+        if now > max_nodes:
+            break
+        reached += 1
+        if now == total:
             break
         total = now
+    return seen, reached
+
+
+def impact_radius(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, max_nodes: int = 500) -> DataFrame:
+    """Nodes within ``max_depth`` undirected steps of ``seeds(node)``: ``node``, ``depth`` and
+    ``role`` (seed or impacted). A round that brings the total beyond ``max_nodes`` is still
+    in the result and the last. Work per round is one join of the frontier with the edges."""
+    seen, _ = _reached(edges, seeds, max_depth, max_nodes)
     return seen.select("node", "depth", F.when(F.col("depth") == 0, "seed").otherwise("impacted").alias("role"))
 
 
+@dataclass
+class Impact:
+    """What a change of files touches."""
+
+    changed: DataFrame  # nodes of the changed files
+    impacted: DataFrame  # other known nodes that are met
+    files: DataFrame  # file_path of the impacted nodes
+    edges: DataFrame  # edges among changed and impacted nodes
+    depth: int
+
+
+def impact_of_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, max_depth: int = 2, max_nodes: int = 500) -> Impact:
+    """:func:`impact_radius` from all nodes of ``files(file_path)``; what is met but is no known
+    node (such as an external module) does not count."""
+    changed = nodes.join(files.select("file_path").distinct(), "file_path", "left_semi").select(*nodes.columns)
+    seen, depth = _reached(edges, changed.select(F.col("qualified_name").alias("node")), max_depth, max_nodes)
+    met = seen.filter("depth > 0").select(F.col("node").alias("qualified_name"))
+    impacted = nodes.join(met, "qualified_name", "left_semi").select(*nodes.columns)
+    inside = changed.select(F.col("qualified_name").alias("node")).union(impacted.select("qualified_name"))
+    return Impact(changed, impacted, impacted.select("file_path").distinct(), induced_edges(edges, inside), depth)
+
+
 def dependency_chain(edges: DataFrame, root, max_depth: int = 5) -> DataFrame:
     """Shortest chains from ``root`` along out-edges: ``node``, ``depth``, ``chain``; each
     reachable node once, by its smallest shortest path. Breadth-first, so it parallelises; a
@@ -139,6 +174,16 @@ def kind_counts(rows: DataFrame) -> DataFrame:
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, files and distinct languages."""
+    """One row: nodes, edges, files and kinds."""
     n = nodes.agg(F.count("*").alias("nodes"), F.count_distinct("file_path").alias("files"), F.count_distinct("kind").alias("kinds"))
     return n.join(F.broadcast(edges.agg(F.count("*").alias("edges"))))  # one row each
+
+
+def index_stats(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
+    """One row: file nodes, all nodes and edges, embeddings, and the languages, sorted."""
+    languages = F.array_sort(F.collect_set(F.when(F.col("language") != "", F.col("language"))))
+    n = nodes.agg(F.count_if(F.col("kind") == "File").alias("files"), F.count("*").alias("total_nodes"), languages.alias("languages"))
+    out = n.join(F.broadcast(edges.agg(F.count("*").alias("total_edges"))))  # one row each
+    if embeddings is None:
+        return out.withColumn("embeddings", F.lit(0).cast("long"))
+    return out.join(F.broadcast(embeddings.agg(F.count("*").alias("embeddings"))))

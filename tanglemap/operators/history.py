@@ -27,22 +27,24 @@ def hotspots(metrics: DataFrame, churned: DataFrame, limit: int | None = None) -
     return out if limit is None else out.orderBy(F.desc("hotspot_score"), "file_path").limit(limit)
 
 
-def temporal_coupling(history: DataFrame, min_shared: int = 5, min_ratio: float = 0.3, exclude: DataFrame | None = None) -> DataFrame:
+def temporal_coupling(history: DataFrame, min_shared: int = 5, min_ratio: float = 0.3, exclude: DataFrame | None = None, jaccard: bool = False) -> DataFrame:
     """Pairs of files that change together: ``shared_commits`` and its ratio to the rarer
     file's commits, tested before rounding. ``exclude(file_a, file_b)`` drops pairs, such as
     those with a direct import, in either order.
 
-    Each commit gives its pairs once; counting combines before the shuffle, and the support
-    threshold comes before the joins with commit counts."""
+    Files with fewer than ``min_shared`` commits are in no pair and go before any pair is made;
+    counting combines before the shuffle, and the support threshold comes before the joins
+    with commit counts. ``jaccard`` relates the shared commits to those of either file."""
     files = history.select("commit_id", "file_path").distinct()
-    totals = files.groupBy("file_path").agg(F.count("*").alias("n"))
+    totals = files.groupBy("file_path").agg(F.count("*").alias("n")).filter(F.col("n") >= min_shared)
+    files = files.join(totals.select("file_path"), "file_path", "left_semi")
     pairs = files.alias("a").join(files.alias("b"), "commit_id").filter("a.file_path < b.file_path")
     shared = pairs.groupBy(F.col("a.file_path").alias("file_a"), F.col("b.file_path").alias("file_b")).agg(F.count("*").alias("shared_commits")).filter(F.col("shared_commits") >= min_shared)
     if exclude is not None:
         either = exclude.select("file_a", "file_b").unionByName(exclude.select(F.col("file_b").alias("file_a"), F.col("file_a").alias("file_b")))
         shared = shared.join(either, ["file_a", "file_b"], "left_anti")
     both = shared.join(totals.withColumnsRenamed({"file_path": "file_a", "n": "n_a"}), "file_a").join(totals.withColumnsRenamed({"file_path": "file_b", "n": "n_b"}), "file_b")
-    ratio = F.col("shared_commits") / F.least("n_a", "n_b")
+    ratio = F.col("shared_commits") / (F.col("n_a") + F.col("n_b") - F.col("shared_commits") if jaccard else F.least("n_a", "n_b"))
     return both.filter(ratio >= min_ratio).select("file_a", "file_b", "shared_commits", F.round(ratio, 4).alias("coupling_ratio"))
 
 

@@ -24,6 +24,13 @@ VIEWS: dict[str, str] = {
         SELECT CAST(l_partkey AS STRING) AS file_path, CAST(l_suppkey AS STRING) AS author,
                CAST(ROW_NUMBER() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS INT) AS line_no
         FROM {lineitem}""",
+    "supplier_blame": """
+        SELECT 'supp/' || CAST(l_suppkey AS STRING) AS file_path, l_returnflag AS author,
+               CAST(ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS INT) AS line_no
+        FROM {lineitem}""",
+    "supplier_covers": """
+        SELECT DISTINCT 'supp/' || CAST(a.l_suppkey AS STRING) AS file_path
+        FROM {lineitem} AS a JOIN {lineitem} AS b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND b.l_suppkey = a.l_suppkey + 1""",
     "supplier_files": "SELECT 'supp/' || CAST(s_suppkey AS STRING) AS file_path FROM {supplier}",
     "supplier_edges": """
         SELECT CASE WHEN line % 4 = 0 THEN 'USES_TYPE' ELSE 'IMPORTS_FROM' END AS kind, 'supp/' || CAST(a AS STRING) AS src, 'supp/' || CAST(b AS STRING) AS dst
@@ -43,6 +50,12 @@ VIEWS: dict[str, str] = {
     "customer_tree": """
         SELECT 'c' || CAST(c_custkey AS STRING) AS src, 'c' || CAST(CAST(FLOOR(c_custkey / 2) AS BIGINT) AS STRING) AS dst, c_custkey AS id
         FROM {customer} WHERE c_custkey > 1""",
+    "customer_chain": """
+        SELECT 'c' || CAST(c_custkey AS STRING) AS src, 'c' || CAST(c_custkey - 1 AS STRING) AS dst, c_custkey AS id
+        FROM {customer} WHERE c_custkey % 200 <> 0""",
+    "customer_cycle": """
+        SELECT 'c' || CAST(c_custkey AS STRING) AS src, 'c' || CAST(CASE WHEN c_custkey % 100 = 99 THEN c_custkey - 99 ELSE c_custkey + 1 END AS STRING) AS dst, c_custkey AS id
+        FROM {customer}""",
     "customer_classes": "SELECT 'c' || CAST(c_custkey AS STRING) AS qualified_name FROM {customer}",
     "symbols": """
         SELECT CAST(p_partkey AS STRING) AS qualified_name, p_name || '/' || p_type AS name,
@@ -51,11 +64,36 @@ VIEWS: dict[str, str] = {
         FROM {part}""",
     "open_calls": """
         SELECT DISTINCT CAST(l_orderkey AS STRING) AS src, p_name || '/' || p_type AS dst
-        FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity > 49""",
-    "covers": "SELECT DISTINCT CAST(l_partkey AS STRING) AS dst FROM {lineitem} WHERE l_returnflag = 'R' AND l_quantity > 45",
+        FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
+    "test_calls": """
+        SELECT DISTINCT CAST(a.l_partkey AS STRING) AS src, callee.p_name || '/' || callee.p_type AS dst, 'tests/' || CAST(a.l_partkey % 50 AS STRING) || '.py' AS file_path, CAST(a.l_linenumber AS INT) AS line
+        FROM {lineitem} AS a JOIN {lineitem} AS b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+             JOIN {part} AS caller ON caller.p_partkey = a.l_partkey JOIN {part} AS callee ON callee.p_partkey = b.l_partkey
+        WHERE caller.p_size % 4 = 0""",
+    "covers": """
+        SELECT DISTINCT CAST(b.l_partkey AS STRING) AS dst
+        FROM {lineitem} AS a JOIN {lineitem} AS b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN {part} ON p_partkey = a.l_partkey
+        WHERE p_size % 4 = 0 AND a.l_partkey % 50 = b.l_partkey % 50""",
     "calls": """
         SELECT 'CALLS' AS kind, CAST(a.l_partkey AS STRING) AS src, CAST(b.l_partkey AS STRING) AS dst, CAST(a.l_linenumber AS INT) AS line
         FROM {lineitem} AS a JOIN {lineitem} AS b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1""",
+    "rich_nodes": """
+        SELECT CAST(p_partkey AS STRING) AS qualified_name, CASE WHEN p_size % 3 = 0 THEN 'C' || CAST(p_size % 7 AS STRING) ELSE p_name END AS name,
+               CASE WHEN p_size % 4 = 0 THEN 'tests/' ELSE 'src/' END || CAST(p_partkey % 50 AS STRING) || '.py' AS file_path,
+               CASE WHEN p_size % 3 = 0 THEN 'Class' WHEN p_size % 3 = 1 THEN 'Function' ELSE 'Method' END AS kind, p_size AS line_start, p_size + 2 AS line_end, 'python' AS language,
+               CASE WHEN p_size % 3 = 2 THEN 'C' || CAST(p_partkey % 7 AS STRING) END AS parent_name, 'def ' || p_brand AS signature, CASE WHEN p_size % 5 > 0 THEN p_type END AS docstring
+        FROM {part}
+        UNION ALL
+        SELECT DISTINCT CASE WHEN p_size % 4 = 0 THEN 'tests/' ELSE 'src/' END || CAST(p_partkey % 50 AS STRING) || '.py', CAST(p_partkey % 50 AS STRING) || '.py',
+               CASE WHEN p_size % 4 = 0 THEN 'tests/' ELSE 'src/' END || CAST(p_partkey % 50 AS STRING) || '.py', 'File', 1, 99, 'python', NULL, NULL, NULL
+        FROM {part}""",
+    "rich_imports": """
+        SELECT DISTINCT 'IMPORTS_FROM' AS kind, CASE WHEN p_size % 4 = 0 THEN 'tests/' ELSE 'src/' END || CAST(p_partkey % 50 AS STRING) || '.py' AS file_path,
+               CASE WHEN p_size % 4 = 0 THEN 'tests/' ELSE 'src/' END || CAST(p_partkey % 50 AS STRING) || '.py' AS src, 'pkg.' || p_type AS dst, p_size AS line
+        FROM {part}""",
+    "supplier_layers": "SELECT 'supp/' || CAST(s_suppkey AS STRING) AS file_path, CAST(s_nationkey AS INT) AS layer FROM {supplier}",
+    "supplier_classes": "SELECT 'supp/' || CAST(l_suppkey AS STRING) AS file_path, l_returnflag = 'A' AS abstract FROM {lineitem}",
+    "part_methods": "SELECT CAST(p_partkey AS STRING) AS method, p_type AS class_name FROM {part}",
     "paths": """
         SELECT p_partkey AS id, LOWER(REPLACE(p_type, ' ', '_')) || '/' || CASE WHEN p_size % 4 = 0 THEN 'test_' ELSE '' END || REPLACE(p_name, ' ', '_') || CAST(p_partkey AS STRING)
                || CASE p_partkey % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.ts' WHEN 3 THEN '_test.py' ELSE '.md' END AS path
@@ -71,8 +109,9 @@ VIEWS: dict[str, str] = {
         WHERE b IS NOT NULL AND ts < TIMESTAMP '1995-01-01 00:00:00'""",
     "method_calls": """
         SELECT DISTINCT CAST(l_orderkey AS STRING) AS class_name, CAST(l_suppkey % 9 AS STRING) AS src, CAST(b AS STRING) AS dst
-        FROM (SELECT l_orderkey, l_suppkey, LEAD(l_suppkey % 9) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b, l_linenumber FROM {lineitem}) AS steps
-        WHERE b IS NOT NULL AND l_linenumber % 2 = 1""",
+        FROM (SELECT l_orderkey, l_suppkey, l_returnflag, LEAD(l_suppkey % 9) OVER w AS b, LEAD(l_returnflag) OVER w AS flag FROM {lineitem}
+              WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS steps
+        WHERE b IS NOT NULL AND l_returnflag = flag""",
     "methods": "SELECT DISTINCT CAST(l_orderkey AS STRING) AS class_name, CAST(l_suppkey % 9 AS STRING) AS method FROM {lineitem}",
     "flags": "SELECT event_id, props FROM {events}",
     "log_lines": """

@@ -98,21 +98,25 @@ def _temporal_files(spark, d):
     return history.temporal_coupling(view(spark, d, "history"), 2, 0.01)
 
 
-BUS_SQL = ctes("blame") + """, a AS (SELECT file_path, author, COUNT(*) AS lines, MIN(line_no) AS first_line FROM blame GROUP BY file_path, author),
+def _bus_sql(source: str, coverage: float) -> str:
+    return ctes(source) + f""", a AS (SELECT file_path, author, COUNT(*) AS lines, MIN(line_no) AS first_line FROM {source} GROUP BY file_path, author),
  r AS (SELECT *, ROW_NUMBER() OVER w AS rank, SUM(lines) OVER (w ROWS UNBOUNDED PRECEDING) AS upto, SUM(lines) OVER (PARTITION BY file_path) AS total FROM a
        WINDOW w AS (PARTITION BY file_path ORDER BY lines DESC, first_line, author))
  SELECT file_path, MAX(CASE WHEN rank = 1 THEN author END) AS top_author, ROUND(100.0 * MAX(CASE WHEN rank = 1 THEN lines END) / MAX(total), 1) AS top_author_pct,
-  CAST(MIN(CASE WHEN upto / total >= 0.8 THEN rank END) AS INT) AS bus_factor FROM r GROUP BY file_path"""
+  CAST(MIN(CASE WHEN upto / total >= {coverage} THEN rank END) AS INT) AS bus_factor FROM r GROUP BY file_path"""
 
 
-@query("bus_factor", BUS_SQL)
+@query("bus_factor", _bus_sql("blame", 0.8))
 def _bus(spark, d):
     return history.bus_factor(view(spark, d, "blame"))
 
 
-@query("report_single_author", f"SELECT * FROM ({BUS_SQL}) AS b WHERE bus_factor = 1")
+SINGLE = 0.35  # share of lines that makes one of three authors the single one
+
+
+@query("report_single_author", f"SELECT * FROM ({_bus_sql('supplier_blame', SINGLE)}) AS b WHERE bus_factor = 1")
 def _single(spark, d):
-    return history.bus_factor(view(spark, d, "blame")).filter("bus_factor = 1")
+    return history.bus_factor(view(spark, d, "supplier_blame"), SINGLE).filter("bus_factor = 1")
 
 
 @query(
@@ -229,6 +233,19 @@ def _inheritance(spark, d):
     return coupling.inheritance_metrics(view(spark, d, "customer_classes"), view(spark, d, "customer_tree"))
 
 
+@query("inheritance_chain", ctes("customer_chain") + """, k AS (SELECT dst, COUNT(*) AS children FROM customer_chain GROUP BY dst)
+ SELECT 'c' || CAST(c_custkey AS STRING) AS qualified_name, CAST(c_custkey % 200 AS INT) AS depth, COALESCE(children, 0) AS children FROM customer LEFT JOIN k ON k.dst = 'c' || CAST(c_custkey AS STRING)""")
+def _inheritance_chain(spark, d):
+    return coupling.inheritance_metrics(view(spark, d, "customer_classes"), view(spark, d, "customer_chain"))
+
+
+@query("inheritance_cycle", ctes("customer_cycle") + """, k AS (SELECT dst, COUNT(*) AS children FROM customer_cycle GROUP BY dst), m AS (SELECT MAX(c_custkey) AS last FROM customer)
+ SELECT 'c' || CAST(c_custkey AS STRING) AS qualified_name, CAST(CASE WHEN c_custkey - c_custkey % 100 + 99 <= last THEN 100 ELSE last - c_custkey + 1 END AS INT) AS depth, COALESCE(children, 0) AS children
+ FROM m, customer LEFT JOIN k ON k.dst = 'c' || CAST(c_custkey AS STRING)""")
+def _inheritance_cycle(spark, d):
+    return coupling.inheritance_metrics(view(spark, d, "customer_classes"), view(spark, d, "customer_cycle"))
+
+
 # --- graph ----------------------------------------------------------------------------
 
 SCC_SQL = """, reach AS (SELECT src, dst FROM {e} UNION SELECT r.src, e.dst FROM reach r JOIN {e} e ON e.src = r.dst),
@@ -259,6 +276,19 @@ def _impact(spark, d):
     return graph.impact_radius(edges, seeds)
 
 
+@query(
+    "impact_radius_events",
+    ctes("event_edges") + """, u AS (SELECT src, dst FROM event_edges UNION SELECT dst, src FROM event_edges),
+ seed AS (SELECT DISTINCT src AS node FROM u WHERE src LIKE '%/click'), one AS (SELECT dst AS node FROM u WHERE src IN (SELECT node FROM seed)), two AS (SELECT dst AS node FROM u WHERE src IN (SELECT node FROM one)),
+ met AS (SELECT node, 0 AS depth FROM seed UNION ALL SELECT node, 1 FROM one UNION ALL SELECT node, 2 FROM two)
+ SELECT node, CAST(MIN(depth) AS INT) AS depth, CASE WHEN MIN(depth) = 0 THEN 'seed' ELSE 'impacted' END AS role FROM met GROUP BY node""",
+)
+def _impact_events(spark, d):
+    edges = view(spark, d, "event_edges")
+    seeds = edges.select(F.col("src").alias("node")).union(edges.select("dst")).filter("node like '%/click'")
+    return graph.impact_radius(edges, seeds, max_nodes=1 << 60)
+
+
 @query(
     "dependency_chain",
     ctes("nation_edges", recursive=True) + """, e AS (SELECT DISTINCT src, dst FROM nation_edges), root AS (SELECT MIN(src) AS node FROM e),
@@ -389,7 +419,12 @@ TESTS = "(" + " OR ".join(f"LOWER(file_path) LIKE '{p}'" for p in paths.TEST_PAT
 
 @query("derive_covers", ctes("open_calls", "symbols") + f"SELECT qualified_name AS dst, COUNT(*) AS tests FROM open_calls JOIN symbols ON name = dst WHERE kind IN ('Function','Method') AND NOT {TESTS} GROUP BY qualified_name")
 def _covers(spark, d):
-    return coverage.derive_covers(view(spark, d, "open_calls"), view(spark, d, "symbols")).groupBy("dst").agg(F.count("*").alias("tests"))
+    return coverage.cover_counts(view(spark, d, "open_calls"), view(spark, d, "symbols"))
+
+
+@query("cover_edges", ctes("test_calls", "symbols") + f"SELECT src, qualified_name AS dst, test_calls.file_path, line FROM test_calls JOIN symbols ON name = dst WHERE kind IN ('Function','Method') AND NOT {TESTS.replace('file_path', 'symbols.file_path')}")
+def _cover_edges(spark, d):
+    return coverage.derive_covers(view(spark, d, "test_calls"), view(spark, d, "symbols"))
 
 
 @query("uncovered_symbols", ctes("covers", "symbols") + f"SELECT qualified_name, name, file_path FROM symbols WHERE kind IN ('Function','Method') AND NOT {TESTS} AND qualified_name NOT IN (SELECT dst FROM covers)")
@@ -530,18 +565,69 @@ def _full_report(spark, d):
 # --- search ---------------------------------------------------------------------------
 
 
+LOOSE = "(" + " OR ".join(f"LOWER(file_path) LIKE '{p}'" for p in search.LOOSE_TEST_PATTERNS) + ")"
+SKIPPED = ", ".join(f"'{w}'" for w in search.PATH_SKIP)
+
+
 @query(
     "rich_node_text",
-    ctes("symbols", "calls") + f""", kids AS (SELECT file_path, STRING_AGG(name, ' ' ORDER BY name, qualified_name) AS names FROM symbols WHERE kind <> 'Class' GROUP BY file_path),
- tests AS (SELECT DISTINCT dst, REGEXP_EXTRACT(file_path, '([^/.]+)[^/]*$', 1) AS stem FROM calls JOIN symbols ON src = qualified_name WHERE {{tests}}),
- stems AS (SELECT dst, STRING_AGG(stem, ' ' ORDER BY stem) AS stems FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY dst ORDER BY stem) AS r FROM tests) AS t WHERE r <= 5 GROUP BY dst)
- SELECT qualified_name, kind || ' ' || name || ' path ' || REGEXP_REPLACE(REPLACE(symbols.file_path, 'src/', ''), '[/._]', ' ', 'g') || CASE WHEN kind = 'Class' AND names IS NOT NULL THEN ' ' || names ELSE '' END || COALESCE(' tested by ' || stems, '') AS text
- FROM symbols LEFT JOIN kids ON kids.file_path = symbols.file_path LEFT JOIN stems ON stems.dst = qualified_name""".replace("{tests}", "(" + " OR ".join(f"LOWER(file_path) LIKE '{p}'" for p in paths.TEST_PATTERNS) + ")"),
+    ctes("rich_nodes", "rich_imports", "calls") + f""", tops AS (SELECT file_path, STRING_AGG(name, ' ' ORDER BY name, qualified_name) AS tops FROM rich_nodes WHERE kind <> 'File' AND parent_name IS NULL GROUP BY file_path),
+ methods AS (SELECT file_path, parent_name, STRING_AGG(name, ' ' ORDER BY name, qualified_name) AS methods FROM rich_nodes WHERE kind = 'Method' GROUP BY file_path, parent_name),
+ brought AS (SELECT file_path, STRING_AGG(part, ' ' ORDER BY part) AS brought FROM (SELECT file_path, REGEXP_EXTRACT(dst, '[^.]*$') AS part FROM rich_imports) AS i GROUP BY file_path),
+ tests AS (SELECT DISTINCT callee.file_path, t.test_file FROM calls JOIN (SELECT qualified_name, file_path AS test_file FROM rich_nodes WHERE {LOOSE}) AS t ON src = t.qualified_name JOIN rich_nodes callee ON dst = callee.qualified_name),
+ stems AS (SELECT file_path, STRING_AGG(REGEXP_EXTRACT(test_file, '([^/.]+)[.][^./]*$', 1), ' ' ORDER BY test_file) AS stems FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY file_path ORDER BY test_file) AS r FROM tests) AS t WHERE r <= 5 GROUP BY file_path)
+ SELECT qualified_name, CONCAT_WS(' ', kind, name, 'path ' || ARRAY_TO_STRING(LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(n.file_path, '[/._]'), lambda t: t <> '' AND t NOT IN ({SKIPPED})), ' '), signature, docstring,
+   'imports ' || brought, CASE kind WHEN 'File' THEN tops WHEN 'Class' THEN methods END, 'tested by ' || stems) AS text
+ FROM rich_nodes n LEFT JOIN tops ON tops.file_path = n.file_path LEFT JOIN methods ON methods.file_path = n.file_path AND methods.parent_name = n.name LEFT JOIN brought ON brought.file_path = n.file_path LEFT JOIN stems ON stems.file_path = n.file_path""",
 )
 def _rich(spark, d):
-    symbols, calls = view(spark, d, "symbols"), view(spark, d, "calls")
-    kids = symbols.filter("kind <> 'Class'").groupBy("file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "qualified_name"))), lambda s: s["name"]), " ").alias("names"))
-    return search.rich_text(symbols, kids, calls)
+    return search.rich_text(view(spark, d, "rich_nodes"), view(spark, d, "rich_imports"), view(spark, d, "calls")).select("qualified_name", "text")
+
+
+@query(
+    "file_summary_symbols",
+    ctes("rich_nodes", "rich_imports") + """, s AS (SELECT file_path, LIST_SORT(LIST(kind || ':' || name || ':' || CAST(line_start AS VARCHAR) || ':' || COALESCE(parent_name, '')) FILTER (WHERE kind <> 'File')) AS symbols FROM rich_nodes GROUP BY file_path),
+ e AS (SELECT file_path, LIST_SORT(LIST(dst)) AS targets FROM rich_imports GROUP BY file_path), w AS (SELECT DISTINCT file_path FROM rich_nodes UNION SELECT 'src/none.py')
+ SELECT w.file_path, symbols, CASE WHEN symbols IS NOT NULL THEN COALESCE(targets, []) END AS targets FROM w LEFT JOIN s ON s.file_path = w.file_path LEFT JOIN e ON e.file_path = w.file_path""",
+)
+def _summary_symbols(spark, d):
+    nodes = view(spark, d, "rich_nodes")
+    wanted = nodes.select("file_path").union(spark.createDataFrame([("src/none.py",)], "file_path string"))
+    told = search.file_summary(nodes, view(spark, d, "rich_imports"), wanted)
+    symbol = lambda n: F.concat_ws(":", n["kind"], n["name"], n["line_start"].cast("string"), F.coalesce(n["parent"], F.lit("")))
+    return told.select("file_path", F.array_sort(F.transform("nodes", symbol)).alias("symbols"), F.array_sort(F.transform("edges", lambda e: e["target"])).alias("targets"))
+
+
+@query("index_stats", ctes("rich_nodes", "rich_imports") + "SELECT COUNT(*) FILTER (WHERE kind = 'File') AS files, COUNT(*) AS total_nodes, LIST_SORT(LIST(DISTINCT language)) AS languages, (SELECT COUNT(*) FROM rich_imports) AS total_edges, (SELECT COUNT(*) FROM embeddings) AS embeddings FROM rich_nodes")
+def _index_stats(spark, d):
+    return graph.index_stats(view(spark, d, "rich_nodes"), view(spark, d, "rich_imports"), view(spark, d, "embeddings"))
+
+
+@query("test_callers_loose", ctes("calls", "rich_nodes") + f"SELECT DISTINCT file_path FROM calls JOIN rich_nodes ON src = qualified_name WHERE {LOOSE} AND dst IN (SELECT qualified_name FROM rich_nodes WHERE file_path = 'src/7.py') ORDER BY file_path LIMIT 5")
+def _test_callers_loose(spark, d):
+    nodes = view(spark, d, "rich_nodes")
+    return coverage.test_callers(view(spark, d, "calls"), nodes, nodes.filter("file_path = 'src/7.py'"), search.LOOSE_TEST_PATTERNS, 5)
+
+
+@query(
+    "symbol_index_parents",
+    ctes("rich_nodes") + """, n AS (SELECT file_path, name, qualified_name FROM rich_nodes UNION ALL SELECT file_path, parent_name || '.' || name, qualified_name FROM rich_nodes WHERE parent_name IS NOT NULL)
+ SELECT file_path, name, COUNT(*) AS n, CASE WHEN COUNT(*) = 1 THEN MIN(qualified_name) END AS qualified_name FROM n GROUP BY file_path, name""",
+)
+def _index_parents(spark, d):
+    return coverage.symbol_index(view(spark, d, "rich_nodes"))
+
+
+@query(
+    "impact_of_files",
+    ctes("rich_nodes", "calls") + """, u AS (SELECT DISTINCT src, dst FROM calls WHERE src <> dst UNION SELECT DISTINCT dst, src FROM calls WHERE src <> dst), seed AS (SELECT qualified_name AS node FROM rich_nodes WHERE file_path = 'src/7.py'),
+ one AS (SELECT DISTINCT dst AS node FROM u WHERE src IN (SELECT node FROM seed)),
+ impacted AS (SELECT n.* FROM rich_nodes n WHERE qualified_name IN (SELECT node FROM one) AND qualified_name NOT IN (SELECT node FROM seed))
+ SELECT qualified_name, file_path FROM impacted""",
+)
+def _impact_of_files(spark, d):
+    wanted = spark.createDataFrame([("src/7.py",)], "file_path string")
+    return graph.impact_of_files(view(spark, d, "rich_nodes"), view(spark, d, "calls"), wanted, 1).impacted.select("qualified_name", "file_path")
 
 
 @query("fts_tokenize", "SELECT doc_id AS node_id, LEN(LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(LOWER(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS n_tokens FROM documents")
@@ -554,10 +640,10 @@ def _normalize(spark, d):
     return view(spark, d, "part").select(F.col("p_partkey").alias("id"), search.normalised(F.concat("p_brand", "p_name")).alias("text"))
 
 
-BM25_SQL = """WITH t AS (SELECT doc_id AS node_id, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(LOWER(source || ' ' || source || ' ' || text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS w FROM documents),
+BM25_SQL = """WITH t AS (SELECT doc_id AS node_id, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(STRIP_ACCENTS(LOWER(source || ' ' || source || ' ' || text)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS w FROM documents),
  f AS (SELECT node_id, LEN(w) AS d, LEN(LIST_FILTER(w, lambda x: STARTS_WITH(x, 'license'))) AS a, LEN(LIST_FILTER(w, lambda x: STARTS_WITH(x, 'the'))) AS b FROM t),
  s AS (SELECT COUNT(*) AS n, AVG(d) AS m, COUNT(*) FILTER (WHERE a > 0) AS na, COUNT(*) FILTER (WHERE b > 0) AS nb FROM f)
- SELECT node_id, ROUND(-(GREATEST(LN((n - na + 0.5) / (na + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * d / m)) + GREATEST(LN((n - nb + 0.5) / (nb + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * d / m))), 6) AS score
+ SELECT node_id, ROUND(-2 * (GREATEST(LN((n - na + 0.5) / (na + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * d / m)) + GREATEST(LN((n - nb + 0.5) / (nb + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * d / m))), 6) AS score
  FROM f, s WHERE a > 0 AND b > 0"""
 
 
@@ -566,6 +652,12 @@ def _bm25(spark, d):
     return search.bm25_search(view(spark, d, "docs"), "license the", None).select("node_id", F.round("score", 6).alias("score"))
 
 
+@query("topk_bm25", f"SELECT * FROM ({BM25_SQL}) AS found ORDER BY score, node_id LIMIT 20")
+def _topk_bm25(spark, d):
+    found = search.bm25_search(view(spark, d, "docs"), "license the", None).select("node_id", F.round("score", 6).alias("score"))
+    return found.orderBy("score", "node_id").limit(20)
+
+
 @query("knn_l2", "SELECT vec_id AS node_id, ROUND(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM embeddings ORDER BY 2, 1 LIMIT 10")
 def _knn(spark, d):
     vectors = view(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
@@ -586,30 +678,76 @@ def _lcom4(spark, d):
     return audit.lcom4(view(spark, d, "methods"), view(spark, d, "method_calls"))
 
 
+RISK_BUS = ", bus AS (" + _bus_sql("supplier_blame", SINGLE) + ")"
+
+
 @query(
     "test_risk",
-    METRICS + """, c AS (SELECT 'supp/' || CAST(l_suppkey AS STRING) AS file_path, COUNT(DISTINCT l_orderkey) AS commits FROM lineitem GROUP BY l_suppkey)
- SELECT file_path, 'untested_high_fan_out' AS reason FROM metrics WHERE file_path LIKE '%7' AND fan_out >= 400
- UNION ALL SELECT c.file_path, 'untested_high_churn' FROM metrics JOIN c ON c.file_path = metrics.file_path WHERE c.file_path LIKE '%7' AND commits >= 500""",
+    METRICS + RISK_BUS + ", covered AS (" + ctes("supplier_covers") + """ SELECT * FROM supplier_covers),
+ c AS (SELECT 'supp/' || CAST(l_suppkey AS STRING) AS file_path, COUNT(DISTINCT l_orderkey) AS commits FROM lineitem GROUP BY l_suppkey)
+ SELECT file_path, 'untested_high_fan_out' AS reason FROM metrics WHERE file_path NOT IN (SELECT file_path FROM covered) AND fan_out >= 400
+ UNION ALL SELECT c.file_path, 'untested_high_churn' FROM metrics JOIN c ON c.file_path = metrics.file_path WHERE c.file_path NOT IN (SELECT file_path FROM covered) AND commits >= 500
+ UNION ALL SELECT bus.file_path, 'single_author_high_fan_in' FROM metrics JOIN bus ON bus.file_path = metrics.file_path WHERE bus_factor = 1 AND fan_in >= 10""",
 )
 def _risk(spark, d):
     m = _metrics(spark, d)
-    bus = m.select("file_path", F.lit(2).alias("bus_factor"))
-    return audit.test_risk(m, _supplier_churn(spark, d), bus, m.filter("file_path like '%7'"), 400, 500, 10)
+    untested = m.join(view(spark, d, "supplier_covers"), "file_path", "left_anti")
+    return audit.test_risk(m, _supplier_churn(spark, d), history.bus_factor(view(spark, d, "supplier_blame"), SINGLE), untested, 400, 500, 10)
 
 
-@query("health_score", "SELECT CAST(ROUND(GREATEST(100 - SUM(CASE o_orderpriority WHEN '1-URGENT' THEN 15 WHEN '2-HIGH' THEN 5 WHEN '3-MEDIUM' THEN 2 ELSE 0.5 END), 0)) AS INT) AS health, COUNT(*) AS findings FROM orders WHERE o_orderkey % 1000 = 7")
+@query("health_score", "SELECT CAST(o_custkey AS STRING) AS scope, CAST(ROUND(GREATEST(100 - SUM(CASE o_orderpriority WHEN '1-URGENT' THEN 15 WHEN '2-HIGH' THEN 5 WHEN '3-MEDIUM' THEN 2 ELSE 0.5 END), 0)) AS INT) AS health, COUNT(*) AS findings FROM orders GROUP BY o_custkey")
 def _health(spark, d):
     p = F.col("o_orderpriority")
     severity = F.when(p == "1-URGENT", "critical").when(p == "2-HIGH", "high").when(p == "3-MEDIUM", "medium").otherwise("low")
-    return audit.health_score(view(spark, d, "orders").filter("o_orderkey % 1000 = 7").select(severity.alias("severity")))
+    return audit.health_score(view(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("scope"), severity.alias("severity")), "scope")
 
 
-@query("cycle_pivots")
+@query(
+    "cycle_pivots",
+    ctes("event_edges", recursive=True) + SCC_SQL.format(e="event_edges").replace(" SELECT LEAST", ", scc AS (SELECT LEAST", 1) + """),
+ m AS (SELECT component, len(members) AS size, unnest(members) AS file_path FROM scc),
+ ca AS (SELECT m.component, m.file_path, COUNT(e.src) AS fan_in FROM m LEFT JOIN event_edges e ON e.dst = m.file_path AND e.src NOT IN (SELECT file_path FROM m AS o WHERE o.component = m.component) GROUP BY m.component, m.file_path)
+ SELECT component, file_path AS pivot, fan_in, size FROM (SELECT ca.*, size, ROW_NUMBER() OVER (PARTITION BY ca.component ORDER BY fan_in DESC, ca.file_path) AS r FROM ca JOIN m ON m.file_path = ca.file_path) AS x WHERE r = 1""",
+)
 def _pivots(spark, d):
     edges = view(spark, d, "event_edges")
-    metrics = edges.groupBy(F.col("dst").alias("file_path")).agg(F.count("*").cast("double").alias("fan_in"))
-    return audit.cycle_pivots(graph.scc_cycles(edges), metrics)
+    return audit.cycle_pivots(graph.scc_cycles(edges), edges)
+
+
+@query("layer_violations", ctes("supplier_edges", "supplier_layers") + "SELECT src, dst, a.layer AS src_layer, b.layer AS dst_layer, COUNT(*) AS edges FROM supplier_edges JOIN supplier_layers a ON a.file_path = src JOIN supplier_layers b ON b.file_path = dst WHERE a.layer < b.layer GROUP BY src, dst, a.layer, b.layer")
+def _layers(spark, d):
+    return audit.layer_violations(view(spark, d, "supplier_edges"), view(spark, d, "supplier_layers"))
+
+
+@query("main_sequence", METRICS + ", k AS (" + ctes("supplier_classes") + """ SELECT file_path, AVG(CAST(abstract AS DOUBLE)) AS a FROM supplier_classes GROUP BY file_path)
+ SELECT m.file_path, ROUND(COALESCE(a, 0), 6) AS abstractness, ROUND(instability, 6) AS instability, ROUND(ABS(COALESCE(a, 0) + instability - 1), 6) AS distance FROM metrics m LEFT JOIN k ON k.file_path = m.file_path""")
+def _main_sequence(spark, d):
+    found = audit.main_sequence(_metrics(spark, d), view(spark, d, "supplier_classes"))
+    return found.select("file_path", *[F.round(c, 6).alias(c) for c in ("abstractness", "instability", "distance")])
+
+
+@query("churn_trend", ctes("history") + """, m AS (SELECT file_path, YEAR(ts) * 12 + MONTH(ts) AS month, COUNT(DISTINCT commit_id) AS commits FROM history GROUP BY ALL)
+ SELECT file_path, COUNT(*) AS months, CAST(SUM(commits) AS BIGINT) AS commits, ROUND(REGR_SLOPE(commits, month), 6) + 0.0 AS slope FROM m GROUP BY file_path""")
+def _trend(spark, d):
+    return audit.churn_trend(view(spark, d, "history")).withColumn("slope", F.round("slope", 6) + 0.0)
+
+
+@query("class_coupling", ctes("part_methods", "calls") + """, p AS (SELECT DISTINCT a.class_name AS a, b.class_name AS b, dst FROM calls JOIN part_methods a ON a.method = src JOIN part_methods b ON b.method = dst WHERE a.class_name <> b.class_name),
+ c AS (SELECT x, COUNT(*) AS cbo FROM (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p) AS u GROUP BY x), r AS (SELECT a, COUNT(DISTINCT dst) AS called FROM p GROUP BY a), o AS (SELECT class_name, COUNT(*) AS own FROM part_methods GROUP BY class_name)
+ SELECT o.class_name, COALESCE(cbo, 0) AS cbo, own + COALESCE(called, 0) AS rfc FROM o LEFT JOIN c ON c.x = o.class_name LEFT JOIN r ON r.a = o.class_name""")
+def _class_coupling(spark, d):
+    return audit.class_coupling(view(spark, d, "part_methods"), view(spark, d, "calls"))
+
+
+@query("change_risk", f"SELECT h.file_path, ROUND(instability * hotspot_score, 6) AS risk FROM ({HOT_SQL}) AS h JOIN (" + METRICS + "SELECT file_path, instability FROM metrics) AS i ON i.file_path = h.file_path")
+def _change_risk(spark, d):
+    m = _metrics(spark, d)
+    return audit.change_risk(m, history.hotspots(m, _supplier_churn(spark, d))).withColumn("risk", F.round("risk", 6))
+
+
+@query("temporal_jaccard", _pairs_sql("history_nation", 5, 0.08).replace("LEAST(x.n, y.n)", "(x.n + y.n - shared_commits)"))
+def _temporal_jaccard(spark, d):
+    return history.temporal_coupling(view(spark, d, "history_nation"), 5, 0.08, jaccard=True)
 
 
 # --- extraction -----------------------------------------------------------------------
@@ -627,7 +765,7 @@ CLASS = "'C' || CAST(p_partkey AS STRING)"
  UNION ALL SELECT 'Function', 'util', {FILE} || '::util', 11, 12, NULL FROM part""",
 )
 def _extract_nodes(spark, d):
-    return nodes_of(extract_sources(view(spark, d, "sources"))).select("kind", "name", "qualified_name", "line_start", "line_end", "parent_name")
+    return nodes_of(extract_sources(view(spark, d, "sources"), spark.sparkContext.defaultParallelism)).select("kind", "name", "qualified_name", "line_start", "line_end", "parent_name")
 
 
 @query(
@@ -644,4 +782,4 @@ def _extract_nodes(spark, d):
  UNION ALL SELECT 'CALLS', {FILE} || '::' || {CLASS} || '.run', {FILE} || '::util', 7 FROM part""",
 )
 def _extract_edges(spark, d):
-    return edges_of(extract_sources(view(spark, d, "sources"))).select("kind", "src", "dst", "line")
+    return edges_of(extract_sources(view(spark, d, "sources"), spark.sparkContext.defaultParallelism)).select("kind", "src", "dst", "line")

@@ -1,7 +1,7 @@
 """Lineage cuts in the folder that all executors share.
 
-A cluster names that folder in ``spark.checkpoint.dir``. Only where the setting
-is absent (tests, a laptop) a folder of our own is used.
+A cluster names that folder in ``spark.checkpoint.dir``. Only where the setting is
+absent and driver and executors are one process (a laptop) a folder of our own is used.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(FALLBACK_DIR)
     return FALLBACK_DIR

@@ -1,24 +1,38 @@
 """Versioned snapshots of the graph tables in a folder.
 
-A snapshot is written beside the current one and becomes current by one small pointer
-file, so readers see either the old or the new state, and a failed write changes nothing.
+A snapshot is written beside the current one and becomes current by a small pointer file
+of the next number, put in place by one rename; of the pointers the highest counts. So
+readers see either the old or the new state at any moment, a failed write changes nothing,
+and of two writers at once the second fails.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tanglemap.extract.rows import edges_of, extract_sources, nodes_of
+from tanglemap.functions.paths import is_test_path
 from tanglemap.operators.coverage import derive_covers
+from tanglemap.operators.search import Embedder, embedded, rich_text
 from tanglemap.operators.snapshot import incremental_diff, latest_by, overwrite_files
+from tanglemap.scratch import cut
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
+POINTER = "current-"
 NODES = "kind string, name string, qualified_name string, file_path string, line_start int, line_end int, language string, parent_name string, signature string, docstring string, decorators array<string>, error string"
 EDGES = "kind string, src string, dst string, file_path string, line int, extra string, unresolved boolean"
 FILES = "file_path string, file_hash string"
-TABLES = {"nodes": NODES, "edges": EDGES, "files": FILES}
+EMBEDDINGS = "qualified_name string, file_path string, embedding array<float>"
+TABLES = {"nodes": NODES, "edges": EDGES, "files": FILES, "embeddings": EMBEDDINGS}
+
+#: What brings a table of an older version to the next: by the version it leaves, a function of
+#: (spark, table name, the table or None). They are applied one after the other on reading.
+MIGRATIONS: dict[int, Callable[[SparkSession, str, DataFrame | None], DataFrame]] = {
+    1: lambda spark, name, df: spark.createDataFrame([], EMBEDDINGS) if name == "embeddings" else df,
+}
 
 
 class SchemaTooNew(RuntimeError):
@@ -33,53 +47,73 @@ class Catalog:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def current(self) -> str | None:
-        """Folder of the current snapshot; None before the first."""
-        fs, path = self._path("CURRENT")
-        if not fs.exists(path):
-            return None
-        row = self.spark.read.text(f"{self.root}/CURRENT").first()
-        version, folder = row[0].split(" ", 1)
+    def _pointers(self) -> list[tuple[int, str]]:
+        """Numbers and names of the pointer files, lowest first."""
+        fs, path = self._path(f"{POINTER}*")
+        names = [found.getPath().getName() for found in fs.globStatus(path) or []]
+        return sorted((int(n.removeprefix(POINTER)), n) for n in names if n.removeprefix(POINTER).isdigit())
+
+    def _target(self, pointer: str) -> tuple[int, str]:
+        version, folder = self.spark.read.text(f"{self.root}/{pointer}").first()[0].split(" ", 1)
         if int(version) > SCHEMA_VERSION:
             raise SchemaTooNew(f"schema {version} is newer than {SCHEMA_VERSION}")
-        return folder
+        return int(version), folder
+
+    def current(self) -> str | None:
+        """Folder of the current snapshot; None before the first."""
+        pointers = self._pointers()
+        return self._target(pointers[-1][1])[1] if pointers else None
 
     def read(self, table: str) -> DataFrame:
-        folder = self.current()
-        if folder is None:
+        pointers = self._pointers()
+        if not pointers:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{folder}/{table}")
+        version, folder = self._target(pointers[-1][1])
+        fs, path = self._path(f"{folder}/{table}")
+        out = self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{folder}/{table}") if fs.exists(path) else None
+        for step in range(version, SCHEMA_VERSION):
+            out = MIGRATIONS[step](self.spark, table, out)
+        return out
 
     def write(self, **tables: DataFrame) -> None:
-        """A new snapshot; tables not given are carried over."""
+        """A new snapshot; tables not given are carried over. Readers of the one before are
+        left in peace; older ones go."""
+        pointers = self._pointers()
         folder = f"snapshot-{uuid.uuid4().hex}"
         for name in TABLES:
-            tables.get(name, self.read(name)).write.parquet(f"{self.root}/{folder}/{name}")
-        fs, path = self._path("CURRENT")
-        new = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT-{folder}")
+            (tables[name] if name in tables else self.read(name)).write.parquet(f"{self.root}/{folder}/{name}")
+        number = pointers[-1][0] + 1 if pointers else 1
+        fs, new = self._path(f"new-{folder}")
         out = fs.create(new, True)
         out.write(bytearray(f"{SCHEMA_VERSION} {folder}".encode()))
         out.close()
-        fs.delete(path, False)
-        fs.rename(new, path)
-
-    def index(self, sources: DataFrame) -> dict[str, int]:
+        _, pointer = self._path(f"{POINTER}{number:012d}")
+        if fs.exists(pointer) or not fs.rename(new, pointer):
+            fs.delete(new, False)
+            fs.delete(self._path(folder)[1], True)
+            raise RuntimeError("another writer was first")
+        for _, old in pointers[:-1]:
+            fs.delete(self._path(self._target(old)[1])[1], True)
+            fs.delete(self._path(old)[1], False)
+
+    def index(self, sources: DataFrame, embed: Embedder | None = None) -> dict[str, int]:
         """Brings the graph up to date with ``sources(path, text, file_hash)``: only new and
-        changed files are parsed, vanished ones go, coverage edges are derived anew."""
+        changed files are parsed and embedded, vanished ones go, coverage edges are derived
+        anew. ``embed``: see :func:`tanglemap.operators.search.embedded`."""
         found = sources.select(F.col("path").alias("file_path"), "text", "file_hash")
-        status = incremental_diff(self.read("files"), found.select("file_path", "file_hash")).cache()
-        todo = status.filter(F.col("status").isin("new", "changed"))
+        status = cut(incremental_diff(self.read("files"), found.select("file_path", "file_hash")))
+        todo = status.filter(F.col("status").isin("new", "changed")).select("file_path")
         parsed = extract_sources(found.join(todo, "file_path", "left_semi").withColumnRenamed("file_path", "path"))
         gone = status.filter(F.col("status") != "unchanged").select("file_path")
         nodes = overwrite_files(self.read("nodes"), nodes_of(parsed), gone)
-        nodes = latest_by(nodes, ["qualified_name"], ["file_path", "line_start"])
-        edges = overwrite_files(self.read("edges").filter("kind <> 'COVERS'"), edges_of(parsed), gone)
-        open_calls = edges.filter("kind = 'CALLS' and unresolved").select("src", "dst")
-        owners = edges.filter("kind = 'CALLS' and unresolved").select("src", "file_path", "line").distinct()
-        covers = derive_covers(open_calls, nodes).join(owners, "src").select(F.lit("COVERS").alias("kind"), "src", "dst", "file_path", "line", F.lit(None).cast("string").alias("extra"), F.lit(False).alias("unresolved")).distinct()
+        nodes = cut(latest_by(nodes, ["qualified_name"], ["file_path", "line_start"]))
+        edges = cut(overwrite_files(self.read("edges").filter("kind <> 'COVERS'"), edges_of(parsed), gone))
+        open_calls = edges.filter("kind = 'CALLS' and unresolved").filter(is_test_path(F.col("file_path"))).select("src", "dst", "file_path", "line").distinct()
+        covers = derive_covers(open_calls, nodes).select(F.lit("COVERS").alias("kind"), "src", "dst", "file_path", "line", F.lit(None).cast("string").alias("extra"), F.lit(False).alias("unresolved"))
+        texts = rich_text(nodes, edges.filter("kind = 'IMPORTS_FROM'"), edges.filter("kind = 'CALLS'")).join(todo, "file_path", "left_semi")
+        vectors = overwrite_files(self.read("embeddings"), embedded(texts.select("qualified_name", "file_path", "text"), embed), gone)
         counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
-        self.write(nodes=nodes, edges=edges.unionByName(covers), files=found.select("file_path", "file_hash"))
-        status.unpersist()
+        self.write(nodes=nodes, edges=edges.unionByName(covers), files=found.select("file_path", "file_hash"), embeddings=vectors)
         errors = self.read("nodes").filter("kind = 'File' and error is not null").count()
         return {"scanned": sum(counts.values()) - counts.get("removed", 0), "indexed": counts.get("new", 0) + counts.get("changed", 0), "skipped": counts.get("unchanged", 0), "removed": counts.get("removed", 0), "errors": errors, "covers": self.read("edges").filter("kind = 'COVERS'").count()}
 

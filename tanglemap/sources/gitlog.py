@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import shutil
 import subprocess
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tanglemap.scratch import shared_dir
+
 HASH = r"^[0-9a-f]{40}$"
 
 
@@ -23,17 +28,34 @@ def run_git(root: str, *args: str) -> str:
     return done.stdout
 
 
+MARK = "\x1e"  # parts the commits of a spooled log
+
+
+def _spooled(spark: SparkSession, root: str, *args: str) -> str:
+    """Output of a git command as a file in the shared folder, piped there in small pieces."""
+    uri = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}.txt"
+    store, path = arrow_fs.FileSystem.from_uri(uri if "://" in uri else Path(uri).absolute().as_uri())
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    try:
+        process = subprocess.Popen(["git", "-C", root, *args], stdout=subprocess.PIPE, stderr=subprocess.PIPE)
+    except FileNotFoundError as missing:
+        raise RuntimeError("git is not installed") from missing
+    with process, store.open_output_stream(path) as out:
+        shutil.copyfileobj(process.stdout, out)
+        told = process.stderr.read().decode(errors="replace").strip()
+    if process.returncode:
+        raise RuntimeError(told or "git failed")
+    return uri
+
+
 def log_lines(spark: SparkSession, root: str, option: str = "--numstat", since: str | None = None) -> DataFrame:
-    """``file_no, line_no, line`` of a log: one number a commit, so that commits parse apart."""
-    text = run_git(root, "log", option, "--format=%H", *([f"--since={since}"] if since else []))
-    rows, commit, at = [], -1, 0
-    for line in text.splitlines():
-        if len(line) == 40 and all(c in "0123456789abcdef" for c in line):
-            commit, at = commit + 1, -1
-        at += 1
-        if line:
-            rows.append((max(commit, 0), at, line))
-    return spark.createDataFrame(rows, "file_no long, line_no int, line string")
+    """``file_no, line_no, line`` of a log: one number a commit, so that commits parse apart.
+    The log goes to the shared folder and is read from there, one commit a record, by the
+    executors."""
+    uri = _spooled(spark, root, "log", option, "--format=%x1e%H", *([f"--since={since}"] if since else []))
+    commits = spark.read.option("lineSep", MARK).text(uri).filter(F.length("value") > 0)
+    lines = commits.select(F.monotonically_increasing_id().alias("file_no"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    return lines.filter(F.length("line") > 0)
 
 
 def _with_commit(lines: DataFrame) -> DataFrame:

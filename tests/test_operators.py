@@ -1,3 +1,4 @@
+import hashlib
 import random
 import statistics
 
@@ -11,7 +12,7 @@ from tanglemap.functions import paths
 from tanglemap.operators import coupling, coverage, graph, history, search, snapshot
 from tanglemap.operators.components import connected_components
 from tanglemap.sources import gitlog
-from tanglemap.sources.catalog import Catalog
+from tanglemap.sources.catalog import Catalog, SchemaTooNew
 from tanglemap.sources.files import scan_files
 from tanglemap.streaming.history import append_changes, windowed_churn
 
@@ -63,6 +64,17 @@ def test_inheritance(spark):
     assert got == {"A": (0, 1), "B": (1, 1), "C": (2, 0), "D": (1, 0), "X": (2, 1), "Y": (2, 1)}
 
 
+def test_inheritance_has_no_depth_limit(spark):
+    chain = [(f"a{i}", f"a{i - 1}", i) for i in range(1, 200)]
+    ring = [(f"r{i}", f"r{(i + 1) % 100}", 1_000 + i) for i in range(100)]
+    tail = [(f"t{i}", f"t{i - 1}" if i else "r7", 2_000 + i) for i in range(30)] + [("s", "s", 3_000), ("u", "s", 3_001), ("twice", "a5", 1), ("twice", "a9", 2)]
+    inherits = spark.createDataFrame(chain + ring + tail, "src string, dst string, id int")
+    classes = inherits.select(F.col("src").alias("qualified_name")).union(inherits.select("dst")).distinct()
+    got = {r["qualified_name"]: r["depth"] for r in coupling.inheritance_metrics(classes, inherits).collect()}
+    want = {f"a{i}": i for i in range(200)} | {f"r{i}": 100 for i in range(100)} | {f"t{i}": 101 + i for i in range(30)} | {"s": 1, "u": 2, "twice": 10}
+    assert got == want
+
+
 def test_scc_and_components_on_random_graphs(spark):
     rng = random.Random(4)
     for _ in range(3):
@@ -118,6 +130,7 @@ def test_coverage(spark):
     covers = coverage.derive_covers(calls, symbols)
     assert covers.count() == 2
     assert [r["name"] for r in coverage.uncovered_symbols(symbols, covers).collect()] == ["multiply"]
+    assert {(r["dst"], r["tests"]) for r in coverage.cover_counts(calls.union(calls), symbols).collect()} == {("src/math.py::add", 2), ("src/math.py::subtract", 2)}
 
 
 def test_path_predicates(spark):
@@ -171,6 +184,58 @@ def test_extractors():
     assert script.rows[0]["docstring"] == "Hi there"
 
 
+def test_scan_finds_every_file(spark, tmp_path):
+    root = tmp_path / "_tree"
+    names = ["pkg/__init__.py", "pkg/_core.py", "_priv/b.py", "pkg/a.py", "vendor/c.py", "target/d.ts", "deep/er/x=1/e.js"]
+    skipped = ["coverage/d.py", "node_modules/x.js", ".hidden/y.py", "a/dist/z.py", "a/notes.txt", "a/no.PY", "gen/out.py", "build/q.py"]
+    for name in names + skipped:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"# {name}")
+    (root / "pkg" / "bad.py").write_bytes(b"x = '\xff'")
+    got = {r["path"]: r for r in scan_files(spark, str(root), ["gen/"]).collect()}
+    assert set(got) == {*names, "pkg/bad.py"}
+    assert got["pkg/a.py"]["text"] == "# pkg/a.py" and got["pkg/bad.py"]["text"] == "x = '\ufffd'"
+    assert got["pkg/a.py"]["file_hash"] == hashlib.sha256(b"# pkg/a.py").hexdigest()
+    assert scan_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_covers_of_an_index_keep_file_and_line(spark, tmp_path):
+    root = tmp_path / "proj"
+    root.mkdir()
+    (root / "m.py").write_text("def f(): ...\ndef g(): ...\ndef h(): ...\n")
+    (root / "test_m.py").write_text("def test_a():\n    f()\n    g()\n    h()\n")
+    catalog = Catalog(spark, str(tmp_path / "store"))
+    for _ in range(2):  # deriving again changes nothing
+        assert catalog.index(scan_files(spark, str(root)))["covers"] == 3
+        got = {(r["src"], r["dst"], r["file_path"], r["line"]) for r in catalog.read("edges").filter("kind = 'COVERS'").collect()}
+        assert got == {("test_m.py::test_a", f"m.py::{name}", "test_m.py", line) for name, line in (("f", 2), ("g", 3), ("h", 4))}
+
+
+def test_snapshots_swap_atomically(spark, tmp_path):
+    store = tmp_path / "store"
+    catalog, rows = Catalog(spark, str(store)), lambda *names: spark.createDataFrame([(n, n) for n in names], "file_path string, file_hash string")
+    assert catalog.current() is None
+    catalog.write(files=rows("a"))
+    reader = catalog.read("files")
+    catalog.write(files=rows("a", "b"))
+    assert reader.count() == 1 and catalog.read("files").count() == 2  # a reader of the one before is left in peace
+    before = catalog.current()
+    broken = Catalog(spark, str(store))
+    with pytest.raises(Exception):
+        broken.write(files=rows("c").select("file_path", F.raise_error(F.lit("stop")).cast("string").alias("file_hash")))
+    assert catalog.current() == before and catalog.read("files").count() == 2
+    late = Catalog(spark, str(store))
+    late._pointers = lambda found=late._pointers(): found  # has not seen the next write
+    catalog.write(files=rows("x", "y", "z"))
+    with pytest.raises(RuntimeError):
+        late.write(files=rows("lost"))
+    assert catalog.read("files").count() == 3
+    assert len([p for p in store.iterdir() if p.name.startswith("current-")]) == 2
+    (store / "current-000000000099").write_text("9 snapshot-x")
+    with pytest.raises(SchemaTooNew):
+        catalog.read("files")
+
+
 def test_index_and_gate(spark, tmp_path):
     root = tmp_path / "proj"
     (root / "pkg").mkdir(parents=True)
