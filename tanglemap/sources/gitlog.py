@@ -54,7 +54,7 @@ def log_lines(spark: SparkSession, root: str, option: str = "--numstat", since:
     executors."""
     uri = _spooled(spark, root, "log", option, "--format=%x1e%H", *([f"--since={since}"] if since else []))
     commits = spark.read.option("lineSep", MARK).text(uri).filter(F.length("value") > 0)
-    lines = commits.select(F.monotonically_increasing_id().alias("file_no"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    lines = commits.select(F.xxhash64(F.substring("value", 1, 40)).alias("file_no"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return lines.filter(F.length("line") > 0)
 
 

@@ -184,6 +184,36 @@ def test_extractors():
     assert script.rows[0]["docstring"] == "Hi there"
 
 
+def test_script_scanner_on_hard_cases():
+    source = """const re = /["'{(]/g;
+export class Box<T> extends Base<T> {
+  open(size = max(1, (2)), then: Then<Item> = (a) => a): Promise<Out> {
+    const seen: Seen = { kind: Wrong, other: Wrong2 };
+    return this.close(/}/.test(x) ? Odd : Even);
+  }
+  close(p) { if (p) { help(p); } }
+}
+export const run = async (a = f(1), b: Kind = {}) => { help(a); };
+const value = (1 + 2) * 3;
+const other = call((x) => x);
+function help({ a, b }, ...rest: Rest[]) { return `${"}"}`; }
+"""
+    out = extract_script("m.ts", source)
+    nodes = [(r["kind"], r["name"], r["line_start"], r["line_end"]) for r in out.rows if r["record"] == "node"]
+    assert nodes == [("File", "m.ts", 1, 12), ("Class", "Box", 2, 8), ("Method", "open", 3, 6), ("Method", "close", 7, 7), ("Function", "run", 9, 9), ("Function", "help", 12, 12)]
+    types = {r["dst"] for r in out.rows if r.get("kind") == "USES_TYPE"}
+    assert types == {"Then", "Item", "Promise", "Out", "Seen", "Rest"}
+    calls = {(r["src"], r["dst"]) for r in out.rows if r.get("kind") == "CALLS"}
+    assert calls == {("m.ts::Box.open", "m.ts::Box.close"), ("m.ts::Box.close", "m.ts::help"), ("m.ts::run", "m.ts::help")}
+
+
+def test_python_texts_are_raw():
+    out = extract_python("a.py", 'class A:\n    r"""raw"""\n    @deco(x,  1)\n    def f(self,\n          b: "T" = {1: 2}[1]):\n        "doc é"\n')
+    rows = {r["name"]: r for r in out.rows if r["record"] == "node"}
+    assert rows["A"]["docstring"] is None and rows["f"]["docstring"] == "doc é"
+    assert rows["f"]["decorators"] == ["@deco(x,  1)"] and rows["f"]["signature"] == 'def f(self,\n          b: "T" = {1: 2}[1])'
+
+
 def test_scan_finds_every_file(spark, tmp_path):
     root = tmp_path / "_tree"
     names = ["pkg/__init__.py", "pkg/_core.py", "_priv/b.py", "pkg/a.py", "vendor/c.py", "target/d.ts", "deep/er/x=1/e.js"]
