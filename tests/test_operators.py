@@ -1,5 +1,6 @@
 import hashlib
 import random
+import shutil
 import statistics
 
 import pytest
@@ -154,6 +155,11 @@ def test_search(spark):
     assert found("auth") == [1] and found("authservice") == [1] and found("email") == [2] and set(found("user")) == {1, 3}
     assert found("user account") == [3] and found("heal") == [4] and found("user", kind="Method") == [3]
     assert found("") == [] and found("?!") == [] and found("nothing") == []
+    assert found("create_us") == [3] and found("user_create") == [] and found("health_check") == [4]
+    accents = docs.union(spark.createDataFrame([(5, "Class", "Café", "Ärger über Öl")], docs.schema))
+    for word in ("cafe", "CAFÉ", "ÜBER", "arger"):
+        assert [r["node_id"] for r in search.bm25_search(accents, word).collect()] == [5]
+    assert search.query_terms("auth") == [("auth",)] * 2 and search.query_terms("a_b") == [("a", "b")] * 2
     unit = docs.select(search.hashing_embedding(F.col("name"), 16).alias("v")).first()["v"]
     assert len(unit) == 16 and abs(sum(x * x for x in unit) - 1) < 1e-5
 
@@ -266,6 +272,40 @@ def test_snapshots_swap_atomically(spark, tmp_path):
         catalog.read("files")
 
 
+def test_embeddings_follow_their_files(spark, tmp_path):
+    root = tmp_path / "proj"
+    root.mkdir()
+    (root / "a.py").write_text("def alpha(): ...\n")
+    (root / "b.py").write_text("def beta(): ...\n")
+    catalog = Catalog(spark, str(tmp_path / "store"))
+    lengths = lambda texts: [[float(len(t)), float("beta" in t)] for t in texts]
+    catalog.index(scan_files(spark, str(root)), embed=lengths)
+    vectors = lambda: {r["qualified_name"]: list(r["embedding"]) for r in catalog.read("embeddings").collect()}
+    before = vectors()
+    assert set(before) == {"a.py", "a.py::alpha", "b.py", "b.py::beta"} and before["b.py::beta"][1] == 1.0
+    found = search.semantic_search(catalog.read("embeddings"), "beta in b", 2, lengths).collect()
+    assert {r["qualified_name"] for r in found} == {"b.py", "b.py::beta"} and found[0]["distance"] <= found[1]["distance"]
+    (root / "b.py").write_text("def gamma(): ...\n")
+    (root / "a.py").unlink()
+    catalog.index(scan_files(spark, str(root)), embed=lambda texts: [[0.0, 9.0] for _ in texts])
+    assert vectors() == {"b.py": [0.0, 9.0], "b.py::gamma": [0.0, 9.0]}
+    catalog.remove(catalog.read("files"))
+    assert vectors() == {} and search.semantic_search(catalog.read("embeddings"), "x", 3).count() == 0
+
+
+def test_older_snapshots_are_migrated(spark, tmp_path):
+    store = tmp_path / "store"
+    catalog = Catalog(spark, str(store))
+    catalog.write(files=spark.createDataFrame([("a.py", "1")], "file_path string, file_hash string"))
+    folder = catalog.current()
+    shutil.rmtree(store / folder / "embeddings")
+    (store / "current-000000000001").write_text(f"1 {folder}")
+    (store / ".current-000000000001.crc").unlink(missing_ok=True)
+    assert catalog.read("embeddings").count() == 0 and catalog.read("files").count() == 1
+    catalog.write(nodes=catalog.read("nodes"))
+    assert (store / catalog.current() / "embeddings").exists()
+
+
 def test_index_and_gate(spark, tmp_path):
     root = tmp_path / "proj"
     (root / "pkg").mkdir(parents=True)
