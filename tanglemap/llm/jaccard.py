@@ -26,6 +26,7 @@ from tanglemap.scratch import Table, cut
 MAX_HOT = 200_000  # bound of the broadcast list of frequent shingles: 1.6 MB
 FIRSTS = 4  # near copies share one of so many first shingles almost always
 HOT_IN_BATCH, HOT_IN_ALL = 3, 32  # groups of a batch, and of all batches counted
+RECENTRED = 16  # members from which a group looks for its middle again
 MAX_WANTED = 1_000_000  # keys of texts to be compared that are broadcast: some 20 MB
 
 
@@ -172,12 +173,12 @@ class _Bounds:
 
 
 def _leaders(rows: DataFrame, b: _Bounds, num: int, den: int) -> DataFrame:
-    """``rows(token, cls, n, s)`` to ``(cls, grp)``: a class joins the leader that most classes
-    could join, if it shares half of its shared shingles with it; else it leads itself. The
-    leader of a shingle, among classes of like size, is the one with the fewest shingles of
-    its own: the middle of a family of near copies, which all its members meet."""
+    """``rows(token, cls, n, s, common)`` to ``(cls, grp)``: a class joins the leader that most
+    classes could join, if it shares half of its shared shingles with it; else it leads
+    itself. The leader of a shingle, among classes of like size, is the one whose shingles
+    are the most common: the middle of a family of near copies, which all its members meet."""
     rows = rows.withColumn("band", F.floor(F.log("n") / math.log(den / num)).cast("int"))
-    typical = F.col("s") / b.prefix(F.col("n")) + F.pmod("cls", F.lit(1 << 20)) / float(1 << 41)
+    typical = F.col("common") / b.prefix(F.col("n")) + F.pmod("cls", F.lit(1 << 20)) / float(1 << 41)
     best = rows.groupBy("token", "band").agg(F.max_by("cls", typical).alias("leader"))
     met = rows.join(best, ["token", "band"]).filter("cls <> leader").groupBy("cls", "leader").agg(F.count("*").alias("c"), F.max("s").alias("s"), F.max("n").alias("n"))
     met = cut(met.filter((F.col("c") >= b.slack(F.col("n"))) & (2 * F.col("c") >= F.col("s"))).select("cls", "leader"))
@@ -203,6 +204,27 @@ def _visits(rows: DataFrame, sizes: DataFrame, b: _Bounds) -> DataFrame:
     return met.filter(F.col("c") >= b.shared(n, F.col("low"), F.col("high"))).select("cls", F.col("to").alias("grp"))
 
 
+def _recentred(entries: DataFrame) -> DataFrame:
+    """``entries`` of larger groups as differences from the member in the very middle: the one
+    that differs least from what most members hold. Leaders are chosen by prefixes, which
+    many near copies have in common with the middle; this only lessens the work of
+    :func:`_open`."""
+    large = entries.filter("home").groupBy("grp").agg(F.count("*").alias("members")).filter(F.col("members") >= RECENTRED)
+    tokens = entries.filter("home").join(large, "grp").select("grp", "cls", "members", F.explode("diff").alias("token"))
+    most = tokens.groupBy("grp", "token").agg(F.count("*").alias("holders"), F.first("members").alias("members")).filter(2 * F.col("holders") > F.col("members")).select("grp", "token")
+    most = cut(most)
+    held = tokens.join(most, ["grp", "token"]).groupBy("grp", "cls").agg(F.count("*").alias("held"))
+    size = most.groupBy("grp").agg(F.count("*").alias("size"))
+    off = F.col("d") + F.col("size") - 2 * F.coalesce("held", F.lit(0))
+    ranked = entries.filter("home").select("grp", "cls", "d").join(size, "grp").join(held, ["grp", "cls"], "left").select("grp", "size", F.struct(off.alias("off"), "cls").alias("m"))
+    best = ranked.groupBy("grp", "size").agg(F.min("m").alias("m")).filter("m.off < size").select("grp", "m.cls")
+    middle = entries.join(cut(best), ["grp", "cls"]).select("grp", F.col("n").alias("m_n"), F.col("diff").alias("m_diff"), F.col("cls").alias("m_cls"))
+    out = entries.join(cut(middle), "grp", "left")
+    moved = F.concat(F.array_except("diff", "m_diff"), F.array_except("m_diff", "diff"))
+    diff = F.when(F.col("m_cls").isNull(), F.col("diff")).otherwise(moved)
+    return out.select("grp", "cls", "home", "n", F.coalesce("m_n", "ln").alias("ln"), diff.alias("diff"), F.coalesce("m_cls", "grp").alias("leader")).withColumn("d", F.size("diff").cast("long"))
+
+
 def _open(entries: DataFrame, b: _Bounds) -> DataFrame:
     """``entries(grp, cls, home, n, ln, d, diff)``, classes compared with their groups' leaders,
     to links ``(src, dst)`` that do not lead over the leader.
@@ -268,14 +290,15 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
 
     index = Table(texts.select("text", "key", "id").mapInArrow(_index_rows(k, num, den, hot), "matrix boolean, key long, cls long, n int, id long"), "shingle-index")
     matrix = index.read().filter("matrix").select(F.col("key").alias("token"), "cls", F.col("n").cast("long").alias("n"))
-    met = matrix.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a <> z").select("token")
+    met = matrix.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("z"), F.count("*").alias("df")).filter("a <> z").select("token", "df")
     shared = Table(matrix.join(met, "token").distinct(), "shared-shingles")
     by_text = cut(index.read().filter("not matrix").groupBy("key").agg(F.first("cls").alias("cls"), F.first("n").alias("n"), F.min("id").alias("one")))
     index.drop()
 
     n = F.col("n")
-    alive = shared.read().groupBy("cls").agg(F.count("*").alias("s"), F.first("n").alias("n")).filter(F.col("s") >= b.shared(n, b.least(n), b.most(n))).select("cls", "s")
-    rows = Table(shared.read().join(alive, "cls"), "live-shingles")
+    alive = shared.read().groupBy("cls").agg(F.count("*").alias("s"), F.sum(F.log2("df")).alias("common"), F.first("n").alias("n"))
+    alive = alive.filter(F.col("s") >= b.shared(n, b.least(n), b.most(n))).select("cls", "s", "common")
+    rows = Table(shared.read().drop("df").join(alive, "cls"), "live-shingles")
     shared.drop()
     follows = cut(_leaders(rows.read(), b, num, den))
     placed = rows.read().join(follows, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
@@ -300,9 +323,13 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
     entries = seats.join(mine, "cls").join(leader, "grp").select("grp", "cls", "home", F.size("arr").cast("long").alias("n"), F.size("l_arr").cast("long").alias("ln"), diff.alias("diff"))
     entries = Table(entries.withColumn("d", F.size("diff").cast("long")), "differences")
     arrays.drop()
-    near = entries.read().filter(F.col("d") <= b.apart(n, F.col("ln"))).select(F.col("cls").alias("src"), F.col("grp").alias("dst"))
-    found = connected_components(near.unionByName(_open(entries.read(), b)))
+    near = F.col("d") <= b.apart(n, F.col("ln"))
+    middles = Table(_recentred(entries.read()), "middles")
+    links = entries.read().filter(near).select(F.col("cls").alias("src"), F.col("grp").alias("dst"))
+    links = links.unionByName(middles.read().filter(near).select(F.col("cls").alias("src"), F.col("leader").alias("dst")))
+    found = connected_components(links.unionByName(_open(middles.read(), b)))
     entries.drop()
+    middles.drop()
 
     labelled = by_text.join(found, by_text.cls == found.node, "left").select("key", F.coalesce("component", "cls").alias("component"), "n")
     out = cut(texts.select("id", "key").join(labelled, "key", "left"))
