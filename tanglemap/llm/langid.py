@@ -1,6 +1,6 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter has a random vector of signs. A letter trigram is bound from its
+Each letter has a random vector of signs, drawn by its code point. A letter trigram is bound from its
 letters' vectors, each permuted as often as its place says; a text bundles its
 trigrams, a language the texts it was learnt from. The prediction is the language
 whose prototype has the largest cosine with the text.
@@ -16,96 +16,117 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tanglemap.llm.common import unpacked
+from tanglemap.llm.shingles import mixed
 
 DIMENSIONS = 512
-SYMBOLS = 64  # 0 is a gap between words, a-z follow, other letters share the rest
 UNKNOWN = "und"
-CHUNK_CHARS = 1 << 20
+GAP = 0  # symbol between words; any other symbol is a letter's code point
+CHUNK_CHARS = 1 << 18  # bundling takes some 60 bytes of memory a character
+GRAMS_AT_ONCE = 4_096
 FIT_ROWS_PER_LANGUAGE = 4_000
+MAX_LANGUAGES = 10_000  # prototypes go to every task: 2 KB for each language
+SEED = 20_011
 
 
 @cache
-def _symbols() -> np.ndarray:
-    """Symbol of each code point; letters that are no lower-case ASCII letter share by hash."""
-    points = np.arange(0x110000, dtype=np.uint64)
-    letter = np.array([chr(p).isalpha() for p in range(0x110000)])
-    shared = 27 + (points * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(SYMBOLS - 27)
-    out = np.where(letter, shared, 0).astype(np.int32)
-    out[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    return out
+def _letters() -> np.ndarray:
+    """The code point of each letter, the gap for all else."""
+    return np.fromiter((p if chr(p).isalpha() else GAP for p in range(0x110000)), dtype=np.int32, count=0x110000)
 
 
 @cache
-def _vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Bound vectors of all symbol pairs, and the twice permuted ones of single symbols."""
-    rng = np.random.default_rng(20_011)
-    base = rng.choice(np.array([-1, 1], dtype=np.int8), size=(SYMBOLS, DIMENSIONS))
-    order = rng.permutation(DIMENSIONS)
-    once = base[:, order]
-    pairs = (base[:, None, :] * once[None, :, :]).reshape(SYMBOLS * SYMBOLS, DIMENSIONS)
-    return pairs, once[:, order]
-
-
-def _bundle(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bundled trigram vector of each text, and whether it has a letter."""
-    lowered = [f"\n{t.lower()}\n" for t in texts]
-    sizes = [len(t) for t in lowered]
-    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    code, doc = _symbols()[points], np.repeat(np.arange(len(texts)), sizes)
-    kept = (code != 0) | np.r_[True, (code[:-1] != 0) | (doc[1:] != doc[:-1])]
-    code, doc = code[kept], doc[kept]
-    has_letter = np.bincount(doc, weights=code != 0, minlength=len(texts)) > 0
+def _order() -> np.ndarray:
+    return np.random.default_rng(SEED).permutation(DIMENSIONS)
+
+
+def _signs(symbols: np.ndarray) -> np.ndarray:
+    """The random vector of signs of each symbol; every letter of every script has its own."""
+    words = symbols.astype(np.uint64)[:, None] * np.uint64(DIMENSIONS // 64) + np.arange(DIMENSIONS // 64, dtype=np.uint64) + np.uint64(SEED)
+    bits = np.unpackbits(mixed((words + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.uint8), axis=1)
+    return bits.astype(np.int8) * 2 - 1
+
+
+def _bundle(codes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the bound trigram vectors of ``n`` documents' symbols, which follow one another."""
+    there = np.zeros(0x110000, dtype=bool)
+    there[codes] = True
+    symbols = np.flatnonzero(there)
+    k = len(symbols)
+    small = np.searchsorted(symbols, codes) if k > 4_096 else (np.cumsum(there, dtype=np.int32) - 1)[codes]
+    small = small.astype(np.int64)
     whole = doc[2:] == doc[:-2]
-    gram = ((code[:-2] * SYMBOLS + code[1:-1]) * SYMBOLS + code[2:])[whole].astype(np.int64)
-    keys, counts = np.unique(doc[2:][whole] * SYMBOLS**3 + gram, return_counts=True)
-    grams, at = np.unique(keys % SYMBOLS**3, return_inverse=True)
-    table = np.zeros((len(texts), len(grams)), dtype=np.float32)
-    table[keys // SYMBOLS**3, at] = counts
-    pairs, last = _vectors()
-    bound = (pairs[grams // SYMBOLS] * last[grams % SYMBOLS]).astype(np.float32)
-    return table @ bound, has_letter
+    gram = ((small[:-2] * k + small[1:-1]) * k + small[2:])[whole]
+    keys, counts = np.unique(doc[2:][whole] * k**3 + gram, return_counts=True)
+    grams, at = np.unique(keys % k**3, return_inverse=True)
+    table = np.zeros((n, len(grams)), dtype=np.float32)
+    table[keys // k**3, at] = counts
+    base = _signs(symbols)
+    once = base[:, _order()]
+    twice = once[:, _order()]
+    out = np.zeros((n, DIMENSIONS), dtype=np.float32)
+    for start in range(0, len(grams), GRAMS_AT_ONCE):
+        g = grams[start : start + GRAMS_AT_ONCE]
+        out += table[:, start : start + GRAMS_AT_ONCE] @ (base[g // k**2] * once[g // k % k] * twice[g % k]).astype(np.float32)
+    return out
+
+
+def _symbols(text: str, first: bool, last: bool) -> np.ndarray:
+    """Symbols of a piece; the first and the last piece of a text bring the gap around it."""
+    folded = ("\n" if first else "") + text.casefold() + ("\n" if last else "")
+    return _letters()[np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+
+
+def _squeezed(codes: np.ndarray) -> np.ndarray:
+    """Without all but the first of gaps in a row."""
+    return codes[np.r_[True, (codes[1:] != GAP) | (codes[:-1] != GAP)]] if len(codes) else codes
 
 
 def profiles(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Unit profile of each text, and whether it has a letter. Long texts go in pieces that
-    overlap by two letters' worth, so that memory is bounded while the whole text counts."""
-    out, letters = np.zeros((len(texts), DIMENSIONS), dtype=np.float32), np.zeros(len(texts), dtype=bool)
+    """Unit profile of each text, and whether it has a letter. Letters are case-folded. Long
+    texts go in pieces, each after the last two symbols of the one before, so that memory is
+    bounded and the sum is that of the whole text."""
+    out, letters = np.zeros((len(texts), DIMENSIONS), dtype=np.float64), np.zeros(len(texts), dtype=bool)
     at: list[int] = []
-    pieces: list[str] = []
+    pieces: list[np.ndarray] = []
     size = 0
 
     def flush() -> None:
         nonlocal at, pieces, size
         if pieces:
-            sums, found = _bundle(pieces)
+            sums = _bundle(np.concatenate(pieces), np.repeat(np.arange(len(pieces)), [len(p) for p in pieces]), len(pieces))
             np.add.at(out, at, sums)
-            np.logical_or.at(letters, at, found)
         at, pieces, size = [], [], 0
 
     for i, text in enumerate(texts):
-        for start in range(0, len(text or ""), CHUNK_CHARS):
-            piece = text[start : start + CHUNK_CHARS]
+        text = text or ""
+        tail = np.zeros(0, dtype=np.int64)
+        for start in range(0, len(text), CHUNK_CHARS):
+            piece = _squeezed(np.concatenate([tail, _symbols(text[start : start + CHUNK_CHARS], start == 0, start + CHUNK_CHARS >= len(text))]))
+            letters[i] |= bool((piece != GAP).any())
+            tail = piece[-2:]
             at.append(i)
             pieces.append(piece)
             size += len(piece)
-            if size >= CHUNK_CHARS // 4 or len(pieces) >= 128:
+            if size >= CHUNK_CHARS or len(pieces) >= 128:
                 flush()
     flush()
     norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norms > 0, norms, 1), letters
+    return (out / np.where(norms > 0, norms, 1)).astype(np.float32), letters
 
 
 def fit(docs: DataFrame, learn: Column, *, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = FIT_ROWS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages (sorted) and their unit prototypes, from rows where ``learn`` holds and
-    neither text nor language is null. Of each language about ``rows_per_language`` rows at
+    neither text nor language is null; more than ``MAX_LANGUAGES`` are an error. Of each language about ``rows_per_language`` rows at
     most are used, chosen by a hash of the text; this bounds the fit, not the prediction."""
     rows = docs.filter(learn).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return [], np.zeros((0, DIMENSIONS), dtype=np.float32)
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, rows_per_language / n)))])
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, rows_per_language / n)) for lang, n in counts.items()], "lang string, share double")
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(drawn < F.element_at(share, F.col("lang")))
+    sample = rows.join(F.broadcast(shares), "lang").filter(drawn < F.col("share")).select("text", "lang")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

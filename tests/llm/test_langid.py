@@ -1,3 +1,5 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tanglemap.llm import langid
 
@@ -32,11 +34,33 @@ def test_nothing_learnt_and_empty(spark):
     assert langid.predict(docs.limit(0), known, prototypes).count() == 0
 
 
-def test_pieces_equal_whole(monkeypatch):
-    import numpy as np
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 400])
+def test_pieces_equal_whole(monkeypatch, size):
+    text = "Some words -- that are  long\n\nenough, ÄÖ ж to be... cut in İ pieces! " * 20
+    whole, _ = langid.profiles([text, "short", None, text[:30]])
+    monkeypatch.setattr(langid, "CHUNK_CHARS", size)
+    cut, letters = langid.profiles([text, "short", None, text[:30]])
+    assert np.allclose(whole, cut, atol=1e-6) and letters.tolist() == [True, True, False, True]
 
-    text = "some words that are long enough to be cut in pieces " * 50
-    whole, _ = langid.profiles([text])
-    monkeypatch.setattr(langid, "CHUNK_CHARS", 400)
-    cut, _ = langid.profiles([text])
-    assert float(np.dot(whole[0], cut[0])) > 0.99
+
+def test_profile_against_brute_force():
+    """Trigrams bound letter by letter."""
+    order = langid._order()
+    vector = lambda c: langid._signs(np.array([ord(c) if c.isalpha() else 0]))[0].astype(float)
+    for text in ["Hi there", "a", "жук и Жук", "x  y"]:
+        symbols = "".join(c if c.isalpha() else " " for c in f" {text.casefold()} ")
+        symbols = " ".join(symbols.split())
+        symbols = f" {symbols} "
+        total = sum(vector(a) * vector(b)[order] * vector(c)[order][order] for a, b, c in zip(symbols, symbols[1:], symbols[2:]))
+        assert np.allclose(langid.profiles([text])[0][0], total / np.linalg.norm(total), atol=1e-6)
+
+
+def test_every_letter_has_its_own_vector():
+    signs = langid._signs(np.array([ord(c) for c in "abzéжשあ漢"])).astype(int)
+    assert (np.abs(signs @ signs.T - langid.DIMENSIONS * np.eye(len(signs))) < 0.25 * langid.DIMENSIONS).all()
+
+
+def test_ties_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(1, "same words here", "b", 1), (2, "same words here", "a", 1)], SCHEMA)
+    known, prototypes = langid.fit(docs, F.lit(True))
+    assert {r["lang_pred"] for r in langid.predict(docs, known, prototypes).collect()} == {"a"}
