@@ -1,10 +1,12 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame operations alone.
 
 Patterns give candidate spans. The hash of each candidate's value is aggregated over
-the corpus by distinct repositories and distinct owners: a value that many owners
-have is a copied example, one that stays with few owners looks live. Candidates of
-the fixed patterns are always reported, with that verdict; candidates of the opaque
-kind (long mixed strings without a telling context) only where they look live.
+the corpus by distinct repositories and distinct owners. A value in many repositories
+of many owners is a copied example; one in many repositories of few owners is a
+credential that they reuse; any other is local to few repositories. All but examples
+look live. Candidates of the fixed patterns are always reported, with that verdict;
+candidates of the opaque kind (long mixed strings without a telling context) only
+where they look live.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ KINDS = (
     Kind("hex", r"[0-9a-f]{16,}", 0, 16),
     Kind("opaque", r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z_+/=-]*[0-9])(?=[a-z0-9_+/=-]*[A-Z])(?=[A-Z0-9_+/=-]*[a-z])[A-Za-z0-9+/_=-]{24,}(?![A-Za-z0-9+/_.=-])", 0, 24, False),
 )
-MAX_OWNERS = 2
+MAX_OWNERS = 2  # more are many
+MAX_REPOS = 2
 
 
 def _matches(text: Column, kind: Kind, rank: int) -> Column:
@@ -59,13 +62,15 @@ def _matches(text: Column, kind: Kind, rank: int) -> Column:
     return F.when(text.rlike(kind.pattern), F.transform(whole, one))
 
 
-def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", kinds: tuple[Kind, ...] = KINDS, max_owners: int = MAX_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", kinds: tuple[Kind, ...] = KINDS, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """One row a document: the id column and ``secrets``, an array of (start, rank, kind, end,
-    hash, n_repos, n_owners, live) by start, then kind. Positions are code points, end
-    exclusive. ``live``: at most ``max_owners`` owners have the value.
+    hash, n_repos, n_owners, verdict, live) by start, then kind. Positions are code points, end
+    exclusive. ``verdict``: ``example`` if more than ``max_repos`` repositories and more than
+    ``max_owners`` owners have the value, ``reused`` if only the former, else ``local``;
+    ``live``: not an example.
 
     A null or empty text has no secrets. A null repository or owner does not count as one, so
-    a value seen only there has none and looks live. Repeated rows each give a row. Other
+    a value seen only there has none and is local. Repeated rows each give a row. Other
     columns do not pass through. An empty table gives an empty table.
 
     Texts are read once, in a scan without a shuffle; only candidates move. A value that a
@@ -96,11 +101,13 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     sure = [rank for rank, kind in enumerate(kinds) if kind.sure]
     repos = spans.select("hash", "repo").distinct().groupBy("hash").agg(F.count("repo").alias("n_repos"))
     owners = spans.select("hash", "owner").distinct().groupBy("hash").agg(F.count("owner").alias("n_owners"))
-    verdict = repos.join(owners, "hash").select("hash", "n_repos", "n_owners", (F.col("n_owners") <= max_owners).alias("live"))
+    spread = F.col("n_repos") > max_repos
+    said = F.when(spread & (F.col("n_owners") > max_owners), "example").when(spread, "reused").otherwise("local")
+    verdict = repos.join(owners, "hash").select("hash", "n_repos", "n_owners", said.alias("verdict"), (said != "example").alias("live"))
     names = F.array(*[F.lit(k.name) for k in kinds])
     rated = spans.join(verdict, "hash").select(
         "row",
-        F.struct("start", "rank", F.get(names, F.col("rank")).alias("kind"), "end", "hash", "n_repos", "n_owners", "live").alias("s"),
+        F.struct("start", "rank", F.get(names, F.col("rank")).alias("kind"), "end", "hash", "n_repos", "n_owners", "verdict", "live").alias("s"),
     )
     kept = rated.filter(F.col("s.rank").isin(*sure) | F.col("s.live")).groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("all"))
     covered = lambda s, t: (t["rank"] != s["rank"]) & t["rank"].isin(*sure) & (t["start"] < s["end"]) & (s["start"] < t["end"])
