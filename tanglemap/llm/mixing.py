@@ -8,7 +8,7 @@ whose expected token totals by domain match the targets.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ RATIO_BINS = 16
 EXTRA = 4 * RATIO_BINS
 FIT_ROWS = 6_000
 CHUNK_BYTES = 1 << 20
+NEWTON_STEPS = (1.0, 0.5, 0.2, 0.05)
+GRADIENT_STEPS = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0)
 SYMBOL = np.ones(256, dtype=bool)
 SYMBOL[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100), 0x20, 0x0A, 0x09, 0x0D, 0x2C, 0x2E]] = False
 
@@ -121,10 +123,34 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     return model
 
 
-def domain_posteriors(docs: DataFrame, model: DomainClassifier, *, text_col: str = "text", keep: Sequence[str] | None = None, moves: Sequence[np.ndarray] = ()) -> DataFrame:
+@dataclass
+class Rates:
+    """A rate for each document from its posterior: from a rate of 1, each move takes
+    ``posterior . move`` away, but never goes below the floor, which is 1 for documents that
+    are ``sure`` or more likely of a ``wanted`` domain, else 0."""
+
+    wanted: np.ndarray  # by domain, bool
+    sure: float
+    moves: list[np.ndarray] = field(default_factory=list)
+    target: dict[str, float] = field(default_factory=dict)  # tokens by domain
+    reached: dict[str, float] = field(default_factory=dict)
+
+    def floor(self, p: np.ndarray) -> np.ndarray:
+        return (p[:, self.wanted].sum(axis=1) >= self.sure).astype(float)
+
+    def of(self, p: np.ndarray) -> np.ndarray:
+        rate = np.ones(len(p))
+        if self.moves:
+            floor = self.floor(p)
+            for move in self.moves:
+                rate = np.maximum(floor, rate - p @ move)
+        return rate
+
+
+def domain_posteriors(docs: DataFrame, model: DomainClassifier, *, text_col: str = "text", keep: Sequence[str] | None = None, rates: Rates | None = None) -> DataFrame:
     """Columns ``_row``, ``n_tokens`` (words), ``posterior`` (array, in the order of the
-    model's domains) and ``_rate``, what ``moves`` of :func:`fit_rates` make of it. A null or
-    empty text has no tokens and the posterior of its bare bias."""
+    model's domains) and ``_rate``, what ``rates`` of :func:`fit_rates` make of it (1 without).
+    A null or empty text has no tokens and the posterior of its bare bias."""
     names = list(keep or docs.columns)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text_col).cast("binary").alias("_raw"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some hundred KB, whatever the input
@@ -137,7 +163,7 @@ def domain_posteriors(docs: DataFrame, model: DomainClassifier, *, text_col: str
                 index.append(i)
             p = shared.value.posteriors(index).astype(float) if index else np.zeros((0, 0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(_fold(p, moves))],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(rates.of(p) if rates else np.ones(len(p)))],
                 ["_row", "n_tokens", "posterior", "_rate"],
             )
 
@@ -145,89 +171,122 @@ def domain_posteriors(docs: DataFrame, model: DomainClassifier, *, text_col: str
     return rows.mapInArrow(score, schema)
 
 
-def _fold(p: np.ndarray, moves: Sequence[np.ndarray]) -> np.ndarray:
-    rate = np.ones(len(p))
-    for move in moves:
-        rate = np.maximum(0.0, rate - p @ move)
-    return rate
-
-
 def _matrix(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(0).to_numpy(zero_copy_only=False).astype(float), np.array(batch.column(1).flatten().to_numpy(), dtype=float).reshape(-1, k)
 
 
-def fit_rates(scored: DataFrame, domains: Sequence[str], weights: Mapping[str, float], *, total: float | None = None, steps: int = 40, tolerance: float = 1e-4) -> tuple[list[np.ndarray], dict]:
-    """Moves of projected gradient: a document's rate starts at 1 and, move by move, becomes
-    ``max(0, rate - posterior . move)``. Minimises the squared misfit of expected domain
-    token totals, in the metric of the domains' token Gram matrix, which makes a full step
-    right as long as no rate meets zero.
+def fit_rates(scored: DataFrame, domains: Sequence[str], weights: Mapping[str, float], *, total: float | None = None, sure: float = 0.5, steps: int = 40, tolerance: float = 1e-4) -> Rates:
+    """Projected-gradient least squares: nonnegative rates whose expected token totals by
+    domain, the sum of rate x tokens x posterior, come nearest to the targets. The misfit is
+    measured by the domains' token Gram matrix, so no unit or rare domain dominates.
 
     ``weights``: target share by domain (others 0). ``total``: tokens aimed at; by default the
-    least with which no domain of positive weight has fewer tokens than now. Each iteration is one pass
-    over (tokens, posterior) that returns one row of sums; rates are recomputed from the
-    moves, so nothing is stored by document and a lost task is simply run again."""
+    least with which no domain of positive weight has fewer tokens than now. ``sure``:
+    documents at least so likely of the domains of positive weight keep a rate of 1 or more;
+    above 1 there is no such floor. Each iteration is one pass over (tokens, posterior) that
+    tries steps of several lengths, along the gradient and along Newton's direction for the
+    documents above their floors, and returns one row of sums for each; the best is taken,
+    until none improves. Rates are recomputed from the moves, so nothing is stored by
+    document and a lost task is simply run again. Targets that floors keep out of reach show
+    in ``reached`` beside ``target``."""
     k = len(domains)
+    goal = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
+    rates = Rates(goal > 0, sure)
+
+    def sums(moves: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Token totals after each of some next moves, and the Gram matrix of what is above its floor."""
 
-    def sums(moves: Sequence[np.ndarray]):
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(k + k * k)
+            out = np.zeros((len(moves), k + k * k))
             for batch in batches:
                 tokens, p = _matrix(batch, k)
-                out[:k] += (tokens * _fold(p, moves)) @ p
-                out[k:] += ((p * tokens[:, None]).T @ p).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["i", "x"])
+                rate, floor = rates.of(p), rates.floor(p)
+                for i, move in enumerate(moves):
+                    moved = np.maximum(floor, rate - p @ move) if move.any() else rate
+                    free = (moved > floor) * tokens
+                    out[i, :k] += (tokens * moved) @ p
+                    out[i, k:] += ((p * free[:, None]).T @ p).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], ["i", "x"])
 
         rows = scored.select("n_tokens", "posterior").mapInArrow(part, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(k + k * k)
+        out = np.zeros(len(moves) * (k + k * k))
         for r in rows:
             out[r["i"]] = r["x"]
-        return out[:k], out[k:].reshape(k, k)
+        return [(row[:k], row[k:].reshape(k, k)) for row in out.reshape(len(moves), -1)]
 
-    now, gram = sums([])
-    goal = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
+    every, rates.sure = rates.sure, 2.0  # no floor: the Gram matrix of all documents
+    now, gram = sums([np.zeros(k)])[0]
+    rates.sure = every
     goal = goal / goal.sum() if goal.sum() else goal
     if total is None:
         total = max([n / g for n, g in zip(now, goal, strict=True) if g > 0], default=0.0)
     target = goal * total
-    inverse = np.linalg.pinv(gram) if k else gram
-    moves: list[np.ndarray] = []
-    size = max(1.0, float(np.abs(target).max(initial=0)))
+    metric, free = np.linalg.pinv(gram) if k else gram, gram
+    loss = lambda totals: float((totals - target) @ metric @ (totals - target))
+    begun = loss(now)
     for _ in range(steps):
         misfit = now - target
-        if np.abs(misfit).max(initial=0) <= tolerance * size:
+        if np.abs(misfit).max(initial=0) <= tolerance * max(1.0, total):
             break
-        moves.append(inverse @ misfit)
-        before = now
-        now, _ = sums(moves)
-        if np.abs(now - before).max(initial=0) <= tolerance * size:
-            break  # rates at zero keep some targets out of reach
-    return moves, {"target": dict(zip(domains, target.tolist(), strict=True)), "reached": dict(zip(domains, now.tolist(), strict=True))}
+        newton = np.linalg.pinv(free) @ misfit
+        tried = [*(newton * x for x in NEWTON_STEPS), *(metric @ misfit * x for x in GRADIENT_STEPS)]
+        found = sums(tried)
+        best = min(range(len(tried)), key=lambda i: loss(found[i][0]))
+        if loss(now) - loss(found[best][0]) <= tolerance / 10 * begun:
+            break  # floors keep some targets out of reach
+        rates.moves.append(tried[best])
+        now, free = found[best]
+    rates.target, rates.reached = dict(zip(domains, target.tolist(), strict=True)), dict(zip(domains, now.tolist(), strict=True))
+    return rates
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", keep: Sequence[str] | None = None, seed: int = 29, sure: float = 0.5, fit_rows: int = FIT_ROWS, total: float | None = None) -> DataFrame:
-    """The documents (columns ``keep``, or all) with ``n_tokens``, ``p_<domain>`` for each
-    domain, ``rate`` (expected copies) and ``copies``: the rate rounded up or down by a hash of
-    the id and the text, so that it holds on average, but one copy for a rate from ``sure`` to 1,
-    so that a slight doubt of the classifier removes nothing.
+@dataclass
+class Mixture:
+    """What :func:`fit_mixture` learnt; ``rates`` tells targets and totals reached."""
 
-    A null text has no tokens; null ids and unlabelled documents take part; labels without a document
-    or with a null domain are ignored. With no label at all there are no domains and every
-    rate is 1. Repeated rows have equal rates and copies. An empty table gives none.
-    """
+    model: DomainClassifier
+    rates: Rates
+
+
+def _drawn(docs: DataFrame, names: Sequence[str], id_col: str, text_col: str, seed: int) -> DataFrame:
+    draw = F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(1 << 30))
+    return docs.select(*[F.col(f"`{c}`") for c in names], draw.alias("_draw"), F.col(f"`{text_col}`").alias("_text"))
+
+
+def fit_mixture(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sure: float = 0.5, fit_rows: int = FIT_ROWS, total: float | None = None) -> Mixture:
+    """The classifier, from the labelled table, and rates over all documents. With no label at
+    all there are no domains and every rate is 1."""
     model = fit_classifier(docs, labels, id_col=id_col, text_col=text_col, domain_col=domain_col, fit_rows=fit_rows)
+    if not model.domains:
+        return Mixture(model, Rates(np.zeros(0, dtype=bool), sure))
+    sums = cut(domain_posteriors(docs.select(F.col(f"`{text_col}`").alias("_text")), model, text_col="_text").select("n_tokens", "posterior"))
+    return Mixture(model, fit_rates(sums, model.domains, weights, total=total, sure=sure))
+
+
+def apply_mixture(docs: DataFrame, mixture: Mixture, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] | None = None, seed: int = 29) -> DataFrame:
+    """The documents (columns ``keep``, or all) with ``n_tokens``, ``p_<domain>`` for each
+    domain, ``rate`` (expected copies) and ``copies``: the rate rounded up or down by a hash of
+    the id and the text, so that on average it is the rate."""
     names = list(keep or docs.columns)
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(1 << 30)).alias("_draw"), F.col(f"`{text_col}`").alias("_text"))
-    scored = domain_posteriors(rows, model, text_col="_text", keep=[*names, "_draw"])
-    sums = cut(scored.select("n_tokens", "posterior"))
-    moves, _ = fit_rates(sums, model.domains, weights, total=total) if model.domains else ([], {})
-    out = domain_posteriors(rows, model, text_col="_text", keep=[*names, "_draw"], moves=moves)
+    out = domain_posteriors(_drawn(docs, names, id_col, text_col, seed), mixture.model, text_col="_text", keep=[*names, "_draw"], rates=mixture.rates)
     whole = F.floor("_rate")
-    drawn = (whole + (F.col("_row._draw") < (F.col("_rate") - whole) * float(1 << 30)).cast("long")).cast("long")
-    copies = F.when(F.col("_rate").between(sure, 1.0), F.lit(1).cast("long")).otherwise(drawn)
-    posteriors = {f"p_{d}": F.col("posterior")[i] for i, d in enumerate(model.domains)}
+    copies = (whole + (F.col("_row._draw") < (F.col("_rate") - whole) * float(1 << 30)).cast("long")).cast("long")
+    posteriors = {f"p_{d}": F.col("posterior")[i] for i, d in enumerate(mixture.model.domains)}
     return out.select(*unpacked(out, names, n_tokens=F.col("n_tokens"), **posteriors, rate=F.col("_rate"), copies=copies))
 
 
+def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", keep: Sequence[str] | None = None, seed: int = 29, sure: float = 0.5, fit_rows: int = FIT_ROWS, total: float | None = None) -> DataFrame:
+    """:func:`fit_mixture` and :func:`apply_mixture` in one. Documents that are more likely
+    than not of domains that are wanted keep a rate of 1 or more, so a slight doubt of the
+    classifier removes nothing; copies follow the rates.
+
+    A null text has no tokens; null ids and unlabelled documents take part; labels without a document
+    or with a null domain are ignored. Repeated rows have equal rates and copies; so have
+    ties in anything but id and text. An empty table gives none."""
+    mixture = fit_mixture(docs, labels, weights, id_col=id_col, text_col=text_col, domain_col=domain_col, sure=sure, fit_rows=fit_rows, total=total)
+    return apply_mixture(docs, mixture, id_col=id_col, text_col=text_col, keep=keep, seed=seed)
+
+
 def quality_domains(labels: DataFrame) -> DataFrame:
     """``labels(doc_id, quality, toxic)`` as domains: toxic, else high or low quality."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tanglemap.llm import mixing
 
@@ -25,14 +26,51 @@ def test_targets_are_met(spark):
     assert 0.8 < copies < 1.2 and all(r["copies"] == 0 for r in rows if r["p_c"] > 0.9)
 
 
-def test_rates_solve_least_squares(spark):
-    rng = np.random.default_rng(1)
-    p = rng.dirichlet([1, 1, 1], 500)
-    n = rng.integers(1, 100, 500)
-    scored = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>")
-    moves, told = mixing.fit_rates(scored, ["x", "y", "z"], {"x": 0.3, "y": 0.4, "z": 0.3}, total=20_000)
-    rate = mixing._fold(p, moves)
-    assert np.allclose((rate * n) @ p, [6000, 8000, 6000], rtol=1e-3)
+def scored_rows(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    p = rng.dirichlet([0.3, 0.3, 0.3], n)
+    tokens = rng.integers(1, 100, n).astype(float)
+    return p, tokens, spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(tokens, p, strict=True)], "n_tokens long, posterior array<double>")
+
+
+def test_rates_meet_targets_within_reach(spark):
+    p, tokens, scored = scored_rows(spark, 500, 1)
+    rates = mixing.fit_rates(scored, ["x", "y", "z"], {"x": 0.3, "y": 0.4, "z": 0.3}, total=40_000, sure=2)
+    assert np.allclose((rates.of(p) * tokens) @ p, [12_000, 16_000, 12_000], rtol=1e-3)
+    assert np.allclose(list(rates.reached.values()), (rates.of(p) * tokens) @ p) and list(rates.target.values()) == [12_000, 16_000, 12_000]
+
+
+@pytest.mark.parametrize("sure", [0.5, 2.0])
+def test_rates_solve_bounded_least_squares(spark, sure):
+    """Against cyclic coordinate descent on the same bounded least squares."""
+    p, tokens, scored = scored_rows(spark, 60, 2)
+    rates = mixing.fit_rates(scored, ["x", "y", "z"], {"x": 0.9, "y": 0.1}, sure=sure)
+    target = np.array(list(rates.target.values()))
+    a = p * tokens[:, None]
+    metric = np.linalg.inv(a.T @ p)
+    floor = np.where(p[:, :2].sum(axis=1) >= sure, 1.0, 0.0)
+    rate = np.ones(len(p))
+    for _ in range(3_000):
+        for i in range(len(rate)):
+            rate[i] = max(floor[i], rate[i] - a[i] @ metric @ (rate @ a - target) / (a[i] @ metric @ a[i]))
+    loss = lambda r: (r @ a - target) @ metric @ (r @ a - target)
+    assert (rates.of(p) >= floor).all()
+    assert loss(rates.of(p)) - loss(rate) <= 3e-4 * (loss(np.ones(len(p))) - loss(rate))
+
+
+def test_copies_follow_rates_and_wanted_documents_stay(spark):
+    docs, labels, _ = corpus(spark, 1_500)
+    rows = mixing.mix(docs, labels, {"a": 0.5, "b": 0.5}).collect()
+    wanted = [r for r in rows if r["p_a"] + r["p_b"] >= 0.5]
+    assert all(r["copies"] >= 1 for r in wanted) and all(np.floor(r["rate"]) <= r["copies"] <= np.ceil(r["rate"]) for r in rows)
+    tokens = lambda field: sum(r[field] * r["n_tokens"] for r in rows)
+    assert abs(tokens("copies") / tokens("rate") - 1) < 0.02
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "alpha apple " * 200_000, 0), (2, "beta bread " * 3, 0)], DOCS)
+    rows = {r["doc_id"]: r for r in mixing.mix(docs, spark.createDataFrame([(1, "a"), (2, "b")], LABELS), {"a": 1.0, "b": 1.0}).collect()}
+    assert rows[1]["n_tokens"] == 400_000 and rows[2]["n_tokens"] == 6
 
 
 def test_edges(spark):
