@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tanglemap.operators.components import connected_components
 
-TAU = 2  # edits
-MIN_NEAR = 24  # shorter lines are only compared for equality
+TAU = 2  # edits at most
+PER_EDIT = 6  # characters that a line must have for each edit that still leaves a near copy
 BLOCK = 64  # lines of one key that one task compares with as many others
 LETTERS = "eatnorishdlu"  # their counts bound the edit distance from below
 
@@ -26,7 +26,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def edit_distance_within(a: Column, b: Column, tau: int) -> Column:
-    """Whether arrays of characters are within ``tau`` edits.
+    """Edit distance of arrays of characters, if ``tau`` at most, else some larger number.
 
     Bit ``i`` of the two delta words stands for row ``j - tau + i`` of column ``j``, so the
     band moves with the diagonal and ``2 * tau + 1`` bits do for any length. The distance is
@@ -70,9 +70,9 @@ def edit_distance_within(a: Column, b: Column, tau: int) -> Column:
         return F.when(state["d"] > tau, state).otherwise(_let(match(j, F.get(b, j - 1)), moved))
 
     first = F.struct(F.lit(mask ^ ((1 << tau) - 1)).alias("vp"), F.lit(0).alias("vn"), F.abs(shift).alias("d"))
-    ends = F.aggregate(F.sequence(F.lit(1), F.size(b)), first, step)["d"] <= tau
+    ends = F.aggregate(F.sequence(F.lit(1), F.size(b)), first, step)["d"]
     trivial = (F.size(a) == 0) | (F.size(b) == 0)
-    return F.when(F.abs(shift) > tau, F.lit(False)).when(trivial, F.greatest(F.size(a), F.size(b)) <= tau).otherwise(ends)
+    return F.when(F.abs(shift) > tau, F.abs(shift)).when(trivial, F.greatest(F.size(a), F.size(b))).otherwise(ends)
 
 
 def _core(a: Column, b: Column) -> Column:
@@ -82,8 +82,8 @@ def _core(a: Column, b: Column) -> Column:
     return F.struct(F.slice(a, start, F.size(a) + 1).alias("a"), F.slice(b, start, F.size(b) + 1).alias("b"))
 
 
-def chars_within(a: Column, b: Column, tau: int) -> Column:
-    """Whether arrays of characters are within ``tau`` edits; only what differs is aligned."""
+def char_edits(a: Column, b: Column, tau: int) -> Column:
+    """As :func:`edit_distance_within`; only what differs is aligned."""
 
     def backward(front: Column) -> Column:
         return _let(_core(F.reverse(front["a"]), F.reverse(front["b"])), lambda p: edit_distance_within(p["a"], p["b"], tau))
@@ -93,7 +93,13 @@ def chars_within(a: Column, b: Column, tau: int) -> Column:
 
 def within_edits(x: Column, y: Column, tau: int) -> Column:
     """Whether two strings are within ``tau`` edits."""
-    return _let(F.struct(F.split(x, "").alias("a"), F.split(y, "").alias("b")), lambda p: chars_within(p["a"], p["b"], tau))
+    return _let(F.struct(F.split(x, "").alias("a"), F.split(y, "").alias("b")), lambda p: char_edits(p["a"], p["b"], tau)) <= tau
+
+
+def edits_allowed(a: Column, b: Column, tau: int, per_edit: int) -> Column:
+    """Edits between near copies of these lengths: one for each ``per_edit`` characters of the
+    shorter line, ``tau`` at most."""
+    return F.least(F.lit(tau), F.floor(F.least(a, b) / per_edit))
 
 
 def _keys(line: Column, tau: int) -> Column:
@@ -116,10 +122,15 @@ def _keys(line: Column, tau: int) -> Column:
     return F.array(*out)
 
 
-def near_line_pairs(lines: DataFrame, tau: int = TAU) -> DataFrame:
+def near_line_pairs(lines: DataFrame, tau: int = TAU, per_edit: int = PER_EDIT) -> DataFrame:
     """``lines(h, line)``, one row a distinct line, to pairs ``(src, dst)`` of hashes of lines
-    within ``tau`` edits. Lines of one key meet in blocks of bounded size; a pair whose lengths
-    and letter counts allow the distance is verified there, and only true pairs leave a block."""
+    within :func:`edits_allowed`. Lines of one key meet in blocks of bounded size; a pair whose
+    lengths and letter counts allow the distance is verified there, and only true pairs leave a
+    block. Segments are exact from ``tau + 1`` characters on, so ``per_edit`` must be more than
+    ``tau``; a line too short for one edit has no near copy."""
+    if per_edit <= tau:
+        raise ValueError("per_edit must be more than tau")
+    lines = lines.filter(F.length("line") >= per_edit)
     counts = [(F.length("line") - F.length(F.replace(F.col("line"), F.lit(c), F.lit("")))).cast("int") for c in LETTERS]
     shape = F.array(F.length("line"), *counts)
     keyed = lines.select("h", _keys(F.col("line"), tau).alias("ks"))  # a projection of its own shares subexpressions
@@ -136,19 +147,20 @@ def near_line_pairs(lines: DataFrame, tau: int = TAU) -> DataFrame:
     def near(x: Column, y: Column) -> Column:
         drift = F.aggregate(F.zip_with(F.slice(x["shape"], 2, len(LETTERS)), F.slice(y["shape"], 2, len(LETTERS)), lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
         allowed = (x["h"] != y["h"]) & (F.abs(x["shape"][0] - y["shape"][0]) <= tau) & (drift <= 2 * tau)
-        return F.when(allowed, chars_within(x["chars"], y["chars"], tau)).otherwise(False)
+        edits = edits_allowed(x["shape"][0], y["shape"][0], tau, per_edit)
+        return F.when(allowed, char_edits(x["chars"], y["chars"], tau) <= edits).otherwise(False)
 
     pair = lambda x: F.transform(F.filter("ys", lambda y: near(x, y)), lambda y: F.struct(F.least(x["h"], y["h"]).alias("src"), F.greatest(x["h"], y["h"]).alias("dst")))
     return blocks.select(F.explode(F.flatten(F.transform("xs", pair))).alias("p")).select("p.src", "p.dst").distinct()
 
 
-def duplicate_lines(docs: DataFrame, *, tau: int = TAU, min_near: int = MIN_NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, *, tau: int = TAU, per_edit: int = PER_EDIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row an id: the id column, ``n_lines``, ``n_exact`` and ``n_near`` (lines dropped as
     equal, or only near, to the line that stays) and ``dropped`` (their numbers from 0, sorted).
 
     Lines are split at ``\\n``; one of white space alone never drops. Equal lines are one
-    class; lines of ``min_near`` characters or more within ``tau`` edits join classes, and so
-    on transitively. Of a class the line of the smallest (id, number) stays, a null id before
+    class; lines within ``tau`` edits, and one edit for each ``per_edit`` characters of the
+    shorter, join classes, and so on transitively. Of a class the line of the smallest (id, number) stays, a null id before
     others. Rows of equal id count as one document whose line numbers coincide; all lines of
     a null text, there are none, and an empty text has one blank line. Other columns do not
     pass through. An empty table gives an empty table.
@@ -160,8 +172,8 @@ def duplicate_lines(docs: DataFrame, *, tau: int = TAU, min_near: int = MIN_NEAR
     rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
     occurs = rows.select("id", "no", F.xxhash64("line").alias("h"), "line", F.trim("line") == "")
     occurs = occurs.toDF("id", "no", "h", "line", "blank")
-    lines = occurs.filter((~F.col("blank")) & (F.length("line") >= min_near)).groupBy("h").agg(F.first("line").alias("line"))
-    classes = connected_components(near_line_pairs(lines, tau)).select(F.col("node").alias("h"), "component")
+    lines = occurs.filter(~F.col("blank")).groupBy("h").agg(F.first("line").alias("line"))
+    classes = connected_components(near_line_pairs(lines, tau, per_edit)).select(F.col("node").alias("h"), "component")
 
     placed = occurs.filter(~F.col("blank")).select("id", "no", "h").join(classes, "h", "left").select("id", "no", "h", F.coalesce("component", "h").alias("class"))
     stays = placed.groupBy("class").agg(F.min(F.struct("id", "no", "h")).alias("s"), F.count("*").alias("n")).filter("n > 1").select("class", "s")
@@ -173,9 +185,9 @@ def duplicate_lines(docs: DataFrame, *, tau: int = TAU, min_near: int = MIN_NEAR
     return out.select(sizes.id.alias(id_col), "n_lines", F.coalesce("n_exact", zero).alias("n_exact"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
-def deduplicate_lines(docs: DataFrame, *, tau: int = TAU, min_near: int = MIN_NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate_lines(docs: DataFrame, *, tau: int = TAU, per_edit: int = PER_EDIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the lines that :func:`duplicate_lines` names."""
-    found = duplicate_lines(docs, tau=tau, min_near=min_near, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("_id"), F.col("dropped").alias("_dropped"))
+    found = duplicate_lines(docs, tau=tau, per_edit=per_edit, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("_id"), F.col("dropped").alias("_dropped"))
     packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
     joined = packed.join(found, F.col("_key").eqNullSafe(F.col("_id")), "left")
     numbered = F.transform(F.split("_text", "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i")))

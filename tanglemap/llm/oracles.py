@@ -52,14 +52,14 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id"""
 
 
-def line_dedup_sql(tau: int = 2, min_near: int = 24) -> str:
+def line_dedup_sql(tau: int = 2, per_edit: int = 6) -> str:
     return f"""
 WITH RECURSIVE o AS (SELECT doc_id, CAST(i AS INT) - 1 AS no, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL) AS s),
 named AS (SELECT *, trim(line) = '' AS blank FROM o),
-l AS (SELECT DISTINCT line, length(line) AS n FROM named WHERE NOT blank AND length(line) >= {min_near}),
+l AS (SELECT DISTINCT line, length(line) AS n FROM named WHERE NOT blank AND length(line) >= {per_edit}),
 e AS (SELECT a.line AS x, b.line AS y FROM l a JOIN l b ON b.n BETWEEN a.n AND a.n + {tau} AND a.line <> b.line
       AND abs(a.n - length(replace(a.line, 'e', '')) - b.n + length(replace(b.line, 'e', ''))) <= {tau} AND abs(length(replace(a.line, 't', '')) - a.n - length(replace(b.line, 't', '')) + b.n) <= {tau}
-      AND levenshtein(a.line, b.line) <= {tau}),
+      AND levenshtein(a.line, b.line) <= least({tau}, a.n // {per_edit})),
 both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 reach AS (SELECT x, x AS y FROM both_ways UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.y),
 cls AS (SELECT x AS line, min(y) AS class FROM reach GROUP BY x),

@@ -125,6 +125,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_chat_format": oracles.chat_sql(marked=MARKED),
     "op6_decontamination": oracles.decontamination_sql(10),
-    "op7_line_dedup": oracles.line_dedup_sql(lines.TAU, lines.MIN_NEAR),
+    "op7_line_dedup": oracles.line_dedup_sql(lines.TAU, lines.PER_EDIT),
     "op9_ngram_jaccard": oracles.jaccard_sql(4, 85, 100),
 }

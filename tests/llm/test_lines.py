@@ -39,13 +39,13 @@ def test_distance_against_brute_force(spark):
 
 def test_pairs_lose_nothing(spark):
     rng = random.Random(6)
-    base = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(24, 40))) for _ in range(30)]
+    base = ["".join(rng.choice("abcdef ") for _ in range(rng.choice([0, 2, 5, 6, 7, 11, 12, 13, 25, 40]))) for _ in range(60)]
     texts = sorted({mutated(rng, b, rng.randint(0, 3)) for b in base for _ in range(6)} | {"prefix that all of these share " + str(i) * 5 for i in range(150)})
     frame = spark.createDataFrame([(t,) for t in texts], "line string").select(F.xxhash64("line").alias("h"), "line")
     names = {r["h"]: r["line"] for r in frame.collect()}
     for tau in (1, 2):
         got = {frozenset((names[r["src"]], names[r["dst"]])) for r in lines.near_line_pairs(frame, tau).collect()}
-        want = {frozenset((a, b)) for i, a in enumerate(texts) for b in texts[:i] if abs(len(a) - len(b)) <= tau and distance(a, b) <= tau}
+        want = {frozenset((a, b)) for i, a in enumerate(texts) for b in texts[:i] if abs(len(a) - len(b)) <= tau and distance(a, b) <= min(tau, min(len(a), len(b)) // lines.PER_EDIT)}
         assert got == want
 
 
@@ -58,3 +58,10 @@ def test_documents(spark):
     texts = {r["doc_id"]: r["text"] for r in lines.deduplicate_lines(docs).collect()}
     assert texts == {1: f"{a}\nshort\n", 2: "shorx\n  ", 3: None, 4: "", None: f"{far}\nx"}
     assert lines.duplicate_lines(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_ties_and_a_very_long_line(spark):
+    long = "word " * 60_000
+    rows = [(7, f"{long}x", "z"), (7, f"{long}x", "z"), (8, f"{long}y\n{long}", "z"), (5, "same line here", "z"), (5, "same line here", "z")]
+    got = sorted((r["doc_id"], r["n_lines"], r["n_exact"], r["n_near"], r["dropped"]) for r in lines.duplicate_lines(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(5, 2, 0, 0, []), (7, 2, 0, 0, []), (8, 2, 0, 2, [0, 1])]
