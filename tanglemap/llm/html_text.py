@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -38,11 +39,13 @@ IMPLIED = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
-MAX_DEPTH = 200  # deeper elements become siblings at this depth, as in browsers
+MAX_DEPTH = 512  # deeper elements become siblings at this depth, as in browsers
+MAX_COLSPAN, MAX_ROWSPAN = 1_000, 65_534  # larger spans count as these, as HTML says
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+UNDISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -51,6 +54,12 @@ class Node:
     tag: str
     attrs: dict[str, str] = field(default_factory=dict)
     children: list[Node | str] = field(default_factory=list)
+    shown: bool = True  # own visibility, else the parent's
+
+
+def _shown(attrs: dict[str, str], parent: Node) -> bool:
+    own = VISIBILITY.findall(attrs["style"]) if "style" in attrs else []
+    return own[-1].lower() == "visible" if own else parent.shown
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -108,7 +117,8 @@ def parse(source: str) -> Node:
             close(*IMPLIED[tag])
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             close({"h1", "h2", "h3", "h4", "h5", "h6"}, BLOCK - {"h1", "h2", "h3", "h4", "h5", "h6"})
-        node = Node(tag, _attributes(m[3]) if m[3].strip(" /") else {})
+        attrs = _attributes(m[3]) if m[3].strip(" /") else {}
+        node = Node(tag, attrs, [], _shown(attrs, stack[-1]))
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
@@ -127,7 +137,7 @@ def _seen(node: Node) -> bool:
         return False
     if node.tag == "input" and node.attrs.get("type", "").lower() == "hidden":
         return False
-    return not ("style" in node.attrs and HIDING.search(node.attrs["style"]))
+    return not ("style" in node.attrs and UNDISPLAYED.search(node.attrs["style"]))
 
 
 def width(text: str) -> int:
@@ -203,48 +213,82 @@ def _indented(page: Page, marker: str, lines: list[str]) -> None:
     page.whole([(marker if i == 0 else pad) + line if line or i == 0 else "" for i, line in enumerate(lines)])
 
 
-def _rows(node: Node) -> Iterator[Node]:
+def _rows(node: Node, group: object = None) -> Iterator[tuple[object, Node]]:
+    """Rows, each with what tells its row group; a cell spans no rows of another."""
     for child in node.children:
         if isinstance(child, Node) and _seen(child):
             if child.tag == "tr":
-                yield child
+                yield group, child
             elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
+                yield from _rows(child, id(child))
+
+
+def _span(cell: Node, name: str, most: int) -> int:
+    """Value of ``colspan`` or ``rowspan``; a ``rowspan`` of 0 goes on to the group's end."""
+    value = cell.attrs.get(name, "1").strip()
+    number = int(value) if value.isdecimal() and value.isascii() and len(value) < 10 else 1
+    return min(most, most if number == 0 and name == "rowspan" else max(1, number))
+
+
+def _grid(node: Node) -> list[dict[int, tuple[list[str], int]]]:
+    """For each row the cells that begin in it, by column: lines, and columns spanned."""
+    grid: list[dict[int, tuple[list[str], int]]] = []
+    held: dict[int, int] = {}  # column: rows for which a cell from above still holds it
+    last = None
+    for group, row in _rows(node):
+        if group != last:
+            held, last = {}, group
+        cells: dict[int, tuple[list[str], int]] = {}
+        begun: dict[int, int] = {}
+        stray = Node("", {}, [], row.shown)
+        at = 0
+        for child in row.children:
+            if not (isinstance(child, Node) and child.tag in ("td", "th")):
+                stray.children.append(child)
+            elif _seen(child):
+                while held.get(at):
+                    at += 1
+                wide, high = _span(child, "colspan", MAX_COLSPAN), _span(child, "rowspan", MAX_ROWSPAN)
+                cells[at] = ([line for line in _block(child) if line], wide)
+                begun.update({column: high - 1 for column in range(at, at + wide)} if high > 1 else {})
+                at += wide
+        extra = [line for line in _block(stray) if line]
+        if extra:
+            while held.get(at):
+                at += 1
+            cells[at] = (extra, 1)
+        held = {column: rows - 1 for column, rows in held.items() if rows > 1} | begun
+        grid.append(cells)
+    return grid
 
 
 def _table(node: Node, page: Page) -> None:
-    loose = Node("", {}, [c for c in node.children if not (isinstance(c, Node) and c.tag in ("tr", "thead", "tbody", "tfoot"))])
+    loose = Node("", {}, [c for c in node.children if not (isinstance(c, Node) and c.tag in ("tr", "thead", "tbody", "tfoot"))], node.shown)
     before = _block(loose)
     if before:
         page.whole(before)
-    grid: list[list[list[str]]] = []
-    for row in _rows(node):
-        cells: list[list[str]] = []
-        stray = Node("", {}, [])
-        for child in row.children:
-            if isinstance(child, Node) and child.tag in ("td", "th"):
-                if _seen(child):
-                    cells.append([line for line in _block(child) if line])
-                    span = child.attrs.get("colspan", "1")
-                    cells.extend([[]] * (min(int(span), 100) - 1 if span.isdecimal() and span.isascii() and len(span) < 4 else 0))
-            else:
-                stray.children.append(child)
-        extra = [line for line in _block(stray) if line]
-        if extra:
-            cells.append(extra)
-        grid.append(cells)
-    widths: list[int] = []
+    grid = _grid(node)
+    widths: dict[int, int] = {}
     for cells in grid:
-        for i, cell in enumerate(cells):
-            size = max((width(line) for line in cell), default=0)
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max(widths[i], size)
+        for at, (cell, wide) in cells.items():
+            if wide == 1:
+                widths[at] = max(widths.get(at, 0), max(map(width, cell), default=0))
+    used = sorted({at for at, size in widths.items() if size} | {at for cells in grid for at, (cell, _) in cells.items() if cell})
+    for cells in grid:  # a cell over several columns widens the last of them, if it must
+        for at, (cell, wide) in cells.items():
+            if wide > 1 and cell:
+                own = [c for c in used if at <= c < at + wide]
+                short = max(map(width, cell)) - sum(widths.get(c, 0) + 2 for c in own) + 2
+                widths[own[-1]] = widths.get(own[-1], 0) + max(0, short)
     lines = []
     for cells in grid:
-        for at in range(max((len(c) for c in cells), default=0)):
-            parts = [c[at] if at < len(c) else "" for c in cells]
-            lines.append("  ".join(p + " " * (w - width(p)) for p, w in zip(parts, widths, strict=False)).rstrip(" "))
+        for n in range(max((len(cell) for cell, _ in cells.values()), default=0)):
+            line, upto = "", 0
+            for at, (cell, wide) in sorted(cells.items()):
+                if n < len(cell):
+                    line += " " * (sum(widths.get(c, 0) + 2 for c in used if c < at) - upto)
+                    line, upto = line + cell[n], sum(widths.get(c, 0) + 2 for c in used if c < at) + width(cell[n])
+            lines.append(line.rstrip(" "))
     page.whole(lines)
 
 
@@ -252,7 +296,8 @@ def _children(node: Node, page: Page) -> None:
     number = int(n) if (n := node.attrs.get("start", "1")).isdecimal() and n.isascii() and len(n) < 10 else 1
     for child in node.children:
         if isinstance(child, str):
-            page.text(child)
+            if node.shown:
+                page.text(child)
             continue
         if not _seen(child):
             continue
@@ -265,16 +310,18 @@ def _children(node: Node, page: Page) -> None:
         elif tag == "hr":
             page.end_line(1)
         elif tag == "img":
-            if child.attrs.get("alt"):
+            if child.attrs.get("alt") and child.shown:
                 page.text(child.attrs["alt"])
         elif tag == "input":
-            if child.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset") and child.attrs.get("value"):
+            if child.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset") and child.attrs.get("value") and child.shown:
                 page.text(child.attrs["value"])
         elif tag == "li":
             marker = f"{number}. " if node.tag == "ol" else "- "
             number += 1
             page.end_line()
-            _indented(page, marker, _block(child) or [""])
+            lines = _block(child)
+            if lines or child.shown:
+                _indented(page, marker, lines or [""])
             page.end_line()
         elif tag in ("dd", "blockquote"):
             page.end_line(int(tag == "blockquote"))
@@ -291,7 +338,7 @@ def _children(node: Node, page: Page) -> None:
             page.end_line(1)
         elif tag == "details" and "open" not in child.attrs:
             page.end_line()
-            _children(Node("", {}, [c for c in child.children if isinstance(c, Node) and c.tag == "summary"][:1]), page)
+            _children(Node("", {}, [c for c in child.children if isinstance(c, Node) and c.tag == "summary"][:1], child.shown), page)
             page.end_line()
         elif tag in BLOCK:
             gap = int(tag in SPACED and not (tag in ("ul", "ol") and node.tag == "li"))
@@ -307,7 +354,8 @@ def _children(node: Node, page: Page) -> None:
 def _raw(node: Node) -> Iterator[str]:
     for child in node.children:
         if isinstance(child, str):
-            yield child
+            if node.shown:
+                yield child
         elif child.tag == "br":
             yield "\n"
         elif _seen(child):
@@ -322,12 +370,13 @@ def extract_text(pages: DataFrame, *, html_col: str = "html", keep: Sequence[str
     """The pages (columns ``keep``, or all) with ``text``, the visible text as laid out.
 
     Null or empty HTML gives an empty text, and so does a page without visible text. Unclosed
-    and stray tags are handled as HTML implies; nesting beyond 200 levels is flattened.
-    Repeated rows each give a row; an empty table gives an empty table. No shuffle."""
+    and stray tags are handled as HTML implies; elements deeper than browsers nest them (512)
+    become siblings, their text stays. A null id is a value like any other. Repeated rows each give a row; an empty table gives an empty table. No shuffle."""
     names = list(keep or pages.columns)
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(html_col).alias("_html"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MAX_DEPTH))
         for batch in batches:
             texts = [render(source) for source in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_row", "_text"])

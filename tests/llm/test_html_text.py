@@ -1,4 +1,5 @@
 import re
+import sys
 from html.parser import HTMLParser
 
 from tanglemap.llm.html_text import extract_text, render
@@ -15,9 +16,41 @@ def test_layout():
     assert render("<dl><dt>t<dd>d<dt>u</dl>") == "t\n  d\nu"
 
 
+def test_tables_with_spans():
+    assert render("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>") == "A  B\n   C"
+    assert render("<table><tr><td>a<td rowspan=3>tall<td>b<tr><td>c<td>d<tr><td>e<td>f<tr><td>g<td>h</table>") == "a  tall  b\nc        d\ne        f\ng  h"
+    assert render("<table><tr><td colspan=2>a heading over both<tr><td>x<td>y<tr><td>long cell<td>z</table>") == "a heading over both\nx          y\nlong cell  z"
+    assert render("<table><thead><tr><th rowspan=0>H<th>I<tbody><tr><td>1<td>2</table>") == "H  I\n1  2"
+    assert render("<table><tr><td rowspan=2 colspan=2>Q<td>1<tr><td>2<tr><td>a<td>b<td>3</table>") == "Q     1\n      2\na  b  3"
+    assert render("<table><tr><td>one<br>two<td>x<tr><td colspan=99999999999>end<td rowspan=x>y</table>") == "one  x\ntwo\nend  y"
+
+
+def test_visibility():
+    assert render("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>z") == "yes\nz"
+    assert render("<div style='display:none'>no<b style='visibility:visible'>no</b></div>z") == "z"
+    assert render("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>") == "- b"
+    assert render("<table style='visibility:collapse'><tr><td>a<td style='visibility:visible'>b</table>") == "b"
+    assert render("<p style='visibility:hidden; visibility:visible'>x") == "x"
+    assert render("<pre style='visibility:hidden'>a<i style='visibility:visible'>b</i></pre>") == "b"
+    assert render("<noscript>n</noscript><template>t</template><textarea>&lt;w</textarea><select><option>o<option>p</select>") == "<w\no\np"
+
+
+def test_hand_made_page():
+    page = """<!doctype html><html><head><title>No</title><style>p{}</style></head><body><header><h1>Head  line</h1></header>
+    <nav><ul><li><a href=x>One</a></li><li>Two<ul><li>Inner</ul></ul></nav><p>Some <em>text</em>,<br>next.
+    <blockquote>Quoted<p>twice</blockquote><ol><li>first<li><p>second</ol><hr>
+    <table><caption>Prices</caption><tr><th>Item</th><th>Cost</th></tr><tr><td>Tea</td><td>2.50</td></tr></table><footer>End</footer></body></html>"""
+    assert render(page) == "Head line\n\n- One\n- Two\n  - Inner\n\nSome text,\nnext.\n\n  Quoted\n\n  twice\n\n1. first\n2. second\n\nPrices\nItem  Cost\nTea   2.50\n\nEnd"
+
+
 def test_broken_input():
     assert render(None) == "" and render("") == "" and render("<p") == "" and render("</p></div>x") == "x"
-    assert render("<div>" * 5000 + "deep") == "deep"
+    deep = sys.getrecursionlimit()
+    sys.setrecursionlimit(20_000)
+    try:
+        assert render("<div>" * 5000 + "deep") == "deep" and render("<ul><li>" * 200 + "x").endswith("- x")
+    finally:
+        sys.setrecursionlimit(deep)
     assert render("<!-- open") == "" and render("<script>open") == ""
     assert render("<table><tr><td>a<table><tr><td>b</table>c</table>d").split() == ["a", "b", "c", "d"]
 
@@ -48,6 +81,6 @@ def test_whole_pages_against_standard_parser(spark):
 
 
 def test_rows(spark):
-    pages = spark.createDataFrame([(1, None, "old"), (2, "<p>x", "old"), (2, "<p>x", "old")], "page_id long, html string, text string")
-    assert sorted((r["page_id"], r["text"]) for r in extract_text(pages).collect()) == [(1, ""), (2, "x"), (2, "x")]
+    pages = spark.createDataFrame([(1, None, "old"), (2, "<p>x", "old"), (2, "<p>x", "old"), (None, "<b>n", "old"), (3, "<i>" * 2_000 + "y" * 300_000, None)], "page_id long, html string, text string")
+    assert sorted(((r["page_id"] or 0), r["text"]) for r in extract_text(pages).collect()) == [(0, "n"), (1, ""), (2, "x"), (2, "x"), (3, "y" * 300_000)]
     assert extract_text(pages.limit(0)).count() == 0
