@@ -24,6 +24,13 @@ def rendezvous(key: Column, shards: int, seed: int) -> Column:
     return F.array_max(F.array(*scores))["s"]
 
 
+def write_shards(sharded: DataFrame, path: str) -> None:
+    """Writes the rows of :func:`shard_documents` below ``path``: a folder ``shard=N`` for each
+    shard, in it a file for each bucket, whose records are in the order of their slots. A task
+    writes the buckets that it permuted, so nothing moves again."""
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
 def shard_documents(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Adds ``size`` (UTF-8 bytes of the text, 16 more), ``shard``, ``slot`` (position in
     the shard, gapless from 0) and ``grown_shard`` (the shard with one shard more).
