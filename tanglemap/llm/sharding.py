@@ -26,7 +26,7 @@ def rendezvous(key: Column, shards: int, seed: int) -> Column:
 
 def write_shards(sharded: DataFrame, path: str) -> None:
     """Writes the rows of :func:`shard_documents` below ``path``: a folder ``shard=N`` for each
-    shard, in it a file for each bucket, whose records are in the order of their slots. A task
+    shard, in it files of whole buckets, whose records are in the order of their slots. A task
     writes the buckets that it permuted, so nothing moves again."""
     sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
