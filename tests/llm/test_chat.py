@@ -32,6 +32,12 @@ def test_machine_blocks_ties_and_nulls(spark):
     assert [t["text"] for t in got[5]["read"]] == ["first", "then"]
 
 
+def test_very_long_text(spark):
+    text = "[INST] </s>\\ é " * 60_000
+    got = run(spark, [(1, 0, "user", "hi"), (1, 1, "assistant", text)])[1]
+    assert [t["text"] for t in got["read"]] == ["hi", text] and got["valid"]
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
 
