@@ -20,7 +20,7 @@ from tanglemap.llm.common import unpacked
 from tanglemap.llm.shingles import PLACE_WEIGHTS, mixed, word_hashes
 
 BLOCK_WORDS = 3
-PART_WORDS = 6_000_000  # words of test items whose tables are broadcast at once: some 50 bytes each
+PART_WORDS = 2_000_000  # words of test items whose tables are broadcast at once: some 50 bytes each, 200 while they are built
 CHUNK_BYTES = 1 << 20  # texts searched at once
 
 #: Words are runs of ASCII letters and digits and of all bytes above ASCII; A-Z become a-z.
