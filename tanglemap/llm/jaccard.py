@@ -25,7 +25,8 @@ from tanglemap.scratch import Table, cut
 
 MAX_HOT = 200_000  # bound of the broadcast list of frequent shingles: 1.6 MB
 FIRSTS = 4  # near copies share one of so many first shingles almost always
-HOT_IN_BATCH, HOT_IN_ALL = 3, 32  # groups of a batch, and of all batches counted
+HOT_IN_BATCH, HOT_IN_ALL = 3, 32  # groups of a part of a batch, and of all parts counted
+ROWS_HELD = 2_000
 RECENTRED = 16  # members from which a group looks for its middle again
 MAX_WANTED = 1_000_000  # keys of texts to be compared that are broadcast: some 20 MB
 
@@ -43,6 +44,13 @@ def _prefix(n: int, num: int, den: int) -> int:
     return min(n, n - required(n, num, den) + _slack(n))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``ROWS_HELD`` rows, so that a worker holds the shingles of few texts."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_HELD):
+            yield batch.slice(start, ROWS_HELD)
+
+
 def _raws(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
@@ -54,7 +62,7 @@ def hot_shingles(texts: DataFrame, k: int) -> np.ndarray:
     mostly) count once, and shingles of fewer than three of these stay out of the sum."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             firsts: set[int] = set()
             sets: list[np.ndarray] = []
             for s in shingle_sets(_raws(batch.column(0)), k):
@@ -88,7 +96,7 @@ def _index_rows(k: int, num: int, den: int, hot):
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _parts(batches):
             rows, tokens, owners, sizes = [], [], [], []
             keys, ids = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for key, name, s in zip(keys, ids, shingle_sets(_raws(batch.column(0)), k, hot.value), strict=True):
@@ -123,7 +131,7 @@ INDEX_COLUMNS = ["matrix", "key", "cls", "n", "id"]
 
 def _arrays(k: int, hot):
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [_signed(s) for s in shingle_sets(_raws(batch.column(0)), k, hot.value)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["cls", "arr"])
 
@@ -182,7 +190,7 @@ def _leaders(rows: DataFrame, b: _Bounds, num: int, den: int) -> DataFrame:
     best = rows.groupBy("token", "band").agg(F.max_by("cls", typical).alias("leader"))
     met = rows.join(best, ["token", "band"]).filter("cls <> leader").groupBy("cls", "leader").agg(F.count("*").alias("c"), F.max("s").alias("s"), F.max("n").alias("n"))
     met = cut(met.filter((F.col("c") >= b.slack(F.col("n"))) & (2 * F.col("c") >= F.col("s"))).select("cls", "leader"))
-    drawn = met.groupBy("leader").agg(F.count("*").alias("drawn"))
+    drawn = cut(met.groupBy("leader").agg(F.count("*").alias("drawn")))
     own = drawn.select(F.col("leader").alias("cls"), F.col("drawn").alias("own"))
     top = met.join(drawn, "leader").groupBy("cls").agg(F.max(F.struct("drawn", "leader")).alias("top")).join(own, "cls", "left")
     follows = F.col("top") > F.struct(F.coalesce("own", F.lit(0).cast("long")).alias("drawn"), F.col("cls").alias("leader"))
@@ -209,12 +217,13 @@ def _recentred(entries: DataFrame) -> DataFrame:
     that differs least from what most members hold. Leaders are chosen by prefixes, which
     many near copies have in common with the middle; this only lessens the work of
     :func:`_open`."""
-    large = entries.filter("home").groupBy("grp").agg(F.count("*").alias("members")).filter(F.col("members") >= RECENTRED)
-    tokens = entries.filter("home").join(large, "grp").select("grp", "cls", "members", F.explode("diff").alias("token"))
+    large = cut(entries.filter("home").groupBy("grp").agg(F.count("*").alias("members")).filter(F.col("members") >= RECENTRED))
+    spread = entries.filter("home").join(large, "grp").select("grp", "cls", "members", "diff").repartition("grp", "cls")  # not by group alone
+    tokens = spread.select("grp", "cls", "members", F.explode("diff").alias("token"))
     most = tokens.groupBy("grp", "token").agg(F.count("*").alias("holders"), F.first("members").alias("members")).filter(2 * F.col("holders") > F.col("members")).select("grp", "token")
     most = cut(most)
     held = tokens.join(most, ["grp", "token"]).groupBy("grp", "cls").agg(F.count("*").alias("held"))
-    size = most.groupBy("grp").agg(F.count("*").alias("size"))
+    size = cut(most.groupBy("grp").agg(F.count("*").alias("size")))
     off = F.col("d") + F.col("size") - 2 * F.coalesce("held", F.lit(0))
     ranked = entries.filter("home").select("grp", "cls", "d").join(size, "grp").join(held, ["grp", "cls"], "left").select("grp", "size", F.struct(off.alias("off"), "cls").alias("m"))
     best = ranked.groupBy("grp", "size").agg(F.min("m").alias("m")).filter("m.off < size").select("grp", "m.cls")
@@ -232,7 +241,10 @@ def _open(entries: DataFrame, b: _Bounds) -> DataFrame:
     Two sets differ in what just one of their differences from the leader holds. So a class
     that is no near copy of the leader can only link with a member of which it shares a
     stated part of the difference, and the first common shingle, the group's rarest first,
-    comes early in both. Shingles that only one class of the group has drop out unseen."""
+    comes early in both. Shingles that only one class of the group has drop out unseen.
+
+    What is counted by group is stored before it is joined back, so that each join has
+    exchanges of its own and adaptive execution can split a large group."""
     d, n = F.col("d"), F.col("n")
     far = d > b.apart(n, F.col("ln"))
     entries = entries.withColumn("far", far).withColumn("reach", b.apart(n, b.most(n)))
@@ -240,12 +252,12 @@ def _open(entries: DataFrame, b: _Bounds) -> DataFrame:
     top = met.groupBy("grp").agg(F.max(F.struct("d", "cls")).alias("top"))
     rest = met.join(top, "grp").filter("cls <> top.cls").groupBy("grp").agg(F.max("d").alias("next"))
     widest = F.when(F.col("cls") == F.col("top.cls"), F.col("next")).otherwise(F.col("top.d"))
-    kept = entries.join(top.join(rest, "grp", "left"), "grp").withColumn("asks", F.col("far") & F.coalesce(d - F.col("reach") <= widest, F.lit(False))).drop("top", "next")
-    asked = kept.filter("asks").select("grp").distinct()
-    kept = cut(kept.filter("home or asks or not far").join(asked, "grp", "left_semi"))
+    kept = entries.join(cut(top.join(rest, "grp", "left")), "grp").withColumn("asks", F.col("far") & F.coalesce(d - F.col("reach") <= widest, F.lit(False))).drop("top", "next")
+    asked = cut(kept.filter("asks").select("grp").distinct())
+    kept = cut(kept.filter("home or asks or not far").join(asked, "grp", "left_semi").repartition("grp", "cls"))  # not by group alone
 
     tokens = kept.select("grp", "cls", "home", "asks", "n", "ln", "d", "reach", "far", F.explode("diff").alias("token"))
-    often = tokens.groupBy("grp", "token").agg(F.count("*").alias("df")).filter("df > 1")
+    often = cut(tokens.groupBy("grp", "token").agg(F.count("*").alias("df")).filter("df > 1"))
     tokens = tokens.join(often, ["grp", "token"])
     each = Window.partitionBy("grp", "cls")
     tokens = tokens.withColumn("at", F.row_number().over(each.orderBy("df", "token"))).withColumn("of", F.count("*").over(each))

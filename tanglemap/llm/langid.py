@@ -23,6 +23,7 @@ UNKNOWN = "und"
 GAP = 0  # symbol between words; any other symbol is a letter's code point
 CHUNK_CHARS = 1 << 18  # bundling takes some 60 bytes of memory a character
 GRAMS_AT_ONCE = 4_096
+ROWS_HELD = 2_000
 FIT_ROWS_PER_LANGUAGE = 4_000
 MAX_LANGUAGES = 10_000  # prototypes go to every task: 2 KB for each language
 SEED = 20_011
@@ -48,12 +49,11 @@ def _signs(symbols: np.ndarray) -> np.ndarray:
 
 def _bundle(codes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Sums of the bound trigram vectors of ``n`` documents' symbols, which follow one another."""
-    there = np.zeros(0x110000, dtype=bool)
+    there = np.zeros(int(codes.max(initial=0)) + 1, dtype=bool)
     there[codes] = True
     symbols = np.flatnonzero(there)
     k = len(symbols)
-    small = np.searchsorted(symbols, codes) if k > 4_096 else (np.cumsum(there, dtype=np.int32) - 1)[codes]
-    small = small.astype(np.int64)
+    small = (np.cumsum(there, dtype=np.int64) - 1)[codes]
     whole = doc[2:] == doc[:-2]
     gram = ((small[:-2] * k + small[1:-1]) * k + small[2:])[whole]
     keys, counts = np.unique(doc[2:][whole] * k**3 + gram, return_counts=True)
@@ -107,13 +107,20 @@ def profiles(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
             at.append(i)
             pieces.append(piece)
             size += len(piece)
-            if size >= CHUNK_CHARS or len(pieces) >= 128:
+            if size >= CHUNK_CHARS or len(pieces) >= 512:
                 flush()
     flush()
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norms > 0, norms, 1)).astype(np.float32), letters
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``ROWS_HELD`` rows, whose profiles a worker holds at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_HELD):
+            yield batch.slice(start, ROWS_HELD)
+
+
 def fit(docs: DataFrame, learn: Column, *, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = FIT_ROWS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages (sorted) and their unit prototypes, from rows where ``learn`` holds and
     neither text nor language is null; more than ``MAX_LANGUAGES`` are an error. Of each language about ``rows_per_language`` rows at
@@ -130,7 +137,7 @@ def fit(docs: DataFrame, learn: Column, *, text_col: str = "text", lang_col: str
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in _parts(batches):
             vectors, _ = profiles(batch.column(0).to_pylist())
             langs = np.array(batch.column(1).to_pylist(), dtype=object)
             for lang in set(langs):
@@ -159,7 +166,7 @@ def predict(docs: DataFrame, languages: Sequence[str], prototypes: np.ndarray, *
     known = list(languages)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             vectors, letters = profiles(batch.column(1).to_pylist())
             pred, best = [UNKNOWN] * len(letters), np.zeros(len(letters))
             if known and len(letters):
