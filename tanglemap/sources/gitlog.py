@@ -96,6 +96,8 @@ def blame(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
                 except RuntimeError:
                     continue
                 authors = [line[7:] for line in text.splitlines() if line.startswith("author ")]
+                if not authors:  # an empty file
+                    continue
                 yield pd.DataFrame({"file_path": path, "line_no": range(1, len(authors) + 1), "author": authors})
 
     return files.select("file_path").mapInPandas(one, "file_path string, line_no int, author string")
