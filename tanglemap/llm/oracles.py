@@ -82,3 +82,21 @@ both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 reach AS (SELECT x, x AS y FROM both_ways UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.y),
 c AS (SELECT x AS doc_id, min(y) AS component FROM reach GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id"""
+
+
+def spelling_sql(typo_every: int = 31, chars: int = 7, least: int = 2, times: int = 10) -> str:
+    """CRC-32 is folded over the UTF-8 bytes by a table made from its polynomial; near words meet by
+    what is left of them without one letter."""
+    return f"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc_table),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, unnest(regexp_extract_all(translate(text, {A_TO_Z}), '[a-z\u00C0-\u00FF]{{{chars},}}')) AS run FROM documents),
+bytes AS (SELECT run, flatten(list_transform(string_split(id || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END)) AS b FROM runs),
+hashed AS (SELECT run, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c // 256, crc_table[1 + xor(c % 256, x)])), 4294967295) AS h FROM bytes, t),
+words AS (SELECT word, count(*) AS n FROM (SELECT CASE WHEN h % {typo_every} = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed) AS s WHERE length(word) >= {chars} GROUP BY word HAVING count(*) >= {least}),
+less AS (SELECT word, n, length(word) AS len, i, left(word, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words) AS s),
+near AS (SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.len = b.len AND a.word <> b.word
+  UNION SELECT less.word, words.word, words.n FROM less JOIN words ON less.rest = words.word UNION SELECT words.word, less.word, less.n FROM less JOIN words ON less.rest = words.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS form_n FROM near GROUP BY word),
+met AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.form_n >= {times} * words.n THEN near END AS form, CASE WHEN best.form_n >= {times} * words.n THEN best.form_n END AS form_n FROM words LEFT JOIN best ON best.word = words.word),
+chain AS (SELECT word, word AS at FROM met UNION ALL SELECT chain.word, met.form FROM chain JOIN met ON met.word = chain.at WHERE met.form IS NOT NULL)
+SELECT met.word, met.form, chain.at AS root, met.n, met.n_near, met.form_n FROM met JOIN chain ON chain.word = met.word JOIN met AS last ON last.word = chain.at WHERE last.form IS NULL"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tanglemap.llm import ann, bpe, chat, decontam, html_text, jaccard, langid, lines, mixing, oracles, secrets, sharding
+from tanglemap.llm import align, ann, bpe, chat, decontam, html_text, jaccard, langid, lines, mixing, oracles, secrets, sharding, spelling
 from tanglemap.llm.common import table
 
 MIX_WEIGHTS = {"high": 0.9, "low": 0.1}
@@ -110,6 +110,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.corpus_words(table(spark, sf_dir, "documents")))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = bpe.encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
@@ -122,6 +126,14 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    aligned = align.align_tokens(table(spark, sf_dir, "documents"), a, b, public_tokenizers.PATTERN, keep=["doc_id"])
+    hashed = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    out = align.rate_links(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_shared", "links", hashed))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
@@ -133,7 +145,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_sharding": op10_sharding,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_bpe": op12_bpe,
+    "op13_token_alignment": op13_token_alignment,
 }
 #: The rest is learnt, approximate, hashed or positional; tests hold it against brute force.
 ORACLES: dict[str, str] = {
@@ -141,4 +155,5 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": oracles.decontamination_sql(10),
     "op7_line_dedup": oracles.line_dedup_sql(lines.TAU, lines.PER_EDIT),
     "op9_ngram_jaccard": oracles.jaccard_sql(4, 85, 100),
+    "op11_spelling_variants": oracles.spelling_sql(spelling.TYPO_EVERY, spelling.LEAST_CHARS, spelling.LEAST_COUNT, spelling.TIMES),
 }
