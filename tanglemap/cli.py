@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tanglemap import gate
 from tanglemap.config import load_config
-from tanglemap.operators import coupling, coverage, graph, history, search
+from tanglemap.operators import coupling, coverage, graph, history, search, search_index
 from tanglemap.sources import files, gitlog
 from tanglemap.sources.catalog import Catalog
 
@@ -129,8 +129,12 @@ def main(argv: list[str] | None = None) -> int:
         case "search":
             if args.like:
                 return show(results=search.like_search(nodes, args.query, args.limit, args.kind))
-            docs = nodes.select(F.col("qualified_name").alias("node_id"), "kind", "name", F.concat_ws(" ", "qualified_name", "signature", "docstring").alias("body"))
-            found = search.bm25_search(docs, args.query, args.limit, args.kind)
+            index = catalog.search_index()
+            if index.blocks.isEmpty():  # written by an older version
+                docs = nodes.select(F.col("qualified_name").alias("node_id"), "kind", "name", F.concat_ws(" ", "qualified_name", "signature", "docstring").alias("body"))
+                found = search.bm25_search(docs, args.query, args.limit, args.kind)
+            else:
+                found = search_index.search_index(index, args.query, args.limit, args.kind)
             return show(results=found.join(nodes, found.node_id == nodes.qualified_name).select("kind", "qualified_name", "signature", "file_path", "line_start", "score").orderBy("score", "qualified_name"))
         case "semantic":
             found = search.semantic_search(catalog.read("embeddings"), args.query, args.limit)

@@ -49,8 +49,13 @@ def module_name(path: Column) -> Column:
     return F.regexp_replace(dotted, r"\.__init__$", "")
 
 
-def path_tokens(path: Column, stop: Sequence[str] = ("src", "lib", "app", "index", "main", "init", "py", "js", "ts", "jsx", "tsx")) -> Column:
-    return F.filter(F.split(path, r"[/._]"), lambda t: (t != "") & ~F.lower(t).isin(*stop))
+# Fixed values.
+PATH_SKIP = ("src", "lib", "app", "index", "__init__", "py", "js", "ts", "tsx", "jsx", "vue")
+
+
+def path_tokens(path: Column, skip: Sequence[str] = PATH_SKIP) -> Column:
+    """Parts of a path between ``/``, ``.`` and ``_``, without those that say nothing."""
+    return F.filter(F.split(path, r"[/._]"), lambda t: (t != "") & ~t.isin(*skip))
 
 
 def _regex(pattern: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tanglemap.functions.paths import module_name
+from tanglemap.operators.order_stats import order_statistics
 from tanglemap.scratch import cut
 
 WEIGHTS = {"IMPORTS_FROM": 1.0, "USES_TYPE": 1.0}
@@ -56,25 +57,39 @@ def module_metrics(files: DataFrame, edges: DataFrame, target: str = "dst") -> D
     return out.select("file_path", ca.alias("fan_in"), ce.alias("fan_out"), F.when(ca + ce > 0, ce / (ca + ce)).otherwise(0.0).alias("instability"))
 
 
+def _place(size, percentile: int):
+    """Rank below an exclusive quantile of ``size`` values, and hundredths on to the next."""
+    j = min(max(percentile * (size + 1) // 100, 1), size - 1)
+    return j, percentile * (size + 1) - j * 100
+
+
 def god_modules(metrics: DataFrame, percentile: int = 90) -> DataFrame:
     """Files whose fan-in exceeds the exclusive quantile of all fan-ins (interpolated between
     order statistics, extrapolated at the ends). Fewer than two files give none.
 
-    Order statistics come from counts of distinct fan-ins, whose number does not grow with
-    the files; the threshold is one row."""
+    The two order statistics come from :func:`tanglemap.operators.order_stats.order_statistics`."""
     if not 1 <= percentile <= 99:
         raise ValueError("percentile must be from 1 to 99")
-    tally = metrics.groupBy("fan_in").agg(F.count("*").alias("n"))
+    values = cut(metrics.select("fan_in"))
+    size = values.count()
+    if size < 2:
+        return metrics.select("file_path", "fan_in", "fan_out", "instability").limit(0)
+    j, delta = _place(size, percentile)
+    low, high = order_statistics(values, "fan_in", [j, j + 1])
+    return metrics.filter(F.col("fan_in") > (low * (100 - delta) + high * delta) / 100).select("file_path", "fan_in", "fan_out", "instability")
+
+
+def above_quantile(metrics: DataFrame, tally: DataFrame, percentile: int = 90) -> DataFrame:
+    """:func:`god_modules` with the quantile from ``tally(fan_in, n)``, a row for each value of
+    fan-in, whose number goes with the largest fan-in and not with the files."""
     upto = F.sum("n").over(Window.orderBy("fan_in").rowsBetween(Window.unboundedPreceding, 0))
+    size = tally.agg(F.sum("n").alias("n")).first()["n"] or 0
+    if size < 2:
+        return metrics.select("file_path", "fan_in", "fan_out", "instability").limit(0)
+    j, delta = _place(size, percentile)
     ranked = tally.withColumn("upto", upto)
-    at = metrics.agg(F.count("*").alias("size")).filter("size > 1")
-    j = F.least(F.greatest(F.floor(F.lit(percentile) * (F.col("size") + 1) / 100), F.lit(1)), F.col("size") - 1)
-    at = at.select(j.alias("j"), (F.lit(percentile) * (F.col("size") + 1) - j * 100).alias("delta"))
-    met = at.join(ranked, F.col("upto") >= F.col("j")).groupBy("j", "delta").agg(
-        F.min("fan_in").alias("low"), F.min(F.when(F.col("upto") >= F.col("j") + 1, F.col("fan_in"))).alias("high")
-    )
-    limit = met.select(((F.col("low") * (100 - F.col("delta")) + F.col("high") * F.col("delta")) / 100).alias("threshold"))
-    return metrics.join(F.broadcast(limit), F.col("fan_in") > F.col("threshold")).select("file_path", "fan_in", "fan_out", "instability")
+    low, high = ranked.agg(*[F.min(F.when(F.col("upto") >= r, F.col("fan_in"))).alias(f"r{r}") for r in (j, j + 1)]).first()
+    return metrics.filter(F.col("fan_in") > (low * (100 - delta) + high * delta) / 100).select("file_path", "fan_in", "fan_out", "instability")
 
 
 def flagged_modules(metrics: DataFrame, instability: float = 0.8, percentile: int = 90) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tanglemap.scratch import cut
 
@@ -14,64 +14,124 @@ def simple(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").filter("src <> dst and src is not null and dst is not null").distinct()
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Drops edges at nodes without an in-edge or without an out-edge, until none is left;
-    such nodes are on no cycle."""
-    at, size = edges, edges.count()
+def _degrees(edges: DataFrame) -> DataFrame:
+    """``node``, edges in and out, and one neighbour on either side."""
+    ends = edges.select(F.col("src").alias("node"), F.lit(None).cast(edges.schema["src"].dataType).alias("before"), F.col("dst").alias("after"))
+    ends = ends.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("before"), F.lit(None).cast(edges.schema["src"].dataType).alias("after")))
+    return ends.groupBy("node").agg(F.count("before").alias("n_in"), F.count("after").alias("n_out"), F.min("before").alias("before"), F.min("after").alias("after"))
+
+
+def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    gone = nodes.select("node")
+    return edges.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst")
+
+
+def _raked(edges: DataFrame) -> DataFrame:
+    """Without the nodes that have no edge in or none out; they are on no cycle."""
+    return _without(edges, _degrees(edges).filter("n_in = 0 or n_out = 0"))
+
+
+def _links_of_chains(edges: DataFrame, salt: int) -> DataFrame:
+    """``node, before, after``: nodes of one edge in and one out, no two of them neighbours: those
+    whose hash is below that of their neighbours of the kind, at least a third on average."""
+    links = _degrees(edges).filter("n_in = 1 and n_out = 1").select("node", "before", "after", F.xxhash64(F.lit(salt), "node").alias("h"))
+    beside = links.select(F.col("node").alias("other"), F.col("h").alias("h_other"))
+    for side in ("before", "after"):
+        links = links.join(beside, F.col(side) == F.col("other"), "left").filter("h_other is null or h < h_other").select("node", "before", "after", "h")
+    return links.select("node", "before", "after")
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Rakes ends off and replaces nodes of chains by an edge between their neighbours, while a
+    round leaves less than nine tenths of the edges. Returns the rest and, in order, the nodes
+    taken out of chains: such a node is on a cycle with its neighbours if these are on one
+    together, or if they are one node. Tails and rings shrink by half a round and more."""
+    taken: list[DataFrame] = []
+    size = edges.count()
     while size:
-        kept = at.join(at.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        kept = cut(kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        now = kept.count()
-        at = kept
-        if now == size:
-            break
+        at = _raked(edges)
+        for _ in range(2):
+            links = cut(_links_of_chains(at, len(taken)))
+            if links.isEmpty():
+                break
+            taken.append(links)
+            at = _without(at, links).union(links.filter("before <> after").select("before", "after")).distinct()
+        edges = cut(at)
+        now = edges.count()
+        if now > 0.9 * size:
+            return edges, taken
         size = now
-    return at
+    return edges, taken
 
 
-def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Smallest label that reaches each node along the edges."""
-    at = labels
+def _least_ancestor(edges: DataFrame) -> DataFrame:
+    """``node, label``: of all nodes with a path to the node, and the node, the one of least hash.
+    A round takes over the labels of predecessors and, as a shortcut, the label of the labelled
+    node itself, so rounds go with the logarithm of path lengths."""
+    label = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("node"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    at = nodes.select("node", label("node").alias("label"))
     while True:
-        sent = edges.join(at.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "label")
-        moved = cut(at.select("node", "label", F.lit(0).alias("new")).unionByName(sent.withColumn("new", F.lit(1))).groupBy("node").agg(F.min("label").alias("label"), F.min(F.when(F.col("new") == 0, F.col("label"))).alias("old")))
-        changed = not moved.filter("not (label <=> old)").isEmpty()
+        known = at.select(F.col("node").alias("key"), F.col("label").alias("sent"))
+        by_edge = edges.join(known, F.col("src") == F.col("key")).select(F.col("dst").alias("node"), F.col("sent").alias("label"))
+        by_jump = at.join(known, F.col("label.node") == F.col("key")).select("node", F.col("sent").alias("label"))
+        offered = by_edge.union(by_jump).groupBy("node").agg(F.min("label").alias("offer"))
+        best = F.least("label", F.coalesce("offer", "label"))
+        moved = cut(at.join(offered, "node", "left").select("node", best.alias("label"), (best < F.col("label")).alias("moved")))
         at = moved.select("node", "label")
-        if not changed:
-            return at
+        if moved.filter("moved").isEmpty():
+            return at.select("node", F.col("label.node").alias("label"))
 
 
 def scc_cycles(edges: DataFrame) -> DataFrame:
     """Strongly connected components of two nodes or more: ``component`` (smallest member)
     and ``members`` (sorted). Self-loops are no cycles.
 
-    Repeatedly: trim, colour each node with the smallest node that reaches it, and take from
-    each colour what reaches the colour's root. Rounds depend on path lengths, work per round
-    is a join of edges with labels; nothing but emptiness reaches the driver."""
-    rest = _trimmed(cut(simple(edges)))
-    found = None
-    while not rest.isEmpty():
-        nodes = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
-        colour = _spread(rest, nodes.withColumn("label", F.col("node")))
-        inner = rest.join(colour.toDF("src", "c1"), "src").join(colour.toDF("dst", "c2"), "dst").filter("c1 = c2").select("src", "dst", F.col("c1").alias("colour"))
-        inner = cut(inner)
-        reached = colour.filter("node = label").select("node", "label")
-        while True:
-            back = inner.join(reached.select(F.col("node").alias("dst"), F.col("label").alias("colour")), ["dst", "colour"]).select(F.col("src").alias("node"), F.col("colour").alias("label"))
-            grown = cut(reached.unionByName(back).distinct())
-            if grown.count() == reached.count():
-                break
-            reached = grown
-        sizes = reached.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1")
-        part = reached.join(sizes.select("label"), "label", "left_semi").select(F.col("label").alias("component"), "node")
-        found = part if found is None else found.unionByName(part)
-        done = reached.select("node")
-        rest = rest.join(done.toDF("src"), "src", "left_anti").join(done.toDF("dst"), "dst", "left_anti")
-        rest = _trimmed(cut(rest.select("src", "dst")))
-    if found is None:
-        kind = edges.schema["src"].dataType
-        return edges.select(F.col("src").cast(kind).alias("component"), F.array("src").alias("members")).limit(0)
-    return found.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"))
+    Repeatedly: contract tails and chains; label each node with the least node that reaches
+    it and, among nodes of one label, with the least one it reaches. Where both are the same
+    node, its component is whole; of the rest only edges between equal pairs of labels can be
+    on a cycle. Rounds go with the logarithm of path lengths, work per round is a join of
+    edges with labels, and nothing but counts and emptiness reach the driver."""
+    rest = cut(simple(edges))
+    found, taken = [], []
+    while True:
+        rest, links = _contracted(rest)
+        taken += links
+        if rest.isEmpty():
+            break
+        above = _least_ancestor(rest)
+        inner = cut(rest.join(above.toDF("src", "c1"), "src").join(above.toDF("dst", "c2"), "dst").filter("c1 = c2").select("src", "dst"))
+        below = _least_ancestor(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        pairs = cut(above.join(below.withColumnRenamed("label", "least"), "node").select("node", "label", "least"))
+        done = pairs.filter("label = least")
+        found.append(done.select("node", F.col("label").alias("component")))
+        open_ = pairs.filter("label <> least").select("node", F.struct("label", "least").alias("p"))
+        rest = cut(inner.join(open_.toDF("src", "p1"), "src").join(open_.toDF("dst", "p2"), "dst").filter("p1 = p2").select("src", "dst"))
+
+    def union(parts: list[DataFrame], *columns: Column) -> DataFrame:
+        out = edges.select(*columns).limit(0)
+        for part in parts:
+            out = out.unionByName(part)
+        return out
+
+    node, component = F.col("src").alias("node"), F.col("src").alias("component")
+    whole = union(found, node, component)
+    sizes = whole.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1")
+    placed = [cut(whole.join(sizes.select("component"), "component", "left_semi").select("node", "component"))]
+    # where a chain closes on a node, that is on a cycle with what was taken out, whatever becomes of it
+    rings = cut(union([links.filter("before = after").select(F.col("before").alias("node")) for links in taken], node).distinct())
+    inside = union([links.select("node") for links in taken], node)
+    alone = rings.join(placed[0].select("node"), "node", "left_anti").join(inside, "node", "left_anti")
+    placed.append(cut(alone.select("node", F.col("node").alias("component"))))
+    for links in reversed(taken):
+        sides = links.select("node", F.explode(F.array("before", "after")).alias("beside"))
+        known = union(placed, node, component).select(F.col("node").alias("beside"), "component")
+        agreed = sides.join(known, "beside", "left").groupBy("node").agg(F.count("component").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        agreed = agreed.join(rings.withColumn("ring", F.lit(True)), "node", "left")
+        own = F.when((F.col("n") == 2) & (F.col("low") == F.col("high")), F.col("low")).when(F.col("ring"), F.col("node"))
+        placed.append(cut(agreed.select("node", own.alias("component"))).filter("component is not null"))
+    members = union(placed, node, component).groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"))
+    return members.select(F.col("members")[0].alias("component"), "members")
 
 
 def _reached(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int) -> tuple[DataFrame, int]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tanglemap.scratch import cut
+
 COVERAGE = 0.8
 
 
@@ -27,25 +29,77 @@ def hotspots(metrics: DataFrame, churned: DataFrame, limit: int | None = None) -
     return out if limit is None else out.orderBy(F.desc("hotspot_score"), "file_path").limit(limit)
 
 
-def temporal_coupling(history: DataFrame, min_shared: int = 5, min_ratio: float = 0.3, exclude: DataFrame | None = None, jaccard: bool = False) -> DataFrame:
+HEAVY_FILES = 1_000  # a commit of more files is not squared as a whole
+BLOCK_FILES = 500
+
+
+def _heavy_pairs(heavy: DataFrame, totals: DataFrame, min_shared: int, min_ratio: float) -> DataFrame:
+    """``file_a, file_b`` of the files that may share enough of ``heavy(commit_id, file_path, files)``
+    without any other commit. Of two files that share ``k`` of them one is, in any one order of
+    commits, met before the last ``k - 1`` of either; with the largest commits last, these are
+    left out before pairs are made. What is left of a commit is dealt out in pairs of blocks."""
+    nth = F.row_number().over(Window.partitionBy("file_path").orderBy("files", "commit_id"))
+    held = F.count("*").over(Window.partitionBy("file_path"))
+    rows = heavy.withColumns({"nth": nth, "h": held}).join(totals, "file_path")
+    needed = F.greatest(F.lit(min_shared), F.ceil(F.lit(min_ratio) * F.col("n") - 1e-9))
+    rows = rows.filter(F.col("nth") <= F.col("h") - min_shared + 1).withColumn("leads", F.col("nth") <= F.col("h") - needed + 1)
+    sizes = rows.groupBy("commit_id").agg(F.ceil(F.count("*") / BLOCK_FILES).alias("blocks"))
+    rows = rows.join(sizes, "commit_id").withColumn("mine", F.pmod(F.xxhash64("file_path"), F.col("blocks")))
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = spread.select("commit_id", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "file_path", "n", "leads")
+    pairs = spread.alias("a").join(spread.alias("b"), ["commit_id", "low", "high"])
+    # in a pair of two blocks only files of different blocks meet; those of one meet where both numbers are equal
+    pairs = pairs.filter("a.file_path < b.file_path and (low = high or a.mine <> b.mine)").filter("case when a.n < b.n then a.leads when a.n > b.n then b.leads else a.leads and b.leads end")
+    return pairs.select(F.col("a.file_path").alias("file_a"), F.col("b.file_path").alias("file_b")).distinct()
+
+
+def _shared_heavy(pairs: DataFrame, heavy: DataFrame) -> DataFrame:
+    """How many commits of ``heavy`` each of ``pairs(file_a, file_b)`` shares, if any."""
+    of = lambda side: heavy.select("commit_id", F.col("file_path").alias(side))
+    return pairs.join(of("file_a"), "file_a").join(of("file_b"), ["file_b", "commit_id"]).groupBy("file_a", "file_b").agg(F.count("*").alias("heavy"))
+
+
+def temporal_coupling(history: DataFrame, min_shared: int = 5, min_ratio: float = 0.3, exclude: DataFrame | None = None, jaccard: bool = False, heavy_files: int = HEAVY_FILES) -> DataFrame:
     """Pairs of files that change together: ``shared_commits`` and its ratio to the rarer
     file's commits, tested before rounding. ``exclude(file_a, file_b)`` drops pairs, such as
     those with a direct import, in either order.
 
     Files with fewer than ``min_shared`` commits are in no pair and go before any pair is made;
     counting combines before the shuffle, and the support threshold comes before the joins
-    with commit counts. ``jaccard`` relates the shared commits to those of either file."""
+    with commit counts. ``jaccard`` relates the shared commits to those of either file.
+
+    Commits of at most ``heavy_files`` such files are joined with themselves. Larger ones only
+    add to pairs that these make and that can still reach both thresholds, and to those of
+    :func:`_heavy_pairs`; no task makes more than ``BLOCK_FILES`` squared pairs of a commit."""
     files = history.select("commit_id", "file_path").distinct()
     totals = files.groupBy("file_path").agg(F.count("*").alias("n")).filter(F.col("n") >= min_shared)
     files = files.join(totals.select("file_path"), "file_path", "left_semi")
-    pairs = files.alias("a").join(files.alias("b"), "commit_id").filter("a.file_path < b.file_path")
-    shared = pairs.groupBy(F.col("a.file_path").alias("file_a"), F.col("b.file_path").alias("file_b")).agg(F.count("*").alias("shared_commits")).filter(F.col("shared_commits") >= min_shared)
+    large = cut(files.groupBy("commit_id").agg(F.count("*").alias("files")).filter(F.col("files") > heavy_files))
+    any_large = not large.isEmpty()
+    light = files.join(large, "commit_id", "left_anti") if any_large else files
+    pairs = light.alias("a").join(light.alias("b"), "commit_id").filter("a.file_path < b.file_path")
+    shared = pairs.groupBy(F.col("a.file_path").alias("file_a"), F.col("b.file_path").alias("file_b")).agg(F.count("*").alias("shared_commits"))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.join(totals.withColumnsRenamed({"file_path": "file_a", "n": "n_a"}), "file_a").join(totals.withColumnsRenamed({"file_path": "file_b", "n": "n_b"}), "file_b")
+
+    if any_large:
+        heavy = cut(files.join(large, "commit_id"))
+        held = heavy.groupBy("file_path").agg(F.count("*").alias("h"))
+        most = shared.join(held.toDF("file_a", "h_a"), "file_a", "left").join(held.toDF("file_b", "h_b"), "file_b", "left")
+        reach = F.col("shared_commits") + F.least(F.coalesce("h_a", F.lit(0)), F.coalesce("h_b", F.lit(0)))
+        hopeful = counted(most).filter((reach >= min_shared) & (reach >= F.lit(min_ratio) * F.least("n_a", "n_b") - 1e-9))
+        light_pairs = cut(hopeful.select("file_a", "file_b", "shared_commits"))
+        found = light_pairs.select("file_a", "file_b").union(_heavy_pairs(heavy, totals, min_shared, min_ratio)).distinct()
+        both = found.join(light_pairs, ["file_a", "file_b"], "left").join(_shared_heavy(found, heavy), ["file_a", "file_b"], "left")
+        zero = F.lit(0).cast("long")
+        shared = both.select("file_a", "file_b", (F.coalesce("shared_commits", zero) + F.coalesce("heavy", zero)).alias("shared_commits"))
+    shared = shared.filter(F.col("shared_commits") >= min_shared)
     if exclude is not None:
         either = exclude.select("file_a", "file_b").unionByName(exclude.select(F.col("file_b").alias("file_a"), F.col("file_a").alias("file_b")))
         shared = shared.join(either, ["file_a", "file_b"], "left_anti")
-    both = shared.join(totals.withColumnsRenamed({"file_path": "file_a", "n": "n_a"}), "file_a").join(totals.withColumnsRenamed({"file_path": "file_b", "n": "n_b"}), "file_b")
     ratio = F.col("shared_commits") / (F.col("n_a") + F.col("n_b") - F.col("shared_commits") if jaccard else F.least("n_a", "n_b"))
-    return both.filter(ratio >= min_ratio).select("file_a", "file_b", "shared_commits", F.round(ratio, 4).alias("coupling_ratio"))
+    return counted(shared).filter(ratio >= min_ratio).select("file_a", "file_b", "shared_commits", F.round(ratio, 4).alias("coupling_ratio"))
 
 
 def author_lines(blame: DataFrame) -> DataFrame:

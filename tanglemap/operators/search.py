@@ -9,14 +9,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tanglemap.functions.paths import matches_any
+from tanglemap.functions.paths import matches_any, path_tokens
 from tanglemap.scratch import cut
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 
 # Fixed values.
-PATH_SKIP = ("src", "lib", "app", "index", "__init__", "py", "js", "ts", "tsx", "jsx", "vue")
 LOOSE_TEST_PATTERNS = ("test%", "%/test%", "%_test.%", "tests/%")
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -72,8 +71,9 @@ def _count(words: Column, term: tuple[str, ...]) -> Column:
 def bm25_search(docs: DataFrame, query: str, limit: int | None = 20, kind: str | None = None) -> DataFrame:
     """``docs(node_id, kind, name, body)`` that hold every query term, by BM25 (``score``, lower
     is better; k1 1.2, b 0.75, inverse frequency floored). A term is a prefix of a token, or
-    an ordered phrase whose last part is one; see :func:`query_terms`. A blank query, or one
-    of symbols alone, finds nothing.
+    an ordered phrase whose last part is one; see :func:`query_terms`. A name is indexed twice
+    in a row (see :func:`normalised`), so a phrase may run from its end to its beginning. A
+    blank query, or one of symbols alone, finds nothing.
 
     Each text is cut into tokens once; what is kept of it are its length and frequencies.
     Corpus statistics are one row; the best rows come from a bounded top-k, not a sort."""
@@ -111,7 +111,7 @@ def rich_text(nodes: DataFrame, imports: DataFrame, calls: DataFrame, most: int
     first = F.row_number().over(Window.partitionBy("file_path").orderBy("test_file"))
     stems = met.withColumn("r", first).filter(F.col("r") <= most).groupBy("file_path").agg(F.array_sort(F.collect_list("test_file")).alias("test_files"))
     stems = stems.select("file_path", F.array_join(F.transform("test_files", lambda f: F.regexp_extract(f, r"([^/]*?)(?:\.[^./]*)?$", 1)), " ").alias("stems"))
-    words = F.array_join(F.filter(F.split("file_path", r"[/._]"), lambda t: (t != "") & ~t.isin(*PATH_SKIP)), " ")
+    words = F.array_join(path_tokens(F.col("file_path")), " ")
     given = lambda c: F.when(F.length(c) > 0, c)
     lead = lambda word, c: F.when(F.length(c) > 0, F.concat(F.lit(f"{word} "), c))
     out = nodes.join(tops, "file_path", "left").join(methods, ["file_path", "name"], "left").join(brought, "file_path", "left").join(stems, "file_path", "left")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tanglemap.extract.rows import edges_of, extract_sources, nodes_of
 from tanglemap.functions import paths
-from tanglemap.operators import audit, coupling, coverage, graph, history, search, snapshot
+from tanglemap.operators import audit, coupling, coverage, graph, history, incremental, search, search_index, snapshot
 from tanglemap.plans.adapters import ctes, view
+from tanglemap.scratch import scratch_folder
 from tanglemap.sources import gitlog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,6 +172,27 @@ def _gods(spark, d):
     return coupling.god_modules(_metrics(spark, d))
 
 
+def _kept_state(spark, d):
+    """The metrics of an older graph (files that end in 9 are new since, those that end in 7 then
+    imported one file alone) brought up to date by the changes of these files."""
+    files, edges = view(spark, d, "supplier_files"), view(spark, d, "supplier_edges")
+    is_new, is_stale = F.col("file_path").endswith("9"), F.col("src").endswith("7")
+    before = edges.filter(~F.col("src").endswith("9")).withColumn("dst", F.when(is_stale, F.lit("supp/1")).otherwise(F.col("dst")))
+    state = incremental.metric_state(files.filter(~is_new), before)
+    changed = files.filter(is_new | F.col("file_path").endswith("7"))
+    return incremental.apply_changes(state, incremental.edge_changes(before, edges, changed), added=files.filter(is_new))
+
+
+@query("incremental_metrics", METRICS + "SELECT file_path, fan_in, fan_out, instability FROM metrics")
+def _incremental_metrics(spark, d):
+    return _kept_state(spark, d).metrics()
+
+
+@query("incremental_gods", GODS + "SELECT file_path, fan_in, fan_out, instability FROM gods")
+def _incremental_gods(spark, d):
+    return incremental.god_modules(_kept_state(spark, d))
+
+
 FLAGGED = GODS + "SELECT m.*, g.file_path IS NOT NULL AS is_god FROM metrics m LEFT JOIN gods g ON g.file_path = m.file_path"
 
 
@@ -386,7 +408,7 @@ def _language(spark, d):
     return view(spark, d, "paths").select("path", paths.language_of(F.col("path")).alias("language"))
 
 
-@query("path_tokens", ctes("paths") + "SELECT path, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(path, '[/._]'), lambda t: t <> '' AND LOWER(t) NOT IN ('src','lib','app','index','main','init','py','js','ts','jsx','tsx')) AS tokens FROM paths")
+@query("path_tokens", ctes("paths") + f"SELECT path, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(path, '[/._]'), lambda t: t <> '' AND t NOT IN ({', '.join(repr(w) for w in paths.PATH_SKIP)})) AS tokens FROM paths")
 def _tokens(spark, d):
     return view(spark, d, "paths").select("path", paths.path_tokens(F.col("path")).alias("tokens"))
 
@@ -432,6 +454,11 @@ def _uncovered(spark, d):
     return coverage.uncovered_symbols(view(spark, d, "symbols"), view(spark, d, "covers")).select("qualified_name", "name", "file_path")
 
 
+@query("uncovered_in_folder", ctes("covers", "symbols") + f"SELECT qualified_name, file_path FROM symbols WHERE kind IN ('Function','Method') AND NOT {TESTS} AND file_path LIKE 'src/1%' AND qualified_name NOT IN (SELECT dst FROM covers)")
+def _uncovered_in_folder(spark, d):
+    return coverage.uncovered_symbols(view(spark, d, "symbols"), view(spark, d, "covers"), prefix="src/1").select("qualified_name", "file_path")
+
+
 @query("test_callers", ctes("calls", "symbols") + f"SELECT DISTINCT file_path FROM calls JOIN symbols ON src = qualified_name WHERE {TESTS} AND dst IN (SELECT qualified_name FROM symbols WHERE kind = 'Class')")
 def _test_callers(spark, d):
     symbols = view(spark, d, "symbols")
@@ -566,7 +593,7 @@ def _full_report(spark, d):
 
 
 LOOSE = "(" + " OR ".join(f"LOWER(file_path) LIKE '{p}'" for p in search.LOOSE_TEST_PATTERNS) + ")"
-SKIPPED = ", ".join(f"'{w}'" for w in search.PATH_SKIP)
+SKIPPED = ", ".join(f"'{w}'" for w in paths.PATH_SKIP)
 
 
 @query(
@@ -658,6 +685,35 @@ def _topk_bm25(spark, d):
     return found.orderBy("score", "node_id").limit(20)
 
 
+def _indexed_docs(spark, d):
+    return view(spark, d, "docs").withColumn("file_path", F.col("name"))
+
+
+@query("bm25_indexed", BM25_SQL)
+def _bm25_indexed(spark, d):
+    index = search_index.store_index(search_index.build_index(_indexed_docs(spark, d)), scratch_folder(spark, "search-index"))
+    return search_index.search_index(index, "license the", None).select("node_id", F.round("score", 6).alias("score"))
+
+
+@query("topk_bm25_indexed", f"SELECT * FROM ({BM25_SQL}) AS found ORDER BY score, node_id LIMIT 20")
+def _topk_bm25_indexed(spark, d):
+    index = search_index.store_index(search_index.build_index(_indexed_docs(spark, d)), scratch_folder(spark, "search-index"))
+    found = search_index.search_index(index, "license the", 40).select("node_id", F.round("score", 6).alias("score"))
+    return found.orderBy("score", "node_id").limit(20)  # equal as rounded, so with some to spare
+
+
+@query("bm25_index_update", BM25_SQL)
+def _bm25_index_update(spark, d):
+    """Every other source, by the length of its name, was indexed with an older text."""
+    docs = _indexed_docs(spark, d)
+    stale = F.length("file_path") % 2 == 0
+    before = docs.withColumn("body", F.when(stale, F.concat(F.lit("license "), F.substring("body", 1, 40))).otherwise(F.col("body")))
+    index = search_index.store_index(search_index.build_index(before), scratch_folder(spark, "search-index"))
+    index, _ = search_index.updated(index, docs.filter(stale).select("file_path").distinct(), docs.filter(stale))
+    index = search_index.store_index(index, scratch_folder(spark, "search-index"))
+    return search_index.search_index(index, "license the", None).select("node_id", F.round("score", 6).alias("score"))
+
+
 @query("knn_l2", "SELECT vec_id AS node_id, ROUND(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM embeddings ORDER BY 2, 1 LIMIT 10")
 def _knn(spark, d):
     vectors = view(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")

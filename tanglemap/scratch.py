@@ -1,7 +1,8 @@
 """Lineage cuts in the folder that all executors share.
 
-A cluster names that folder in ``spark.checkpoint.dir``. Only where the setting is
-absent and driver and executors are one process (a laptop) a folder of our own is used.
+A cluster names that folder in ``spark.checkpoint.dir``, or its user by ``setCheckpointDir``.
+Only where neither is and driver and executors are one process (a laptop) a folder of our
+own is used.
 """
 
 from __future__ import annotations
@@ -18,11 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if spark.sparkContext.getCheckpointDir() is None:
+    given = spark.sparkContext.getCheckpointDir()
+    if given is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(FALLBACK_DIR)
-    return FALLBACK_DIR
+        given = spark.sparkContext.getCheckpointDir()
+    return given.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """The path of a new folder, not made yet, in the shared one."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,7 +48,7 @@ class Table:
 
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        self.path = scratch_folder(self.spark, label)
         df.write.parquet(self.path)
         self.schema = df.schema
 
