@@ -28,6 +28,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from tanglemap.llm.common import packed, unpacked
 
 NEVER = 1 << 62  # a rank above all others
+PARTS = -1
 STATES = 100_000  # states held before the machine starts anew
 PAIRS = 500_000  # pairs of tokens remembered
 WORDS = 150_000  # words whose tokens are remembered, in two generations; none is longer than
@@ -88,9 +89,8 @@ class Transducer:
         self._anew()
 
     def _anew(self) -> None:
-        self.numbers: dict[tuple[bytes, ...], int] = {(): 0}
-        self.states: list[tuple[bytes, ...]] = [()]
-        self.moves: dict[int, tuple[int, list]] = {}
+        self.start: dict = {PARTS: ()}  # a state: by byte the next state and what ends there; its token beginnings
+        self.states = {(): self.start}
 
     def _steps(self, token: bytes) -> list[tuple[int, bytes, bytes]] | None:
         """The merges that make a token, or null if they do not make it. One entry a token."""
@@ -133,21 +133,16 @@ class Transducer:
         known[left] = may = self.neighbours(left, right)
         return may
 
-    def _move(self, key: int) -> tuple[int, list]:
-        """Makes the move of ``state << 8 | byte``: the next state, and the tokens that end at the
-        byte, the longest first, each with its length and what is known of tokens before it."""
-        byte = bytes([key & 255])
-        after = tuple(part + byte for part in (*self.states[key >> 8], b"") if part + byte in self.prefixes)
+    def _move(self, state: dict, code: int) -> tuple[dict, list]:
+        """Makes the move of a state by a byte: the next state, and the tokens that end at the byte,
+        the longest first, each with its length and what is known of tokens before it."""
+        byte = bytes([code])
+        after = tuple(part + byte for part in (*state[PARTS], b"") if part + byte in self.prefixes)
         found = [(part, len(part), self.follows.setdefault(part, {})) for part in after if part in self.ranks]
         if len(self.states) >= STATES:
-            self._anew()
-            key = -1
-        to = self.numbers.setdefault(after, len(self.states))
-        if to == len(self.states):
-            self.states.append(after)
-        if key >= 0:
-            self.moves[key] = (to, found)
-        return to, found
+            self._anew()  # texts under way keep the states they are in
+        move = state[code] = (self.states.setdefault(after, {PARTS: after}), found)
+        return move
 
     def _end(self, found: list[list], ends: list, n: int) -> bytes | bool:
         """The token that ends after ``n`` bytes: of those that may, the one that may follow the
@@ -190,16 +185,12 @@ class Transducer:
             return [known]
         out: list[int] = []
         first, found = b"", [[]]  # the token before, and what may end after so many bytes
-        at, ahead, moves = 0, self.ahead, self.moves
+        state, ahead = self.start, self.ahead
         for byte in raw:
-            move = moves.get(at << 8 | byte)
-            if move is None:
-                move = self._move(at << 8 | byte)
-                moves = self.moves
-            at, ending = move
+            state, ending = state.get(byte) or self._move(state, byte)
             found.append(ending)
             if len(found) > ahead:
-                final = self._final(found, [first, *[None] * (len(found) - 1)], self.states[at])
+                final = self._final(found, [first, *[None] * (len(found) - 1)], state[PARTS])
                 if final:
                     out += [ranks[token] for token in final]
                     first = final[-1]
