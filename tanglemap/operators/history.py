@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tanglemap.scratch import cut
 
@@ -22,6 +22,40 @@ def churn(history: DataFrame, moment: str | None = None) -> DataFrame:
     return once.groupBy("file_path").agg(F.count("commit_id").alias("commits"), F.sum("added").alias("lines_added"), F.sum("deleted").alias("lines_deleted"))
 
 
+def commit_numbers(history: DataFrame, unit: str = "month") -> DataFrame:
+    """``commit_id, ts, period, number``: the commits of each period (such as a month) numbered from
+    1 by time. A commit counts from its first moment; without one it has no period."""
+    commits = history.groupBy("commit_id").agg(F.min("ts").alias("ts")).filter("commit_id is not null and ts is not null")
+    nth = F.row_number().over(Window.partitionBy("period").orderBy("ts", "commit_id"))
+    return commits.withColumn("period", F.date_trunc(unit, "ts")).withColumn("number", nth.cast("long"))
+
+
+def commit_bitmaps(history: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``file_path, period, bucket, bits``: which commits of a period touched a file, 32,768 to a
+    bitmap. A history that grows adds periods; bitmaps of older ones stay as they are."""
+    rows = history.select("commit_id", "file_path").join(numbers.select("commit_id", "period", "number"), "commit_id")
+    keyed = rows.select("file_path", "period", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("at"))
+    return keyed.groupBy("file_path", "period", "bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def commits_between(bitmaps: DataFrame, numbers: DataFrame, group: Column, since: str, until: str, unit: str = "month") -> DataFrame:
+    """``name, commits``: distinct commits from ``since`` until before ``until`` that touched any file
+    of each group (an expression over ``file_path``, such as its folder), exactly. Bitmaps of a
+    group are united; those of periods that the window cuts are also cut, by a bitmap of the
+    period's commits inside. Commits are never listed again, whatever groups and windows."""
+    kind = numbers.schema["ts"].dataType
+    start, end = F.lit(since).cast(kind), F.lit(until).cast(kind)
+    named = bitmaps.filter((F.col("period") >= F.date_trunc(unit, start)) & (F.col("period") < end))
+    united = named.groupBy(group.alias("name"), "period", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    cut_off = (F.col("period") == F.date_trunc(unit, start)) | (F.col("period") == F.date_trunc(unit, end))
+    inside = numbers.filter(cut_off & (F.col("ts") >= start) & (F.col("ts") < end)).select("period", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("at"))
+    masks = inside.groupBy("period", "bucket").agg(F.bitmap_construct_agg("at").alias("mask"))
+    both = united.filter(cut_off).join(masks, ["period", "bucket"]).select("name", "period", "bucket", F.explode(F.array("bits", "mask")).alias("bits"))
+    both = both.groupBy("name", "period", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"))
+    counted = united.filter(~cut_off).unionByName(both).select("name", F.bitmap_count("bits").alias("n"))
+    return counted.groupBy("name").agg(F.sum("n").alias("commits")).filter("commits > 0")
+
+
 def hotspots(metrics: DataFrame, churned: DataFrame, limit: int | None = None) -> DataFrame:
     """Commits times coupling (fan-in plus fan-out) of files that have both."""
     coupling = F.col("fan_in") + F.col("fan_out")

@@ -10,7 +10,7 @@ from tanglemap.extract.rows import edges_of, extract_sources, nodes_of
 from tanglemap.functions import paths
 from tanglemap.operators import audit, coupling, coverage, graph, history, incremental, search, search_index, snapshot
 from tanglemap.plans.adapters import ctes, view
-from tanglemap.scratch import scratch_folder
+from tanglemap.scratch import cut, scratch_folder
 from tanglemap.sources import gitlog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,17 @@ def _churn_since(spark, d):
     return history.churn(view(spark, d, "history"), "1996-01-01 00:00:00")
 
 
+@query(
+    "churn_of_folders",
+    ctes("history") + "SELECT LEFT(file_path, 2) AS name, COUNT(DISTINCT commit_id) AS commits FROM history WHERE ts >= TIMESTAMP '1995-03-15 00:00:00' AND ts < TIMESTAMP '1997-07-20 00:00:00' GROUP BY 1",
+)
+def _churn_of_folders(spark, d):
+    """Files whose names begin alike are taken as a folder."""
+    rows = view(spark, d, "history")
+    numbers = cut(history.commit_numbers(rows))
+    return history.commits_between(cut(history.commit_bitmaps(rows, numbers)), numbers, F.substring("file_path", 1, 2), "1995-03-15 00:00:00", "1997-07-20 00:00:00")
+
+
 @query("topk_churn", ctes("history") + CHURN_SQL + " GROUP BY file_path ORDER BY commits DESC, file_path LIMIT 20")
 def _topk_churn(spark, d):
     return history.churn(view(spark, d, "history")).orderBy(F.desc("commits"), "file_path").limit(20)

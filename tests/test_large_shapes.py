@@ -2,9 +2,11 @@
 
 import random
 from collections import Counter
+from datetime import datetime, timedelta
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 from tanglemap.operators import graph, history
 
 
@@ -115,3 +117,22 @@ def test_one_commit_of_very_many_files_makes_no_pairs(spark):
     often = spark.range(15_000).selectExpr("concat('s', id % 5) as commit_id", "concat('f', id div 5) as file_path")
     got = history.temporal_coupling(bulk.union(small).union(often.filter("commit_id <> 's0'")), 5, 0.9, heavy_files=100)
     assert {(r.file_a, r.file_b) for r in got.filter("file_a in ('f0', 'f1') and file_b in ('f0', 'f1')").collect()} == {("f0", "f1")}
+
+
+def test_commits_of_any_window(spark):
+    rnd = random.Random(6)
+    start = datetime(2024, 1, 1)
+    moments = {f"c{i}": start + timedelta(minutes=rnd.randint(0, 60 * 24 * 120)) for i in range(400)}
+    rows = [(c, t, f"{rnd.choice('abc')}/{rnd.randint(0, 5)}") for c, t in moments.items() for _ in range(rnd.randint(1, 4))]
+    rows += [(None, start, "a/1"), ("none", None, "a/1"), *rows[:50]]
+    frame = spark.createDataFrame(rows, "commit_id string, ts timestamp, file_path string")
+    numbers = history.commit_numbers(frame).cache()
+    bitmaps = history.commit_bitmaps(frame, numbers).cache()
+    for since, until in (("2024-01-10 05:00:00", "2024-04-02 10:00:00"), ("2024-02-03 00:00:00", "2024-02-05 12:00:00"), ("2024-01-01 00:00:00", "2024-03-01 00:00:00"), ("2025-01-01 00:00:00", "2025-02-01 00:00:00")):
+        low, high = map(datetime.fromisoformat, (since, until))
+        want = {}
+        for c, t, f in rows:
+            if c and t and low <= t < high:
+                want.setdefault(f[0], set()).add(c)
+        got = history.commits_between(bitmaps, numbers, F.substring("file_path", 1, 1), since, until)
+        assert {r.name: r.commits for r in got.collect()} == {k: len(v) for k, v in want.items()}
