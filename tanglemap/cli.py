@@ -82,8 +82,11 @@ def main(argv: list[str] | None = None) -> int:
     if args.command in INDEXED_FIRST:
         try:
             catalog.index(scan(args.project))
-        except Exception:  # the command goes on with what is stored
+        except Exception as failed:  # the command goes on with what is stored, if anything is
             log.warning("could not index %s", args.project, exc_info=True)
+            print(f"could not index {args.project}: {failed}", file=sys.stderr)
+            if catalog.current() is None:
+                return 1
     nodes, edges = catalog.read("nodes"), catalog.read("edges")
 
     def show(limit: int | None = None, **tables: DataFrame) -> int:

@@ -850,3 +850,24 @@ def _extract_nodes(spark, d):
 )
 def _extract_edges(spark, d):
     return edges_of(extract_sources(view(spark, d, "sources"), spark.sparkContext.defaultParallelism)).select("kind", "src", "dst", "line")
+
+
+# --- the whole report -----------------------------------------------------------------
+
+REPORT = {
+    "hub": ("god_modules", "file_path", "fan_in"),
+    "hotspot": ("report_hotspots", "file_path", "hotspot_score"),
+    "pair": ("temporal_coupling", "file_a || ' ' || file_b", "shared_commits"),
+    "single author": ("bus_factor", "file_path", "CASE WHEN bus_factor = 1 THEN top_author_pct END"),
+    "cycle": ("scc_cycles", "CAST(component AS STRING)", "LENGTH_OF(members)"),
+}
+
+
+@query("report_sections", " UNION ALL ".join(f"SELECT '{section}' AS section, {name} AS name, CAST({value} AS DOUBLE) AS amount FROM ({ORACLES[source]}) AS s WHERE {value} IS NOT NULL" for section, (source, name, value) in REPORT.items()).replace("LENGTH_OF(", "LEN("))
+def _report_sections(spark, d):
+    """The sections that a report has besides its modules, one after the other."""
+    out = None
+    for section, (source, name, value) in REPORT.items():
+        rows = QUERIES[source](spark, d).selectExpr(f"'{section}' AS section", f"{name} AS name", f"CAST({value} AS DOUBLE) AS amount".replace("LENGTH_OF(", "SIZE(")).filter("amount IS NOT NULL")
+        out = rows if out is None else out.unionByName(rows)
+    return out
