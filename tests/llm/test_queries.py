@@ -24,8 +24,9 @@ def test_query(spark, name):
         assert len(rows) == 10 * vectors.filter("vec_id % 100 = 0").count()
         return
     table, key = KEYS.get(name, ("documents", "doc_id"))
-    ids = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()}
-    assert {r[key] for r in rows} == ids | ({-1} if name == "op1_chat_format" else set())
+    if name != "op11_spelling_variants":  # which has a row a word
+        ids = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()}
+        assert {r[key] for r in rows} == ids | ({-1} if name == "op1_chat_format" else set())
     if name in ORACLES:
         duck = duckdb.connect()
         for t in TABLES:
