@@ -23,8 +23,8 @@ Embedder = Callable[[list[str]], list[list[float]]]
 
 def normalised(text: Column) -> Column:
     """The text with camel case parted and symbols as blanks, then the unparted form, in lower case."""
-    whole = F.regexp_replace(text, r"[^\w]+", " ")
-    return F.lower(F.trim(F.concat_ws(" ", F.regexp_replace(F.regexp_replace(text, r"([a-z])([A-Z])", "$1 $2"), r"[^\w]+", " "), whole)))
+    whole = F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " ")
+    return F.lower(F.trim(F.concat_ws(" ", F.regexp_replace(F.regexp_replace(text, r"([a-z])([A-Z])", "$1 $2"), r"[^\p{L}\p{N}_]+", " "), whole)))
 
 
 def _accented() -> tuple[str, str]:

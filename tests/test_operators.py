@@ -298,7 +298,7 @@ def test_older_snapshots_are_migrated(spark, tmp_path):
     catalog = Catalog(spark, str(store))
     catalog.write(files=spark.createDataFrame([("a.py", "1")], "file_path string, file_hash string"))
     folder = catalog.current()
-    shutil.rmtree(store / folder / "embeddings")
+    assert not (store / folder / "embeddings").exists()  # a write stores what it is given
     (store / "current-000000000001").write_text(f"1 {folder}")
     (store / ".current-000000000001.crc").unlink(missing_ok=True)
     assert catalog.read("embeddings").count() == 0 and catalog.read("files").count() == 1
