@@ -1,6 +1,5 @@
 import hashlib
 import random
-import shutil
 import statistics
 
 import pytest
