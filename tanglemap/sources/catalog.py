@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -87,7 +88,8 @@ class Catalog:
             return self.spark.createDataFrame([], TABLES[table])
         version, folders = self._target(pointers[-1][1])
         paths = [f"{self.root}/{folder}" for folder in folders.get(table, []) if version >= 3 or self._exists(folder)]
-        out = self.spark.read.schema(TABLES[table]).parquet(*paths) if paths else None
+        parts = [self.spark.read.schema(TABLES[table]).parquet(path) for path in paths]  # each is the root of its own partitions
+        out = reduce(DataFrame.unionByName, parts) if parts else None
         for step in range(version, SCHEMA_VERSION):
             out = MIGRATIONS[step](self.spark, table, out)
         return self.spark.createDataFrame([], TABLES[table]) if out is None else out
