@@ -219,13 +219,12 @@ def _recentred(entries: DataFrame) -> DataFrame:
     :func:`_open`."""
     large = cut(entries.filter("home").groupBy("grp").agg(F.count("*").alias("members")).filter(F.col("members") >= RECENTRED))
     spread = entries.filter("home").join(large, "grp").select("grp", "cls", "members", "diff").repartition("grp", "cls")  # not by group alone
-    tokens = spread.select("grp", "cls", "members", F.explode("diff").alias("token"))
-    most = tokens.groupBy("grp", "token").agg(F.count("*").alias("holders"), F.first("members").alias("members")).filter(2 * F.col("holders") > F.col("members")).select("grp", "token")
-    most = cut(most)
-    held = tokens.join(most, ["grp", "token"]).groupBy("grp", "cls").agg(F.count("*").alias("held"))
-    size = cut(most.groupBy("grp").agg(F.count("*").alias("size")))
-    off = F.col("d") + F.col("size") - 2 * F.coalesce("held", F.lit(0))
-    ranked = entries.filter("home").select("grp", "cls", "d").join(size, "grp").join(held, ["grp", "cls"], "left").select("grp", "size", F.struct(off.alias("off"), "cls").alias("m"))
+    tokens = spread.select("grp", "members", F.explode("diff").alias("token"))
+    most = tokens.groupBy("grp", "token").agg(F.count("*").alias("holders"), F.first("members").alias("members")).filter(2 * F.col("holders") > F.col("members"))
+    most = cut(most.groupBy("grp").agg(F.collect_list("token").alias("most")))  # one row a group, no longer than two of its mean differences
+    held = F.size(F.array_intersect("diff", "most"))
+    off = F.col("d") + F.size("most") - 2 * held
+    ranked = entries.filter("home").join(most, "grp").select("grp", F.size("most").alias("size"), F.struct(off.alias("off"), "cls").alias("m"))
     best = ranked.groupBy("grp", "size").agg(F.min("m").alias("m")).filter("m.off < size").select("grp", "m.cls")
     middle = entries.join(cut(best), ["grp", "cls"]).select("grp", F.col("n").alias("m_n"), F.col("diff").alias("m_diff"), F.col("cls").alias("m_cls"))
     out = entries.join(cut(middle), "grp", "left")
@@ -261,11 +260,10 @@ def _open(entries: DataFrame, b: _Bounds) -> DataFrame:
     tokens = tokens.join(often, ["grp", "token"])
     each = Window.partitionBy("grp", "cls")
     tokens = tokens.withColumn("at", F.row_number().over(each.orderBy("df", "token"))).withColumn("of", F.count("*").over(each))
-    tokens = tokens.withColumn("at", F.col("at") - 1 + d - F.col("of"))
+    tokens = cut(tokens.withColumn("at", F.col("at") - 1 + d - F.col("of")))  # read as probes and as index
     surplus = F.greatest(F.lit(0), n - F.col("ln"))
     probes = tokens.filter("asks and at <= reach").select("grp", "token", F.col("home").alias("x_home"), *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "d", "at")])
     index = tokens.filter((F.col("home") | ~F.col("far")) & (F.col("at") <= d - F.greatest(F.lit(1), F.ceil((d + 1 - surplus) / 2)))).select("grp", "token", "asks", *[F.col(c).alias(f"y_{c}") for c in ("cls", "n", "d", "at")])
-    index = cut(index)
     x, y = (lambda c: F.col(f"x_{c}")), (lambda c: F.col(f"y_{c}"))
     most = b.apart(x("n"), y("n"))
     common = F.greatest(F.lit(1), F.ceil((x("d") + y("d") - most) / 2))

@@ -108,3 +108,15 @@ def test_large_family_is_exact_and_visits_few_groups(spark, monkeypatch, k, num)
     assert got == {i: int(c) for i, c in enumerate(want)}
     assert 1 < len(set(got.values())) < len(rows)
     assert seen[0] <= len(rows)
+
+
+def test_the_middle_is_found_without_a_join_of_differences(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    common, keys, join = list(range(100, 110)), [], DataFrame.join
+    rows = [(0, c, True, 50, 50, common + ([1000 + c] if c != 5 else []), 11 if c != 5 else 10) for c in range(1, 21)]
+    entries = spark.createDataFrame([*rows, (9, 30, True, 50, 50, [1, 2], 2)], "grp long, cls long, home boolean, n long, ln long, diff array<long>, d long")
+    monkeypatch.setattr(DataFrame, "join", lambda self, other, on=None, how=None: (keys.append(on), join(self, other, on, how))[1])
+    got = {r["cls"]: (r["leader"], sorted(r["diff"]), r["d"]) for r in jaccard._recentred(entries).collect()}
+    assert got == {c: (5, [1000 + c] if c != 5 else [], int(c != 5)) for c in range(1, 21)} | {30: (9, [1, 2], 2)}
+    assert keys and not any("token" in on for on in keys)
