@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tanglemap.llm.common import unpacked
 from tanglemap.llm.decontam import WORD_BYTES
 from tanglemap.llm.shingles import word_hashes
-from tanglemap.scratch import cut
+from tanglemap.scratch import Table, cut
 
 FEATURES = 1 << 16
 RATIO_BINS = 16
@@ -269,22 +269,48 @@ def apply_mixture(docs: DataFrame, mixture: Mixture, *, id_col: str = "doc_id",
     the id and the text, so that on average it is the rate."""
     names = list(keep or docs.columns)
     out = domain_posteriors(_drawn(docs, names, id_col, text_col, seed), mixture.model, text_col="_text", keep=[*names, "_draw"], rates=mixture.rates)
+    return _copied(out, names, mixture.model.domains)
+
+
+def _copied(out: DataFrame, names: Sequence[str], domains: Sequence[str]) -> DataFrame:
     whole = F.floor("_rate")
     copies = (whole + (F.col("_row._draw") < (F.col("_rate") - whole) * float(1 << 30)).cast("long")).cast("long")
-    posteriors = {f"p_{d}": F.col("posterior")[i] for i, d in enumerate(mixture.model.domains)}
+    posteriors = {f"p_{d}": F.col("posterior")[i] for i, d in enumerate(domains)}
     return out.select(*unpacked(out, names, n_tokens=F.col("n_tokens"), **posteriors, rate=F.col("_rate"), copies=copies))
 
 
+def _rated(scored: DataFrame, rates: Rates, k: int) -> DataFrame:
+    """Rows of :func:`domain_posteriors` with the ``_rate`` that ``rates`` make of their posteriors."""
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, p = _matrix(batch.select(["n_tokens", "posterior"]), k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates.of(p))], [*batch.schema.names, "_rate"])
+
+    rows = scored.select("_row", "n_tokens", "posterior")
+    return rows.mapInArrow(rate, rows.select("*").schema.add("_rate", "double"))
+
+
 def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", keep: Sequence[str] | None = None, seed: int = 29, sure: float = 0.5, fit_rows: int = FIT_ROWS, total: float | None = None) -> DataFrame:
     """:func:`fit_mixture` and :func:`apply_mixture` in one. Documents that are more likely
     than not of domains that are wanted keep a rate of 1 or more, so a slight doubt of the
-    classifier removes nothing; copies follow the rates.
+    classifier removes nothing; copies follow the rates. Texts are scored once and the other
+    columns stored with their scores, unless the texts themselves are kept: then they are
+    scored two times, so that they need not be stored.
 
     A null text has no tokens; null ids and unlabelled documents take part; labels without a document
     or with a null domain are ignored. Repeated rows have equal rates and copies; so have
     ties in anything but id and text. An empty table gives none."""
-    mixture = fit_mixture(docs, labels, weights, id_col=id_col, text_col=text_col, domain_col=domain_col, sure=sure, fit_rows=fit_rows, total=total)
-    return apply_mixture(docs, mixture, id_col=id_col, text_col=text_col, keep=keep, seed=seed)
+    names = list(keep or docs.columns)
+    if text_col.lower() in map(str.lower, names):
+        mixture = fit_mixture(docs, labels, weights, id_col=id_col, text_col=text_col, domain_col=domain_col, sure=sure, fit_rows=fit_rows, total=total)
+        return apply_mixture(docs, mixture, id_col=id_col, text_col=text_col, keep=keep, seed=seed)
+    model = fit_classifier(docs, labels, id_col=id_col, text_col=text_col, domain_col=domain_col, fit_rows=fit_rows)
+    if not model.domains:
+        return apply_mixture(docs, Mixture(model, Rates(np.zeros(0, dtype=bool), sure)), id_col=id_col, text_col=text_col, keep=keep, seed=seed)
+    scored = domain_posteriors(_drawn(docs, names, id_col, text_col, seed), model, text_col="_text", keep=[*names, "_draw"]).drop("_rate")
+    scored = Table(scored, "mixing-scored").read()
+    return _copied(_rated(scored, fit_rates(scored, model.domains, weights, total=total, sure=sure), len(model.domains)), names, model.domains)
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

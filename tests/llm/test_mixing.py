@@ -82,3 +82,14 @@ def test_edges(spark):
     assert mixing.mix(docs, odd, {"a": 1.0, "missing": 1.0}).count() == 5
     assert mixing.mix(docs.limit(0), odd, {"a": 1.0}).count() == 0
     assert mixing.quality_domains(spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 0, None), (4, None, None)], "doc_id long, quality int, toxic int")).filter(F.col("domain").isNull()).count() == 1
+
+
+def test_texts_are_scored_once(spark, monkeypatch):
+    docs, labels, _ = corpus(spark)
+    passes, score = [], mixing.domain_posteriors
+    monkeypatch.setattr(mixing, "domain_posteriors", lambda *a, **kw: (passes.append(1), score(*a, **kw))[1])
+    once = sorted(map(tuple, mixing.mix(docs, labels, {"a": 0.5, "b": 0.5}, keep=["doc_id"]).collect()))
+    assert len(passes) == 1
+    whole = mixing.mix(docs, labels, {"a": 0.5, "b": 0.5}, keep=["doc_id", "text"]).drop("text")
+    assert np.allclose(np.array(once), np.array(sorted(map(tuple, whole.collect()))), rtol=1e-6)
+    assert mixing.mix(docs, labels.limit(0), {"a": 1.0}, keep=["doc_id"]).filter("rate = 1 and copies = 1").count() == 240
