@@ -260,6 +260,7 @@ class Decoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.moves: dict[bytes, dict[int, tuple[str, bytes]]] = {}
+        self.whole: dict[int, str] = {}  # moves met that lead from the start back to it
         self.held = b""
 
     def _move(self, i: int) -> tuple[str, bytes]:
@@ -268,10 +269,15 @@ class Decoder:
             more, held = utf8_step(held, byte)
             text.append(more)
         move = self.moves.setdefault(self.held, {})[i] = ("".join(text), held)
+        if not self.held and not held:
+            self.whole[i] = move[0]
         return move
 
     def push(self, ids: Sequence[int]) -> str:
         """The text that these ids complete."""
+        out = list(map(self.whole.get, ids)) if not self.held else [None]
+        if None not in out:  # the machine never leaves its start
+            return "".join(out)
         out = []
         moves = self.moves.setdefault(self.held, {})
         for i in ids:
@@ -331,6 +337,13 @@ def id_lists(values: Sequence[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
 
 
+def numbers_of(column: pa.ListArray) -> Iterator[list[int] | None]:
+    """The lists of a column of numbers, by way of numpy: Arrow's own way makes a scalar of each
+    number first. Null lists are null, a null number fails."""
+    for row in column:
+        yield row.values.to_numpy().tolist() if row.is_valid else None
+
+
 def _encoding(shared, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern)
@@ -365,8 +378,7 @@ def _decoding(shared):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(shared.value)
         for batch in batches:
-            ids = batch.column(1)
-            rows = ((i, decoder.decode(ids[i].values.to_pylist()) if ids[i].is_valid else None) for i in range(len(ids)))
+            rows = ((i, None if ids is None else decoder.decode(ids)) for i, ids in enumerate(numbers_of(batch.column(1))))
             make = lambda held, of=batch: pa.RecordBatch.from_arrays([of.column(0).take(pa.array([i for i, _ in held])), pa.array([text for _, text in held], pa.string())], ["_row", "_decoded"])
             yield from batches_of(rows, make, lambda row: len(row[1] or ""), 4 * BATCH_IDS)
 

@@ -1,8 +1,11 @@
 import base64
 import hashlib
 import random
+import time
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -106,3 +109,23 @@ def test_query_against_the_library(spark, library):
     for r in op12_bpe(spark, SF).collect():
         ids = library.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(docs[r.doc_id]))
+
+
+def test_lists_of_ids_make_no_scalar_of_each():
+    column = pa.array([[9], [1, 2, 3], None, [], [4]], pa.list_(pa.int32())).slice(1)
+    assert list(bpe.numbers_of(column)) == [[1, 2, 3], None, [], [4]] and all(type(i) is int for i in next(bpe.numbers_of(column)))
+    with pytest.raises(pa.ArrowInvalid):
+        list(bpe.numbers_of(pa.array([[1, None]], pa.list_(pa.int32()))))
+    long = bpe.id_lists([np.arange(1_000_000, dtype=np.int32)])
+    begun = time.process_time()
+    got = list(bpe.numbers_of(long))
+    between = time.process_time()
+    assert got == [long[0].values.to_pylist()]
+    assert 3 * (between - begun) < time.process_time() - between
+
+
+def test_the_start_is_left_only_by_unfinished_characters(ranks):
+    decoder = bpe.Decoder(ranks)
+    ids = [ranks[b"a"], ranks[bytes([0xC3])], ranks[bytes([0xA9])], ranks[b"b"]]
+    assert decoder.decode(ids) == decoder.decode(ids) == "a\u00e9b" and set(decoder.whole) == {ids[0], ids[3]}
+    assert decoder.push(ids[:2]) == "a" and decoder.push([ids[3]]) == "\ufffdb" and decoder.decode([ids[3], ids[0]]) == "ba"
