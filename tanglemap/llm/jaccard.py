@@ -24,7 +24,7 @@ from tanglemap.operators.components import connected_components
 from tanglemap.scratch import Table, cut
 
 MAX_HOT = 200_000  # bound of the broadcast list of frequent shingles: 1.6 MB
-FIRSTS = 4  # near copies share one of so many first shingles almost always
+FIRSTS = 32  # near copies share most of so many first shingles, texts with a passage in common do not
 HOT_IN_BATCH, HOT_IN_ALL = 3, 32  # groups of a part of a batch, and of all parts counted
 ROWS_HELD = 2_000
 RECENTRED = 16  # members from which a group looks for its middle again
@@ -58,8 +58,9 @@ def _raws(column: pa.Array) -> list[bytes | None]:
 def hot_shingles(texts: DataFrame, k: int) -> np.ndarray:
     """Sorted hashes of shingles that many different documents have, most frequent first up
     to a fixed bound. They only fix the global order, so any list gives right results. All
-    documents are seen; in a batch, those that share one of their first shingles (near copies,
-    mostly) count once, and shingles of fewer than three of these stay out of the sum."""
+    documents are seen; in a batch, one of whose first shingles more than half are first in those
+    before (a near copy, mostly) is not counted, and shingles of fewer than three of the others
+    stay out of the sum. A passage in common makes no near copy, however its hashes fall."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
@@ -67,7 +68,7 @@ def hot_shingles(texts: DataFrame, k: int) -> np.ndarray:
             sets: list[np.ndarray] = []
             for s in shingle_sets(_raws(batch.column(0)), k):
                 head = s[:FIRSTS].tolist()
-                if head and firsts.isdisjoint(head):
+                if head and 2 * len(firsts.intersection(head)) <= len(head):
                     sets.append(s)
                 firsts.update(head)
             values = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)

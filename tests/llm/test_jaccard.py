@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 from tanglemap.llm import jaccard
+from tanglemap.llm.shingles import shingle_sets
 
 SCHEMA = "doc_id long, text string, component_id string"
 
@@ -120,3 +121,18 @@ def test_the_middle_is_found_without_a_join_of_differences(spark, monkeypatch):
     got = {r["cls"]: (r["leader"], sorted(r["diff"]), r["d"]) for r in jaccard._recentred(entries).collect()}
     assert got == {c: (5, [1000 + c] if c != 5 else [], int(c != 5)) for c in range(1, 21)} | {30: (9, [1, 2], 2)}
     assert keys and not any("token" in on for on in keys)
+
+
+def test_a_common_passage_is_hot_wherever_its_hashes_fall(spark):
+    rng = random.Random(9)
+    hashes = lambda text: next(shingle_sets([text.encode()], 4))
+    tried = [f"p7 p8 p9 low{i}" for i in range(20_000)]
+    low = tried[np.argmin([s[0] for s in shingle_sets([t.encode() for t in tried], 4)])]  # among the first of any text
+    passage = " ".join([*(f"p{i}" for i in range(7)), low, *(f"p{i}" for i in range(10, 20))])
+    holders = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(100)) + " " + passage for _ in range(60)]
+    words = [f"f{i}" for i in range(120)]
+    copies = [" ".join(near(rng, words, 0.02)) for _ in range(60)]
+    texts = spark.createDataFrame([(t,) for t in holders + copies], "text string").coalesce(1)
+    hot = set(jaccard.hot_shingles(texts, 4).tolist())
+    assert set(hashes(passage).tolist()) <= hot
+    assert hot.isdisjoint(hashes(" ".join(words)).tolist())
